@@ -1,11 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import jaccard
+from . import jaccard, substrings
 
 
 def queries() -> dict:
-    return {"op2_jaccard_join": jaccard.op2_jaccard_join}
+    return {"op2_jaccard_join": jaccard.op2_jaccard_join, "op7_substring_dedup": substrings.op7_substring_dedup}
 
 
 def oracle_sql() -> dict:
-    return {"op2_jaccard_join": jaccard.SQL}
+    return {"op2_jaccard_join": jaccard.SQL, "op7_substring_dedup": substrings.SQL}
