@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from . import jaccard, substrings
+from . import decontaminate, jaccard, substrings
 
 
 def queries() -> dict:
-    return {"op2_jaccard_join": jaccard.op2_jaccard_join, "op7_substring_dedup": substrings.op7_substring_dedup}
+    return {
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op2_jaccard_join": jaccard.SQL, "op7_substring_dedup": substrings.SQL}
+    return {"op2_jaccard_join": jaccard.SQL, "op7_substring_dedup": substrings.SQL, "op9_decontaminate": decontaminate.SQL}
