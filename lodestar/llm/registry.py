@@ -1,15 +1,22 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, jaccard, substrings
+from . import decontaminate, jaccard, quality, substrings, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_jaccard_join": jaccard.op2_jaccard_join,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op7_substring_dedup": substrings.op7_substring_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_jaccard_join": jaccard.SQL, "op7_substring_dedup": substrings.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {
+        "op2_jaccard_join": jaccard.SQL,
+        "op4_quality_rules": quality.SQL,
+        "op7_substring_dedup": substrings.SQL,
+        "op9_decontaminate": decontaminate.SQL,
+    }
