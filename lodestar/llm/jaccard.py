@@ -7,11 +7,12 @@ rows, two sets with |x & y| >= t |x | y| share an n-gram among the first |x| - c
 order puts frequent n-grams (boilerplate) last, so that blocks stay small.
 
 The product is taken in two steps, because what is wanted are the links' components:
-1. each block pairs its members with the smallest one (a star), which settles large groups of near copies with
-   about as many pairs as members;
-2. the blocks that still hold several components pair members across components only. Their overlap counts are
-   accumulated exactly, and pairs below the bound that the two sizes give are discarded.
-What is left of either is decided on the whole sets. Nothing is capped: the second step is exact.
+1. each block pairs its members with its most central one (a star), the one most of whose stored n-grams others
+   hold too: the original among edited copies. This settles large groups of near copies with about as many
+   pairs as members;
+2. the blocks that still hold several components pair members across components only, and only where the place
+   of the shared n-gram in both rows leaves room for the overlap that the two sizes ask for.
+Pairs of either step are decided on the whole sets. Nothing is capped: the second step is exact.
 
 Hashes: n-grams are 64 bits. A class is its 64-bit digest of the whole set together with nothing else, so two
 different sets meet in one class with a chance of about (classes squared) / 2**65.
@@ -128,7 +129,7 @@ def _index(last, rank, percent: int):
         seen: set[int] = set()
         for batch in parts(batches):
             h, at = sets(batch)
-            hs, cs = [], []
+            hs, cs, ps = [], [], []
             for k, cls in enumerate(digests(h, at).tolist()):
                 if at[k] == at[k + 1] or cls in seen:
                     continue
@@ -137,8 +138,9 @@ def _index(last, rank, percent: int):
                 seen.add(cls)
                 hs.append(prefix(h[at[k] : at[k + 1]], last.value, rank.value, percent))
                 cs.append(np.full(len(hs[-1]), cls, dtype=U64))
+                ps.append(np.arange(len(hs[-1]), dtype=np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(hs)), signed(np.concatenate(cs))], ["h", "cls"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(hs)), signed(np.concatenate(cs)), pa.array(np.concatenate(ps))], ["h", "cls", "pos"])
 
     return run
 
@@ -223,36 +225,38 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
 
     last, rank = map(spark.sparkContext.broadcast, frequent(docs))
-    index = docs.select("text").mapInArrow(_index(last, rank, percent), "h long, cls long").repartition("h")
-    shared = index.groupBy("h").agg(F.min("cls").alias("lead"), F.max("cls").alias("most")).where("lead < most").select("h", "lead")
+    index = docs.select("text").mapInArrow(_index(last, rank, percent), "h long, cls long, pos int").repartition("h")
+    shared = index.groupBy("h").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("h")
     blocks = stored(index.join(shared.hint("shuffle_hash"), "h"), "blocks")  # what more than one class holds
 
     n_of = sizes.select("cls", "n")
+    # thousandths of a row's part in the index that others hold too
+    central = blocks.groupBy("cls").agg(F.count("*").alias("c")).join(n_of, "cls")
+    central = central.selectExpr("cls", "n", f"cast(1000 * c / (n - floor(({percent} * n + 99) / 100) + 1) as int) as share")
+    blocks = stored(blocks.join(central, "cls"), "blocks-n")
+    lead = blocks.groupBy("h").agg(F.min(F.struct((-F.col("share")).alias("s"), "cls", "n")).alias("lead")).select("h", F.col("lead.cls").alias("b"), F.col("lead.n").alias("q"))
     stars = cut(
-        blocks.where("cls <> lead").groupBy(F.col("cls").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("c"))
-        .join(n_of.select(F.col("cls").alias("a"), F.col("n").alias("p")), "a")
-        .join(n_of.select(F.col("cls").alias("b"), F.col("n").alias("q")), "b")
-        .where(f"100 * least(p, q) >= {percent} * greatest(p, q)")
-        # a star counts only blocks that its lead leads; where few do, step 2 decides
-        .where("20 * c >= least(p, q) or c >= 20")
+        blocks.join(lead, "h")
+        .where(f"cls <> b and 100 * least(n, q) >= {percent} * greatest(n, q)")
+        .groupBy(F.col("cls").alias("a"), "b")
+        .agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        # a star counts only blocks that its centre leads; where few do, step 2 decides
+        .where("20 * c >= n or c >= 20")
         .select("a", "b")
     )
     first = cut(linked(docs, stars, percent))
     roots = components(first)
 
-    held = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("h", "cls", F.coalesce("root", "cls").alias("root"))
-    held = held.join(n_of, "cls")
+    held = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("h", "cls", "pos", "n", F.coalesce("root", "cls").alias("root"))
     mixed = held.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
     held = cut(held.join(mixed, "h", "left_semi").distinct())
     x, y = held.alias("x"), held.alias("y")
-    # sizes of the part of a row that is not in the index
-    rest = lambda n: f"({n} - ({n} - floor(({percent} * {n} + 99) / 100) + 1))"
+    # both hold at least so many n-grams in common, so the first common one is at most so far into either
+    both = f"ceil({percent} * (x.n + y.n) / (100 + {percent}))"
     across = cut(
-        x.join(y, F.expr(f"x.h = y.h and x.cls < y.cls and x.root <> y.root and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-        .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("p"), F.col("y.n").alias("q"))
-        .agg(F.count("*").alias("c"))
-        .where(f"c + greatest({rest('p')}, {rest('q')}) >= ceil({percent} * (p + q) / (100 + {percent}))")
-        .select("a", "b")
+        x.join(y, F.expr(f"x.h = y.h and x.cls < y.cls and x.root <> y.root and x.pos <= x.n - {both} and y.pos <= y.n - {both}"))
+        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        .distinct()
     )
     roots = components(first.union(cut(linked(docs, across, percent))))
     least = sizes.join(roots, sizes["cls"] == roots["v"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
