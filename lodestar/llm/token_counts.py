@@ -10,6 +10,7 @@ bucket its share of the list and gets one byte-string of counts back, so a pre-t
 for each block that has it and not once for each document.
 """
 
+import functools
 import json
 import os
 from collections import Counter
@@ -41,6 +42,32 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+@functools.cache
+def _splitter(path: str):
+    """Text -> its pre-tokens, as the library splits it.
+
+    The pattern is run by `regex`, which may know letters and digits of a later Unicode version than the library
+    does. Those are found once by asking the library, and it splits texts that hold one itself.
+    """
+    import regex
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]))
+    odd = []
+    for kind, before in ((r"\p{L}", "a"), (r"\p{N}", "1")):
+        known = regex.findall(kind, every)
+        one = {(" " + before + x) for x in known}
+        text = "".join(sorted(one))
+        one -= {text[a:b] for _, (a, b) in library(text)}
+        odd += [x[-1] for x in one]
+    split = regex.compile(_pattern()).findall
+    if not odd:
+        return split
+    newer = regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]").search
+    return lambda text: [text[a:b] for _, (a, b) in library(text)] if newer(text) else split(text)
+
+
 def _specials(path: str) -> list[str]:
     """Strings that the library's default takes for one token wherever they stand in a text, longest first."""
     with open(path, encoding="utf-8") as f:
@@ -69,7 +96,7 @@ def _blocks(path: str):
         from pyspark import TaskContext
 
         specials = _specials(path)
-        split = regex.compile(_pattern()).findall
+        split = _splitter(path)
         cut = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         part, count = TaskContext.get().partitionId(), 0
         ids, sizes, extra, ptr, place, times, known = [], [], [], [0], [], [], {}
