@@ -7,12 +7,13 @@ rows, two sets with |x & y| >= t |x | y| share an n-gram among the first |x| - c
 order puts frequent n-grams (boilerplate) last, so that blocks stay small.
 
 The product is taken in two steps, because what is wanted are the links' components:
-1. each block pairs its members with its most central one (a star), the one most of whose stored n-grams others
-   hold too: the original among edited copies. This settles large groups of near copies with about as many
-   pairs as members;
-2. the blocks that still hold several components pair members across components only, and only where the place
-   of the shared n-gram in both rows leaves room for the overlap that the two sizes ask for.
-Pairs of either step are decided on the whole sets. Nothing is capped: the second step is exact.
+1. a block of a few members pairs them all; a larger one pairs its members with its most central one (a star),
+   the one with the smallest share of rare n-grams: the original among edited copies. This settles large groups
+   of near copies with about as many pairs as members;
+2. the large blocks that still hold several components pair members across components only.
+Except in stars, members are paired only where the place of the shared n-gram in both rows leaves room for the
+overlap that the two sizes ask for. Pairs are decided on the whole sets, after a bitmap has excluded most that
+differ too much. Nothing is capped: the second step is exact.
 
 Hashes: n-grams are 64 bits. A class is its 64-bit digest of the whole set together with nothing else, so two
 different sets meet in one class with a chance of about (classes squared) / 2**65.
@@ -37,6 +38,10 @@ FREQUENT = 1 << 18
 OFTEN, OFTEN_HERE = 32, 4
 #: Bits of the filter of classes whose whole sets are wanted; full sets pass it by chance at most, none is lost.
 FILTER_BITS = 1 << 25
+#: A block with at most so many members pairs them all at once.
+FEW = 8
+#: Of a stored n-gram's note: thousandths of rare n-grams in its row, the row's size, the n-gram's place in it.
+_SIZE_BITS, _PLACE_BITS = 27, 26
 
 
 def sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +129,15 @@ def prefix(one: np.ndarray, last: np.ndarray, rank: np.ndarray, percent: int) ->
     return one[:k]
 
 
+def rare_share(one: np.ndarray, last: np.ndarray) -> int:
+    """Thousandths of a row's n-grams that are not frequent."""
+    if not len(last):
+        return 1000
+    place = np.searchsorted(last, one)
+    place[place == len(last)] = 0
+    return 1000 * int((last[place] != one).sum()) // len(one)
+
+
 def _index(last, rank, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -136,11 +150,13 @@ def _index(last, rank, percent: int):
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(cls)
-                hs.append(prefix(h[at[k] : at[k + 1]], last.value, rank.value, percent))
+                one = h[at[k] : at[k + 1]]
+                hs.append(prefix(one, last.value, rank.value, percent))
                 cs.append(np.full(len(hs[-1]), cls, dtype=U64))
-                ps.append(np.arange(len(hs[-1]), dtype=np.int32))
+                note = (rare_share(one, last.value) << _SIZE_BITS | len(one)) << _PLACE_BITS
+                ps.append(note + np.arange(len(hs[-1]), dtype=np.int64))
             if hs:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(hs)), signed(np.concatenate(cs)), pa.array(np.concatenate(ps))], ["h", "cls", "pos"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(hs)), signed(np.concatenate(cs)), pa.array(np.concatenate(ps))], ["h", "cls", "note"])
 
     return run
 
@@ -159,6 +175,38 @@ def _wanted(classes: DataFrame) -> np.ndarray:
     return bits
 
 
+def signature(one: np.ndarray) -> np.ndarray:
+    """A bitmap with a bit flipped for each n-gram, of about two bits an n-gram. Two sets differ in at least as
+    many n-grams as their bitmaps do in bits (the longer bitmap folded onto the shorter)."""
+    size = 1 << max(6, int(2 * len(one) - 1).bit_length())
+    odd = np.bincount((one & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def far_apart(x: np.ndarray, y: np.ndarray, p: int, q: int, percent: int) -> bool:
+    """Whether the bitmaps of sets of sizes p and q prove them less similar than percent."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    # |x ^ y| >= differ, so 2 |x & y| <= p + q - differ
+    return 2 * percent * (p + q) > (100 + percent) * (p + q - differ)
+
+
+def _near(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            good = [
+                not far_apart(np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8), p, q, percent)
+                for a, b, p, q in zip(x, y, batch.column("p").to_pylist(), batch.column("q").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _whole(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -167,7 +215,7 @@ def _whole(bits):
             cls = digests(h, at)
             place = (cls.view(np.int64) % FILTER_BITS).astype(np.int64)
             keep = (bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1
-            ids, blobs = [], []
+            ids, signs, blobs = [], [], []
             for k in np.flatnonzero(keep).tolist():
                 if (one := int(cls[k])) in seen or at[k] == at[k + 1]:
                     continue
@@ -175,9 +223,11 @@ def _whole(bits):
                     seen.clear()
                 seen.add(one)
                 ids.append(cls[k])
+                signs.append(signature(h[at[k] : at[k + 1]]).tobytes())
                 blobs.append(h[at[k] : at[k + 1]].tobytes())
             if ids:
-                yield pa.RecordBatch.from_arrays([signed(np.array(ids)), pa.array(blobs, pa.binary())], ["cls", "blob"])
+                sizes = pa.array([len(x) // 8 for x in blobs], pa.int64())
+                yield pa.RecordBatch.from_arrays([signed(np.array(ids)), sizes, pa.array(signs, pa.binary()), pa.array(blobs, pa.binary())], ["cls", "n", "sign", "blob"])
 
     return run
 
@@ -201,10 +251,18 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar enough, decided on their whole sets."""
     classes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(_wanted(classes))
-    whole = docs.select("text").mapInArrow(_whole(bits), "cls long, blob binary").join(classes, "cls", "left_semi")
-    whole = stored(whole, "sets").dropDuplicates(["cls"])
+    whole = docs.select("text").mapInArrow(_whole(bits), "cls long, n long, sign binary, blob binary")
+    # a class that several tasks have seen comes several times, with one content
+    whole = stored(whole.join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    near = stored(
+        pairs.join(whole.select(F.col("cls").alias("a"), F.col("n").alias("p"), F.col("sign").alias("x")), "a")
+        .join(whole.select(F.col("cls").alias("b"), F.col("n").alias("q"), F.col("sign").alias("y")), "b")
+        .select("a", "b", "p", "q", "x", "y")
+        .mapInArrow(_near(percent), "a long, b long"),
+        "near",
+    )
     return (
-        pairs.join(whole.select(F.col("cls").alias("a"), F.col("blob").alias("x")), "a")
+        near.join(whole.select(F.col("cls").alias("a"), F.col("blob").alias("x")), "a")
         .join(whole.select(F.col("cls").alias("b"), F.col("blob").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(_decide(percent), "a long, b long")
@@ -222,42 +280,49 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     members = stored(docs.mapInArrow(_members, "doc_id long, n long, cls long"), "members")
-    sizes = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
+    sizes = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
 
     last, rank = map(spark.sparkContext.broadcast, frequent(docs))
-    index = docs.select("text").mapInArrow(_index(last, rank, percent), "h long, cls long, pos int").repartition("h")
-    shared = index.groupBy("h").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("h")
-    blocks = stored(index.join(shared.hint("shuffle_hash"), "h"), "blocks")  # what more than one class holds
-
-    n_of = sizes.select("cls", "n")
-    # thousandths of a row's part in the index that others hold too
-    central = blocks.groupBy("cls").agg(F.count("*").alias("c")).join(n_of, "cls")
-    central = central.selectExpr("cls", "n", f"cast(1000 * c / (n - floor(({percent} * n + 99) / 100) + 1) as int) as share")
-    blocks = stored(blocks.join(central, "cls"), "blocks-n")
-    lead = blocks.groupBy("h").agg(F.min(F.struct((-F.col("share")).alias("s"), "cls", "n")).alias("lead")).select("h", F.col("lead.cls").alias("b"), F.col("lead.n").alias("q"))
-    stars = cut(
-        blocks.join(lead, "h")
-        .where(f"cls <> b and 100 * least(n, q) >= {percent} * greatest(n, q)")
-        .groupBy(F.col("cls").alias("a"), "b")
+    index = docs.select("text").mapInArrow(_index(last, rank, percent), "h long, cls long, note long").repartition("h")
+    # the centre of a block: least rare n-grams, ties by class; one exchange serves the count and the blocks
+    order = F.expr(f"shiftleft(shiftrightunsigned(note, {_SIZE_BITS + _PLACE_BITS}), 53) | shiftrightunsigned(cls, 11)")
+    shared = index.groupBy("h").agg(
+        F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("k"),
+        F.min_by("cls", order).alias("lead"), F.min_by("note", order).alias("lead_note"),
+    )
+    shared = shared.where("least < most").drop("least", "most")
+    size = lambda x: f"cast(shiftrightunsigned({x}, {_PLACE_BITS}) & {(1 << _SIZE_BITS) - 1}L as int)"
+    blocks = index.join(shared.hint("shuffle_hash"), "h").selectExpr(
+        "h", "cls", f"{size('note')} as n", f"cast(note & {(1 << _PLACE_BITS) - 1}L as int) as pos", "k", "lead", f"{size('lead_note')} as lead_n"
+    )
+    # both hold at least so many n-grams in common, so the first common one is at most so far into either
+    both = f"ceil({percent} * (x.n + y.n) / (100 + {percent}))"
+    meet = f"x.h = y.h and x.cls < y.cls and x.pos <= x.n - {both} and y.pos <= y.n - {both}"
+    few = blocks.where(f"k <= {FEW}").select("h", "cls", "n", "pos")
+    few = few.alias("x").join(few.alias("y"), F.expr(meet)).selectExpr("x.cls as a", "y.cls as b").distinct()
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("h", "long"), ("cls", "long"), ("n", "int"), ("pos", "int"), ("lead", "long"), ("lead_n", "int"))]
+    many = blocks.where(f"k > {FEW}").select("h", "cls", "n", "pos", "lead", "lead_n")
+    found = stored(
+        few.select("a", "b", *nothing).union(many.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "*")), "blocks"
+    )
+    many = found.where("h is not null").drop("a", "b")
+    stars = (
+        many.where(f"cls <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
+        .groupBy(F.col("cls").alias("a"), F.col("lead").alias("b"))
         .agg(F.count("*").alias("c"), F.first("n").alias("n"))
         # a star counts only blocks that its centre leads; where few do, step 2 decides
         .where("20 * c >= n or c >= 20")
         .select("a", "b")
     )
-    first = cut(linked(docs, stars, percent))
+    pairs = cut(found.where("a is not null").select("a", "b").union(stars))
+    first = cut(linked(docs, pairs, percent))
     roots = components(first)
 
-    held = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("h", "cls", "pos", "n", F.coalesce("root", "cls").alias("root"))
+    held = many.join(roots, many["cls"] == roots["v"], "left").select("h", "cls", "pos", "n", F.coalesce("root", "cls").alias("root"))
     mixed = held.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
     held = cut(held.join(mixed, "h", "left_semi").distinct())
-    x, y = held.alias("x"), held.alias("y")
-    # both hold at least so many n-grams in common, so the first common one is at most so far into either
-    both = f"ceil({percent} * (x.n + y.n) / (100 + {percent}))"
-    across = cut(
-        x.join(y, F.expr(f"x.h = y.h and x.cls < y.cls and x.root <> y.root and x.pos <= x.n - {both} and y.pos <= y.n - {both}"))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        .distinct()
-    )
+    across = held.alias("x").join(held.alias("y"), F.expr(f"{meet} and x.root <> y.root"))
+    across = cut(across.selectExpr("x.cls as a", "y.cls as b").distinct())
     roots = components(first.union(cut(linked(docs, across, percent))))
     least = sizes.join(roots, sizes["cls"] == roots["v"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
