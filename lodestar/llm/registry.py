@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, jaccard, quality, substrings, token_counts
+from . import decontaminate, jaccard, language, pieces, quality, substrings, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language.op1_language_id,
         "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op6_sentencepiece": pieces.op6_sentencepiece,
         "op7_substring_dedup": substrings.op7_substring_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_token_counts": token_counts.op10_token_counts,
