@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, jaccard, language, pieces, quality, substrings, token_counts
+from . import decontaminate, jaccard, language, pieces, quality, substrings, token_counts, warc
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_language_id": language.op1_language_id,
         "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_warc": warc.op5_warc,
         "op6_sentencepiece": pieces.op6_sentencepiece,
         "op7_substring_dedup": substrings.op7_substring_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -19,6 +20,7 @@ def oracle_sql() -> dict:
     return {
         "op2_jaccard_join": jaccard.SQL,
         "op4_quality_rules": quality.SQL,
+        "op5_warc": warc.SQL,
         "op7_substring_dedup": substrings.SQL,
         "op9_decontaminate": decontaminate.SQL,
     }
