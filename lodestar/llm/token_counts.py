@@ -13,6 +13,7 @@ for each block that has it and not once for each document.
 import functools
 import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -64,7 +65,14 @@ def _splitter(path: str):
     split = regex.compile(_pattern()).findall
     if not odd:
         return split
-    newer = regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]").search
+    points = sorted(map(ord, odd))
+    runs = [[points[0], points[0]]]
+    for c in points[1:]:
+        if c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    newer = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]").search
     return lambda text: [text[a:b] for _, (a, b) in library(text)] if newer(text) else split(text)
 
 
