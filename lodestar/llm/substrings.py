@@ -115,24 +115,27 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(len(words) - len(left))
             kept.append(b" ".join(left))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept"],
+            [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            [*batch.schema.names[:-1], "n_words", "n_removed", "kept"],
         )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs (doc_id long, text string, ...) -> (doc_id, n_words long, n_removed long, kept string), a row for each row.
+def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id long, text string, ...) -> (doc_id, text, the columns keep, n_words long, n_removed long, kept
+    string), a row for each row.
 
     Words are runs of other than space and \\t..\\r, unchanged; a null text has none. Every word is removed that a
     20-word window covers whose words also start earlier: in a smaller doc_id, or earlier in the same document.
     kept is the words left, joined by one space; nothing is cut at line ends. Rows with one doc_id are one
     document and must be equal; they are judged alike, each keeping what the first keeps. Rows without doc_id
-    come last in no order, so they neither lose words nor take them from others. Further columns are ignored.
+    come last in no order, so they neither lose words nor take them from others. Columns beside keep are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *keep)
     placed = docs.where("doc_id is not null")
-    found = placed.mapInArrow(_segments, "h5 long, seg long, doc_id long, cell long").repartition("h5")
-    again = found.groupBy("h5").agg(F.count("*").alias("n")).where("n > 1").select("h5")
+    found = placed.select("doc_id", "text").mapInArrow(_segments, "h5 long, seg long, doc_id long, cell long").repartition("h5")
+    # repeated: not all rows are one place. All columns are used, so that one exchange serves this and the join
+    ends = [f(c).alias(f"{c}{k}") for c in ("doc_id", "cell", "seg") for k, f in enumerate((F.min, F.max))]
+    again = found.groupBy("h5").agg(*ends).where("doc_id0 < doc_id1 or cell0 < cell1 or seg0 < seg1").select("h5")
     live = stored(found.join(again.hint("shuffle_hash"), "h5"), "segments")
 
     classes = stored(
@@ -148,7 +151,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spell = ten.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.cell").alias("cells"))
 
     texts = placed.repartition("doc_id")
-    windows = texts.join(spell, "doc_id").mapInArrow(_windows, "h20 long, h5 long, doc_id long, start long").repartition("h20")
+    windows = texts.join(spell, "doc_id").select("doc_id", "text", "cells").mapInArrow(_windows, "h20 long, h5 long, doc_id long, start long").repartition("h20")
     earliest = (
         windows.groupBy("h20", "h5")
         .agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max(F.struct("doc_id", "start")).alias("g"))
@@ -158,7 +161,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     single = windows.join(earliest.hint("shuffle_hash"), ["h20", "h5"]).where("doc_id <> d0 or start <> s0")
     gone = later.union(single.selectExpr("doc_id", f"shiftleft(start, 33) | {1 << 28}L as cell"))
     cells = gone.groupBy("doc_id").agg(F.collect_list("cell").alias("cells"))
-    out = "doc_id long, n_words long, n_removed long, kept string"
+    out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + "n_words long, n_removed long, kept string"
     placeless = docs.where("doc_id is null").withColumn("cells", F.lit(None).cast("array<bigint>"))
     return texts.join(cells, "doc_id", "left").union(placeless).mapInArrow(_kept, out)
 
