@@ -1,0 +1,11 @@
+"""Composed queries over the parquet tables."""
+
+from . import q_retrieval, q_text  # noqa: F401  they register their queries
+from .q_retrieval import search_notes
+from .views import notes
+
+
+def flagship(spark, sf_dir):
+    """search_notes with titles."""
+    titles = notes(spark, sf_dir).selectExpr("id as key", "title")
+    return search_notes(spark, sf_dir).join(titles, "key")
