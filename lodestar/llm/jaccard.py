@@ -161,6 +161,107 @@ def _index(last, rank, percent: int):
     return run
 
 
+class _Blocks:
+    """Pairs and stored rows of the blocks in a partition that is sorted by (h, note, cls).
+
+    Rows come in batches and a block may cross them, so of the block at a batch's end either its few rows are held
+    back or, once it is large, only its first row, the centre.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.held = np.empty((3, 0), dtype=np.int64)  # h, note, cls of an unfinished small block
+        self.large = None  # the first row of an unfinished large block
+        self.last = None
+
+    def _meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether a common n-gram at these places leaves room for the overlap that both sizes ask for."""
+        n, m = _size(x), _size(y)
+        both = -((-self.percent * (n + m)) // (100 + self.percent))
+        return (_place(x) <= n - both) & (_place(y) <= m - both)
+
+    def _pairs(self, rows: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+        i, j = np.triu_indices(k, 1)
+        at, to = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+        good = self._meet(rows[1, at], rows[1, to])
+        pairs = np.stack([rows[2, at[good]], rows[2, to[good]]])
+        return np.sort(pairs, axis=0)
+
+    def add(self, rows: np.ndarray | None) -> pa.RecordBatch | None:
+        """What is certain after these rows; None stands for the end."""
+        end = rows is None
+        rows = self.held if end else np.concatenate([self.held, rows], axis=1)
+        if rows.shape[1]:  # a class that several tasks have seen comes several times
+            again = np.r_[False, (rows[:, 1:] == rows[:, :-1]).all(axis=0)]
+            if self.last is not None:
+                again[0] = bool((rows[:, 0] == self.last).all())
+            rows = rows[:, ~again]
+        h = rows[0]
+        pairs, many, leads = [], [], []
+        first = 0
+        if self.large is not None and len(h):
+            same = h == self.large[0]
+            first = len(h) if same.all() else int(np.argmin(same))
+            many.append(rows[:, :first])
+            leads.append(np.repeat(self.large[:, None], first, axis=1))
+            if first < len(h):
+                self.large = None
+        self.last = rows[:, -1].copy() if len(h) and not end else self.last
+        rows = rows[:, first:]
+        h = rows[0]
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(h)])
+        self.held = rows[:, :0]
+        if len(starts) and not end:
+            at = starts[-1]
+            if sizes[-1] <= FEW:
+                self.held, self.last = rows[:, at:].copy(), rows[:, at - 1].copy() if at else None
+                starts, sizes = starts[:-1], sizes[:-1]
+            else:
+                self.large = rows[:, at].copy()
+        for k in range(2, FEW + 1):
+            some = starts[sizes == k]
+            if len(some):
+                pairs.append(self._pairs(rows, some, k))
+        big = sizes > FEW
+        if big.any():
+            inside = np.repeat(big, sizes)
+            whole = rows[:, : len(inside)]
+            many.append(whole[:, inside])
+            leads.append(np.repeat(whole[:, starts[big]], sizes[big], axis=1))
+        if not pairs and not many:
+            return None
+        p = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+        p = np.unique(p, axis=1) if p.shape[1] else p
+        m = np.concatenate(many, axis=1) if many else np.empty((3, 0), np.int64)
+        lead = np.concatenate(leads, axis=1) if leads else m
+        empty = lambda n: pa.nulls(n, pa.int64())
+        left = [pa.array(p[0]), pa.array(p[1]), *[empty(p.shape[1])] * 6]
+        right = [empty(m.shape[1])] * 2 + [pa.array(x) for x in (m[0], m[2], _size(m[1]), _place(m[1]), lead[2], _size(lead[1]))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(left, right)], ["a", "b", "h", "cls", "n", "pos", "lead", "lead_n"])
+
+
+def _size(note: np.ndarray) -> np.ndarray:
+    return (note >> _PLACE_BITS) & ((1 << _SIZE_BITS) - 1)
+
+
+def _place(note: np.ndarray) -> np.ndarray:
+    return note & ((1 << _PLACE_BITS) - 1)
+
+
+def _multiply(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(percent)
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy() for k in ("h", "note", "cls")])
+            if rows.shape[1] and (got := blocks.add(rows)) is not None:
+                yield got
+        if (got := blocks.add(None)) is not None:
+            yield got
+
+    return run
+
+
 def _wanted(classes: DataFrame) -> np.ndarray:
     """A bit filter of the classes: FILTER_BITS bits, whatever their number."""
     words = (
@@ -283,28 +384,10 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
 
     last, rank = map(spark.sparkContext.broadcast, frequent(docs))
-    index = docs.select("text").mapInArrow(_index(last, rank, percent), "h long, cls long, note long").repartition("h")
-    # the centre of a block: least rare n-grams, ties by class; one exchange serves the count and the blocks
-    order = F.expr(f"shiftleft(shiftrightunsigned(note, {_SIZE_BITS + _PLACE_BITS}), 53) | shiftrightunsigned(cls, 11)")
-    shared = index.groupBy("h").agg(
-        F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("k"),
-        F.min_by("cls", order).alias("lead"), F.min_by("note", order).alias("lead_note"),
-    )
-    shared = shared.where("least < most").drop("least", "most")
-    size = lambda x: f"cast(shiftrightunsigned({x}, {_PLACE_BITS}) & {(1 << _SIZE_BITS) - 1}L as int)"
-    blocks = index.join(shared.hint("shuffle_hash"), "h").selectExpr(
-        "h", "cls", f"{size('note')} as n", f"cast(note & {(1 << _PLACE_BITS) - 1}L as int) as pos", "k", "lead", f"{size('lead_note')} as lead_n"
-    )
-    # both hold at least so many n-grams in common, so the first common one is at most so far into either
-    both = f"ceil({percent} * (x.n + y.n) / (100 + {percent}))"
-    meet = f"x.h = y.h and x.cls < y.cls and x.pos <= x.n - {both} and y.pos <= y.n - {both}"
-    few = blocks.where(f"k <= {FEW}").select("h", "cls", "n", "pos")
-    few = few.alias("x").join(few.alias("y"), F.expr(meet)).selectExpr("x.cls as a", "y.cls as b").distinct()
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("h", "long"), ("cls", "long"), ("n", "int"), ("pos", "int"), ("lead", "long"), ("lead_n", "int"))]
-    many = blocks.where(f"k > {FEW}").select("h", "cls", "n", "pos", "lead", "lead_n")
-    found = stored(
-        few.select("a", "b", *nothing).union(many.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "*")), "blocks"
-    )
+    index = docs.select("text").mapInArrow(_index(last, rank, percent), "h long, cls long, note long")
+    # the first of a block is its centre: the least rare n-grams, then the smallest
+    index = index.repartition("h").sortWithinPartitions("h", "note", "cls")
+    found = stored(index.mapInArrow(_multiply(percent), "a long, b long, h long, cls long, n long, pos long, lead long, lead_n long"), "blocks")
     many = found.where("h is not null").drop("a", "b")
     stars = (
         many.where(f"cls <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
@@ -314,13 +397,16 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where("20 * c >= n or c >= 20")
         .select("a", "b")
     )
-    pairs = cut(found.where("a is not null").select("a", "b").union(stars))
+    pairs = cut(found.where("a is not null").select("a", "b").distinct().union(stars))
     first = cut(linked(docs, pairs, percent))
     roots = components(first)
 
     held = many.join(roots, many["cls"] == roots["v"], "left").select("h", "cls", "pos", "n", F.coalesce("root", "cls").alias("root"))
     mixed = held.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
     held = cut(held.join(mixed, "h", "left_semi").distinct())
+    # both hold at least so many n-grams in common, so the first common one is at most so far into either
+    both = f"ceil({percent} * (x.n + y.n) / (100 + {percent}))"
+    meet = f"x.h = y.h and x.cls < y.cls and x.pos <= x.n - {both} and y.pos <= y.n - {both}"
     across = held.alias("x").join(held.alias("y"), F.expr(f"{meet} and x.root <> y.root"))
     across = cut(across.selectExpr("x.cls as a", "y.cls as b").distinct())
     roots = components(first.union(cut(linked(docs, across, percent))))
