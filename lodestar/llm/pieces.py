@@ -56,30 +56,64 @@ class Vocabulary:
         # pieces hold the space mark in front only, so no piece spans the boundary before a mark that follows another character
         self.words_apart = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.fits: dict[tuple[str, str], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """The model's merges of a short text: the best-scored neighbours first, the leftmost on ties."""
-        parts = list(text)
-        while True:
+        self.ways: dict[str, tuple | None] = {}  # at most one for each piece and unknown character
+
+    def steps(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
+        """How the model merges a piece by itself, the best-scored neighbours first, the leftmost on ties: the score of
+        each merge, and the outermost parts before the first and after each. None if it doesn't become one part."""
+        known = self.ways.get(piece, ())
+        if known != ():
+            return known
+        parts, scores, lefts, rights = list(piece), [], [piece[0]], [piece[-1]]
+        while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
                 one = self.ids.get(parts[k] + parts[k + 1])
                 if one is not None and (best is None or self.scores[one] > best):
                     best, at = self.scores[one], k
             if at < 0:
-                return parts
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            scores.append(best)
+            lefts.append(parts[0])
+            rights.append(parts[-1])
+        self.ways[piece] = way = (scores, lefts, rights) if len(parts) == 1 else None
+        return way
 
     def fit(self, a: str, b: str) -> bool:
-        """Whether merging a + b gives a and b. An empty a stands for the text's begin."""
+        """Whether merging a + b gives a and b: no merge across them comes before those inside. An empty a stands for
+        the text's begin."""
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) > REMEMBERED:
                 self.fits.clear()
-            known = self.fits[key] = self.merged(a + b) == ([a, b] if a else [b])
+            known = self.fits[key] = self._fit(a, b)
         return known
 
+    def _fit(self, a: str, b: str) -> bool:
+        right = self.steps(b)
+        if right is None or not a:
+            return right is not None
+        left = self.steps(a)
+        if left is None:
+            return False
+        i = j = 0
+        while True:
+            across = self.ids.get(left[2][i] + right[1][j])
+            score = None if across is None else self.scores[across]
+            x = left[0][i] if i < len(left[0]) else None
+            y = right[0][j] if j < len(right[0]) else None
+            # of equal scores the leftmost goes first: inside a, across, inside b
+            if score is not None and (x is None or score > x) and (y is None or score >= y):
+                return False
+            if x is not None and (y is None or x >= y):
+                i += 1
+            elif y is not None:
+                j += 1
+            else:
+                return True
+
 
 class Stream:
     """Encodes a text given in parts; feed() and end() return the ids that have become final."""
@@ -169,6 +203,28 @@ class Codec:
             out += self._ids(stream.feed(escaped[k : k + step]))
         return out + self._ids(stream.end())
 
+    def _word(self, word: str) -> list[int]:
+        """_stream() of a BPE word whose end is a boundary that all paths meet in: no window is needed."""
+        v, n = self.v, len(word)
+        ids, fits, longest = v.ids, v.fits, v.longest
+        last: list = [""] + [None] * n
+        begin = [0] * (n + 1)
+        for i in range(1, n + 1):
+            for j in range(i - longest if i > longest else 0, i):
+                piece = word[j:i]
+                if piece in ids or j == i - 1:
+                    before = last[j]
+                    if before is not None:
+                        fit = fits.get((before, piece))
+                        if v.fit(before, piece) if fit is None else fit:
+                            last[i], begin[i] = piece, j
+                            break
+        out, i = [], n
+        while i:
+            out.append(last[i])
+            i = begin[i]
+        return self._ids(out[::-1])
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text. An empty one has none."""
         if not text:
@@ -188,8 +244,9 @@ class Codec:
             word = escaped[at:end]
             ids = known.get(word)
             if ids is None:
-                ids = self._stream(word)
-                if len(word) <= 64:
+                short = len(word) <= 64
+                ids = self._word(word) if short and self.v.bpe else self._stream(word)
+                if short:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[word] = ids
