@@ -13,6 +13,7 @@ Characters that no piece has become their UTF-8 bytes.
 """
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from .common import table
 
 MODEL = "piece_bpe_32k.model"
-#: Words whose ids a task remembers, and pairs of pieces whose fit it remembers.
-REMEMBERED = 800_000
+#: Words whose ids a process remembers, twice over, and pairs of pieces whose fit it remembers.
+REMEMBERED = 500_000
 SPACE = "▁"
 
 
@@ -55,6 +56,7 @@ class Vocabulary:
         self.low = min(self.scores, default=0.0) - 10  # an unknown character's score in a unigram model
         # pieces hold the space mark in front only, so no piece spans the boundary before a mark that follows another character
         self.words_apart = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
+        self.begins = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
         self.ways: dict[str, tuple | None] = {}  # at most one for each piece and unknown character
 
@@ -184,6 +186,8 @@ class Codec:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def _ids(self, pieces: list[str]) -> list[int]:
         v, out = self.v, []
@@ -206,19 +210,23 @@ class Codec:
     def _word(self, word: str) -> list[int]:
         """_stream() of a BPE word whose end is a boundary that all paths meet in: no window is needed."""
         v, n = self.v, len(word)
-        ids, fits, longest = v.ids, v.fits, v.longest
+        ids, fits, begins = v.ids, v.fits, v.begins
         last: list = [""] + [None] * n
         begin = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
+        for j in range(n):  # arcs forward: all that end in j are known
+            before = last[j]
+            if before is None:
+                continue
+            i = j + 1
+            while True:
                 piece = word[j:i]
-                if piece in ids or j == i - 1:
-                    before = last[j]
-                    if before is not None:
-                        fit = fits.get((before, piece))
-                        if v.fit(before, piece) if fit is None else fit:
-                            last[i], begin[i] = piece, j
-                            break
+                if last[i] is None and (piece in ids or i == j + 1):
+                    fit = fits.get((before, piece))
+                    if v.fit(before, piece) if fit is None else fit:
+                        last[i], begin[i] = piece, j
+                if i == n or piece not in begins:
+                    break
+                i += 1
         out, i = [], n
         while i:
             out.append(last[i])
@@ -234,24 +242,21 @@ class Codec:
             return self._stream(escaped)
         # all paths meet before a mark that follows another character, so words are final by themselves and are remembered
         out: list[int] = []
-        known, at, n = self.known, 0, len(escaped)
-        while at < n:
-            lead = at
-            while lead < n and escaped[lead] == SPACE:
-                lead += 1
-            end = escaped.find(SPACE, lead)
-            end = n if end < 0 else end
-            word = escaped[at:end]
-            ids = known.get(word)
+        known, get = self.known, self.known.get
+        for word in self.split(escaped):
+            ids = get(word)
             if ids is None:
+                ids = self.older.get(word)
                 short = len(word) <= 64
-                ids = self._word(word) if short and self.v.bpe else self._stream(word)
+                if ids is None:
+                    ids = self._word(word) if short and self.v.bpe else self._stream(word)
                 if short:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED:  # words that stay in use move to the new generation
+                        self.older = known
+                        known = self.known = {}
+                        get = known.get
                     known[word] = ids
             out += ids
-            at = end
         return out
 
     def decode(self, ids) -> str:
@@ -287,14 +292,15 @@ def _encode(path: str):
 def _checked(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        byte = set(c.v.bytes.values())
+        byte = np.zeros(len(c.v.text), dtype=bool)
+        byte[list(c.v.bytes.values())] = True
         for batch in batches:
             n, n_bytes, digests, same = [], [], [], []
             for x in batch.column("text").to_pylist():
                 ids = c.encode(x or "")
                 row = np.array(ids, dtype="<i4")
                 n.append(len(ids))
-                n_bytes.append(sum(k in byte for k in np.unique(row).tolist()) and int(np.isin(row, list(byte)).sum()))
+                n_bytes.append(int(byte[row].sum()))
                 digests.append(hashlib.sha256(row.tobytes()).hexdigest())
                 same.append(c.decode(ids) == (x or ""))
             yield pa.RecordBatch.from_arrays(
