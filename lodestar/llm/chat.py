@@ -90,24 +90,37 @@ def linked(messages: DataFrame) -> DataFrame:
 
 
 def threads(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, root_conv, root_turn, depth) of the rows of linked(), by pointer doubling.
+    """(conv_id, turn, root_conv, root_turn, depth) of the rows of linked().
 
-    Each round doubles the length of the jumps, so a chain of n replies takes log2(n) rounds. Parents that aren't
-    there are roots.
+    A run of messages that answer the one before each has one head, the start or a message that quotes; windows
+    give its members their distance to it. Heads that quote then jump along their parents' heads by pointer
+    doubling, so a chain of n quotes takes log2(n) rounds, and only unfinished ones take part in a round. Parents
+    that aren't there are roots.
     """
-    parent = F.when(F.col("parent_turn").isNotNull(), F.struct(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn")))
-    at = cut(rows.select(F.struct("conv_id", "turn").alias("k"), parent.alias("up")).select(
-        "k", "up", F.col("k").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")
+    order = W.partitionBy("conv_id").orderBy("turn")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("no", F.row_number().over(order))
+    heads = F.col("by") != "order"
+    rows = cut(rows.select(
+        "conv_id", "turn", "by", "parent_conv", "parent_turn",
+        F.max(F.when(heads, F.col("turn"))).over(so_far).alias("head"), (F.col("no") - F.max(F.when(heads, F.col("no"))).over(so_far)).cast("long").alias("steps"),
     ))
-    while not at.where("up is not null").isEmpty():
-        over = at.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        moves = F.col("up").isNotNull()
-        at = cut(at.join(over, "up", "left").select(
-            "k", F.col("up2").alias("up"),
-            F.when(moves, F.coalesce("root2", "up")).otherwise(F.col("root")).alias("root"),
-            (F.col("depth") + F.when(moves, F.coalesce("depth2", F.lit(0))).otherwise(0)).alias("depth"),
-        ))
-    return at.select("k.conv_id", "k.turn", F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "depth")
+    at = rows.select("conv_id", "turn", F.struct("conv_id", F.col("head").alias("turn")).alias("head"), "steps")
+    quoting = rows.where("by = 'quote'").select(F.struct("conv_id", "turn").alias("k"), "parent_conv", "parent_turn")
+    parents = at.select(F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn"), "head", "steps")
+    up = F.coalesce("head", F.struct(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn")))
+    jumps = cut(quoting.join(parents, ["parent_conv", "parent_turn"], "left").select("k", up.alias("up"), (1 + F.coalesce("steps", F.lit(0))).alias("far"), F.lit(False).alias("done")))
+    while not jumps.where("not done").isEmpty():
+        over = jumps.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        moved = jumps.where("not done").join(over, "up", "left").select(
+            "k", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("up2").isNull().alias("done")
+        )
+        jumps = cut(jumps.where("done").union(moved))
+    got = at.join(jumps.select(F.col("k").alias("head"), "up", "far"), "head", "left")
+    root = F.coalesce("up", "head")
+    return got.select(
+        "conv_id", "turn", root["conv_id"].alias("root_conv"), root["turn"].alias("root_turn"), (F.col("steps") + F.coalesce("far", F.lit(0))).alias("depth")
+    )
 
 
 def conversations(messages: DataFrame) -> DataFrame:
