@@ -30,8 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: columnar, so smaller than a checkpoint."""
+    """df written as Parquet to the shared folder and read again: columnar and compressed, so smaller than a
+    checkpoint."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

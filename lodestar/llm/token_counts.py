@@ -95,6 +95,16 @@ def piece_hashes(pieces: pa.Array) -> np.ndarray:
     return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]] + np.diff(offsets).astype(U64))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """uint32 numbers compressed, their low bytes first, then the next, so that small ones take little."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 _BLOCK = "block long, ids array<long>, sizes array<long>, extra array<long>, ptr binary, place binary, times binary, pieces array<string>, n_pairs long"
 
 
@@ -116,9 +126,12 @@ def _blocks(path: str):
             order = np.argsort(h, kind="stable")
             to = np.empty(len(order), dtype=np.uint32)
             to[order] = np.arange(len(order), dtype=np.uint32)
-            old = np.concatenate(place) if place else np.empty(0, np.int64)
-            row = [[part << 33 | count], [ids], [sizes], [extra]]
-            row += [[pa.compress(x.tobytes(), "zstd", asbytes=True)] for x in (np.array(ptr, np.uint32), to[old], np.concatenate(times) if times else np.empty(0, np.uint32))]
+            at = np.array(ptr, np.uint32)
+            # each document's places ascend, so that their differences (over the whole block, modulo 2**32) are small
+            keys = np.repeat(np.arange(len(ids), dtype=np.uint64) << np.uint64(32), np.diff(at)) | to[np.concatenate(place)]
+            by = np.argsort(keys, kind="stable")
+            steps = np.diff(keys[by].astype(np.uint32), prepend=np.uint32(0))
+            row = [[part << 33 | count], [ids], [sizes], [extra], [packed(at)], [packed(steps)], [packed(np.concatenate(times)[by])]]
             count += 1
             types = [pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
             arrays = [pa.array(x, t) for x, t in zip(row, types)]
@@ -141,7 +154,7 @@ def _blocks(path: str):
                 ids.append(doc_id)
                 sizes.append(n_bytes)
                 extra.append(more)
-                place.append(np.fromiter((known.setdefault(x, len(known)) for x in found), dtype=np.int64, count=len(found)))
+                place.append(np.fromiter((known.setdefault(x, len(known)) for x in found), dtype=np.uint32, count=len(found)))
                 times.append(np.fromiter(found.values(), dtype=np.uint32, count=len(found)))
                 ptr.append(ptr[-1] + len(found))
                 held += n_bytes
@@ -172,16 +185,22 @@ def _shares(buckets: int):
     return run
 
 
+@functools.cache
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _count(path: str):
     def run(group: pa.Table) -> pa.Table:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = _tokenizer(path)
         lists = group.column("pieces").combine_chunks()
         pieces = lists.flatten().dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        n = np.fromiter((len(x) for k in range(0, len(distinct), 4096) for x in tokenizer.encode_batch(distinct[k : k + 4096], add_special_tokens=False)), dtype=np.uint32, count=len(distinct))
+        distinct = pieces.dictionary
+        some = (distinct.slice(k, 1024).to_pylist() for k in range(0, len(distinct), 1024))
+        n = np.fromiter((len(x) for texts in some for x in tokenizer.encode_batch(texts, add_special_tokens=False)), dtype=np.uint32, count=len(distinct))
         counts = n[pieces.indices.to_numpy()]
         at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         blobs = [counts[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
@@ -192,19 +211,16 @@ def _count(path: str):
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             counts = np.concatenate([np.frombuffer(x["counts"], np.uint32) for x in row["shares"]]) if row["shares"] else np.empty(0, np.uint32)
-            ptr, place, times = (np.frombuffer(pa.decompress(row[k], len_, "zstd", asbytes=True), np.uint32) for k, len_ in _lengths(row))
+            ptr, steps, times = unpacked(row["ptr"], len(row["ids"]) + 1), unpacked(row["place"], row["n_pairs"]), unpacked(row["times"], row["n_pairs"])
+            place = np.cumsum(steps, dtype=np.uint32)
             each = np.concatenate([[0], np.cumsum(counts[place].astype(np.int64) * times)])
             n = each[ptr[1:]] - each[ptr[:-1]] + np.array(row["extra"], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
 
-def _lengths(row: dict) -> list[tuple[str, int]]:
-    n = row["n_pairs"] * 4
-    return [("ptr", 4 * (len(row["ids"]) + 1)), ("place", n), ("times", n)]
-
-
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs (doc_id long, text string, ...) -> (doc_id, n_bytes long, n_tokens long), a row for each row.
 
