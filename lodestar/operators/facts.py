@@ -24,6 +24,15 @@ def end_of() -> Column:
     return F.least("valid_until", "replaced_at")
 
 
+def flag(state: Column, start: Column, until: Column, by: Column) -> Column:
+    """What to say beside a fact that isn't current."""
+    return (
+        F.when(state == "upcoming", F.concat(F.lit("upcoming, from "), start))
+        .when(state == "replaced", F.concat(F.lit("replaced by "), by.cast("string")))
+        .when(state == "expired", F.concat(F.lit("expired "), until))
+    )
+
+
 def true_at(facts: DataFrame, at: Column) -> DataFrame:
     open_ = lambda c: F.col(c).isNull() | (F.col(c) > at)
     return facts.where((F.col("valid_from") <= at) & open_("valid_until") & open_("replaced_at"))
