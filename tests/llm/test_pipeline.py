@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
 from conftest import SMALL  # noqa: E402
-from test_edges import ITEM_WORD, WORD, lower, shingles  # noqa: E402
+from .test_edges import ITEM_WORD, WORD, lower, shingles  # noqa: E402
 
 
 @pytest.fixture(scope="module")
