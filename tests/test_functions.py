@@ -1,0 +1,46 @@
+"""Column functions and operators on small rows."""
+
+from pyspark.sql import functions as F
+
+from lodestar.functions.policy import glob_pattern, readable, redacted, secret_kinds
+from lodestar.operators import changes, facts
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_redaction(spark):
+    key = "AKIA" + "ABCDEFGH" * 2
+    assert one(spark, redacted(F.lit(f"use {key} now"))) == "use [REDACTED:aws-key] now"
+    assert one(spark, redacted(F.lit("api_key: <your-key-here>"))) == "api_key: <your-key-here>"
+    assert one(spark, redacted(F.lit("plain words stay"))) == "plain words stay"
+    assert one(spark, secret_kinds(F.lit(f"{key} and {key}"))) == ["aws-key"]
+
+
+def test_globs(spark):
+    import re
+
+    assert re.match(glob_pattern("**/private/*.md"), "a/b/Private/x.md")
+    assert not re.match(glob_pattern("*.md"), "a/x.md")
+    ok = readable(F.lit("a/secret/x.md"), F.lit(None).cast("string"), ["**/secret/**"], [], True)
+    assert one(spark, ok) is False
+    assert one(spark, readable(F.lit("x.md"), F.lit("private"), [], [], False)) is False
+    assert one(spark, readable(F.lit("x.md"), F.lit("private"), [], [], True)) is True
+
+
+def test_top_of_a_hot_group(spark):
+    rows = spark.createDataFrame([(1, k, k % 50) for k in range(500)] + [(2, 1000, 3)], "g int, id int, v int")
+    got = changes.top_of(rows, ["g"], [F.desc("v"), F.col("id")], 3).collect()
+    assert sorted((r.g, r.no, r.id) for r in got) == [(1, 1, 49), (1, 2, 99), (1, 3, 149), (2, 1, 1000)]
+    assert changes.top_of(rows.limit(0), ["g"], [F.col("id")], 3).collect() == []
+
+
+def test_facts_at_the_edges(spark):
+    day = "cast('{}' as timestamp_ntz)".format
+    rows = [("open", "2020-01-01", None, None), ("later", "2021-01-01", None, None), ("tie", "2020-01-01", "2020-06-01", "2020-06-01"), ("gone", "2020-01-01", None, "2020-06-01"), ("over", "2020-01-01", "2020-06-01", None)]
+    df = spark.createDataFrame(rows, "id string, a string, b string, c string").selectExpr("id", "cast(a as timestamp_ntz) valid_from", "cast(b as timestamp_ntz) valid_until", "cast(c as timestamp_ntz) replaced_at")
+    at = F.expr(day("2020-06-01"))
+    got = {r.id: r.s for r in df.select("id", facts.status(at).alias("s")).collect()}
+    assert got == {"open": "current", "later": "upcoming", "tie": "expired", "gone": "replaced", "over": "expired"}
+    assert [r.id for r in facts.true_at(df, at).collect()] == ["open"]
