@@ -237,6 +237,30 @@ def test_chat(spark):
     assert chat.conversations(messages(spark, rows).limit(0)).collect() == []
 
 
+def test_chat_short_partial_and_far_quotes(spark):
+    rows = [
+        (1, 0, "u", "Yes, ok"), (1, 1, "u", "first line of a paragraph\nsecond line of the paragraph\nthird"), (1, 2, "u", "no"),
+        (1, 3, "u", "> Yes, ok\nfine"), (1, 4, "u", "> second line of the paragraph\nwhy?"), (1, 5, "u", "> third\n> unheard of"),
+        (2, 0, "u", "> written in a larger conversation\nso?"), (3, 0, "u", "Yes, ok"), (3, 1, "u", "> no\nhere no is too short"),
+        (9, 0, "u", "well"), (9, 1, "u", "written in a larger conversation"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.conversations(messages(spark, rows)).collect()}
+    parent = {k: (r.parent_conv, r.parent_turn, r.linked_by) for k, r in got.items()}
+    assert parent[1, 3] == (1, 0, "quote") and parent[1, 4] == (1, 1, "quote") and parent[1, 5] == (1, 1, "quote")
+    assert parent[2, 0] == (9, 1, "quote") and parent[3, 1] == (3, 0, "order")
+    assert (got[2, 0].root_conv, got[2, 0].root_turn, got[2, 0].depth) == (9, 0, 2) and got[1, 5].n_quotes == 1
+
+
+def test_chat_rings(spark):
+    """Each of the conversations 1 to 5 quotes the next and 5 quotes 1; 6 quotes into the ring; 7 and 8 quote each other."""
+    wrote = lambda k: f"what conversation {k} has written"
+    rows = [(k, 3, "u", f"> {wrote(k % 5 + 1)}\n{wrote(k)}") for k in range(1, 6)] + [(6, 0, "u", f"> {wrote(3)}\nx")]
+    rows += [(7, 0, "u", f"> {wrote(8)}\n{wrote(7)}"), (8, 0, "u", f"> {wrote(7)}\n{wrote(8)}")]
+    got = {r.conv_id: r for r in chat.conversations(messages(spark, rows)).collect()}
+    assert {k: r.parent_conv for k, r in got.items()} == {1: None, 2: 3, 3: 4, 4: 5, 5: 1, 6: 3, 7: None, 8: 7}
+    assert {k: (r.root_conv, r.depth) for k, r in got.items()} == {1: (1, 0), 2: (1, 4), 3: (1, 3), 4: (1, 2), 5: (1, 1), 6: (1, 4), 7: (7, 0), 8: (7, 1)}
+
+
 def test_chat_query(spark):
     rows = chat.op8_chat_format(spark, "/root/testdata/sf0.01").collect()
     place = {(r.conv_id, r.turn): r for r in rows}
