@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and for the rest trust and distrust propagated over the link graph.
 
 Trust flows along links from hosts with allowed pages (personalised PageRank), distrust against them from hosts with
-blocked pages: who links to bad hosts is suspect. Links to other hosts come from the pages' absolute hrefs. A host
+blocked pages: who links to bad hosts is suspect. Links to other hosts come from the pages' hrefs with a scheme or //. A host
 whose distrust is over the limit and over its trust is blocked.
 """
 
@@ -38,8 +38,9 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def links(pages: DataFrame) -> DataFrame:
     """(a, b, w): pages of host a link w times to host b. Relative links stay on the host and don't count."""
-    target = F.explode(F.regexp_extract_all("html", F.lit(r"""href\s*=\s*["']?([A-Za-z][A-Za-z0-9+.-]*://[^"'\s>]*)"""), F.lit(1)))
-    found = pages.where(F.col("html").contains("://")).select(F.col("host").alias("a"), target.alias("url"))
+    target = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""), F.lit(1)))
+    found = pages.where(F.col("html").contains("//")).select(F.col("host").alias("a"), target.alias("url"))
+    found = found.withColumn("url", F.when(F.col("url").startswith("//"), F.concat(F.lit("x:"), "url")).otherwise(F.col("url")))
     found = found.select("a", host_and_path()[0].alias("b")).where("b <> '' and a <> '' and a <> b")
     return found.groupBy("a", "b").agg(F.count("*").alias("w"))
 

@@ -197,6 +197,12 @@ def test_urls(spark):
     assert urls.filtered(df.limit(0)).collect() == []
 
 
+def test_url_links_in_any_case_and_without_scheme(spark):
+    html = "<A HREF='//One.org/x'>x</A> <a Href=HTTP://two.org/y>y</a> <a href=\"/z//w\">z</a> <a href='//u.org?q=a://three.org'>u</a>"
+    df = spark.createDataFrame([("h", html)], "host string, html string")
+    assert {(r.a, r.b, r.w) for r in urls.links(df).collect()} == {("h", "one.org", 1), ("h", "two.org", 1), ("h", "u.org", 1)}
+
+
 def test_quality(spark, docs):
     got = quality.judged(docs).collect()
     assert len(got) == len(TEXTS)
