@@ -24,15 +24,18 @@ _DENSE = r"""den AS (
     FROM embeddings v, embeddings q WHERE q.vec_id < 40)) WHERE rank <= 40)"""
 
 
-def lexical(spark, d, most=40):
-    return R.ranked(R.bm25(postings(spark, d), questions(spark, d)), most=most)
+def lexical(spark, d, most=40, hidden=None):
+    """Keys of hidden count in BM25's statistics only."""
+    got = R.bm25(postings(spark, d), questions(spark, d))
+    return R.ranked(got if hidden is None else got.join(hidden, "key", "left_anti"), most=most)
 
 
-def dense_list(spark, d, most=40):
+def dense_list(spark, d, most=40, hidden=None):
     """The first forty vectors are the stated questions."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
     q = v.where("key < 40").select(F.col("key").alias("query_id"), F.col("v").alias("q"))
-    return R.ranked(R.dense(v, q), most=most)
+    got = R.dense(v if hidden is None else v.join(hidden, "key", "left_anti"), q)
+    return R.ranked(got, most=most)
 
 
 @query(f"WITH {_BM25} SELECT query_id, key, round(score, 6) AS score, rank FROM lex WHERE rank <= 20")
@@ -142,8 +145,8 @@ f0 AS (SELECT query_id, key, sum(1.0 / (60 + r)) AS score, min(struct_pack(no :=
 fused AS (SELECT query_id, key, score, lists, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first.no, first.r) AS rank FROM f0)"""
 
 
-def three_lists(spark, d):
-    lex, den = lexical(spark, d), dense_list(spark, d)
+def three_lists(spark, d, hidden=None):
+    lex, den = lexical(spark, d, hidden=hidden), dense_list(spark, d, hidden=hidden)
     dates = lex.where("key % 7 = 0").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("key")))
     return [lex, den, dates]
 
@@ -164,15 +167,15 @@ prob AS (SELECT *, ((key * 7919 + query_id * 104729) % 1000) / 1000.0 * CASE WHE
 final AS (SELECT *, 0.8 * prob + 0.2 * score / max(score) OVER (PARTITION BY query_id) AS final FROM prob)"""
 
 
-def shortlisted(spark, d):
-    lists = three_lists(spark, d)
+def shortlisted(spark, d, hidden=None):
+    lists = three_lists(spark, d, hidden)
     return R.shortlist(R.fuse(lists), lists)
 
 
-def scored(spark, d):
+def scored(spark, d, hidden=None):
     """The shortlist with the probabilities of a deterministic stand-in scorer."""
     p = ((F.col("key") * 7919 + F.col("query_id") * 104729) % 1000) / 1000.0 * F.when(F.col("query_id") % 5 == 0, 0.04).otherwise(1.0)
-    return shortlisted(spark, d).withColumn("prob", p)
+    return shortlisted(spark, d, hidden).withColumn("prob", p)
 
 
 @query(f"WITH {_SHORT} SELECT query_id, key, rank FROM short")
@@ -208,8 +211,8 @@ def trim_cuts(spark, d):
 _HYBRID = f"{_TRIM}, hybrid AS (SELECT trim.query_id, key, final, pos FROM trim JOIN (SELECT query_id FROM prob GROUP BY query_id HAVING max(prob) >= 0.05) USING (query_id) WHERE cut = 'kept')"
 
 
-def hybrid(spark, d):
-    rows = scored(spark, d)
+def hybrid(spark, d, hidden=None):
+    rows = scored(spark, d, hidden)
     open_ = R.gated(rows).where("coverage <> 'none'").select("query_id")
     return R.trimmed(R.blended(rows), 8).where("cut = 'kept'").join(open_, "query_id", "left_semi")
 
@@ -227,8 +230,9 @@ def search_rollup(spark, d):
 
 @query(f"WITH {_HYBRID}, v AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM hybrid WHERE key NOT IN (SELECT doc_id FROM v)")
 def search_hybrid(spark, d):
+    """Private notes leave each list before its first cut, so they crowd out no others."""
     private = notes(spark, d).where("visibility = 'private'").select(F.col("id").alias("key"))
-    rows = hybrid(spark, d).join(private, "key", "left_anti")
+    rows = hybrid(spark, d, private)
     return rows.select("query_id", "key", F.row_number().over(W.partitionBy("query_id").orderBy("pos")).cast("long").alias("rank"))
 
 

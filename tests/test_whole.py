@@ -59,3 +59,15 @@ def test_sql_without_its_cuts(spark, name):
     for x in CUTS:
         sql = sql.replace(x, "")
     compare(spark, name, QUERIES[name], sql, SMALL)
+
+
+def test_private_notes_crowd_out_no_others(spark, tmp_path):
+    """Sixty private decoys that match better than the one readable note."""
+    docs = [(k, "needle thread", "en", "s", 13) for k in range(60)] + [(1000, "needle thread in a long text about other things", "en", "s", 47)]
+    docs += [(k, f"filler w{k}", "en", "s", 10) for k in range(2000, 2200)]
+    where = put(
+        spark, tmp_path, documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), labels=([(k, 0, 1) for k in range(60)], "doc_id long, quality int, toxic int"),
+        benchmark=([(1, "needle thread")], "item_id long, text string"), embeddings=([(k, [1.0, float(k)], 0) for k in range(60)], "vec_id long, embedding array<float>, label int"),
+    )
+    got = {(r.query_id, r.key): r.rank for r in QUERIES["search_hybrid"](spark, where).where("query_id = 1").collect()}
+    assert got.get((1, 1000)) is not None and all(k >= 60 for _, k in got)
