@@ -13,8 +13,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter go."""
-    got = language.identified(docs, [c for c in docs.columns if c != "text"])
+    """Documents in a learned language; those without a letter go. Where no language could be learned, all others stay."""
+    model = language.Model(*language.sample(docs))
+    if not model.langs:
+        return docs.where(docs["text"].rlike(r"\p{L}"))
+    got = language.identified(docs, [c for c in docs.columns if c != "text"], model)
     return got.where("lang_pred <> 'und'").select(*docs.columns)
 
 

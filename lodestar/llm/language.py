@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import table
 
@@ -25,7 +26,8 @@ LANDMARKS = 48
 #: Letters known, most frequent first; all others are one letter.
 LETTERS = 120
 RIDGE = 1e-3
-#: Texts longer than this (characters) are not learned from; they are predicted whole like all others.
+#: Texts longer than this (characters) are learned from only where a language has no others, and then by so many
+#: characters from their first letter on; they are predicted whole like all others.
 LEARN_CHARS = 20_000
 _N = 3
 #: Characters in a batch of presence rows.
@@ -129,18 +131,24 @@ class Model:
 
 
 def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most SAMPLE labelled rows of each language that aren't held out, and at most ROWS in all.
+    """At most SAMPLE labelled rows of each language that aren't held out, and at most ROWS in all. ROWS is shared
+    evenly: every language has its first row before any has its second.
 
     Rows are dealt by a hash of their id to SAMPLE places of their language and each place keeps the row with the
     smallest hash: a uniform choice that no task has to hold more for than a place a language.
     """
     usable = docs.where(
-        ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= LEARN_CHARS)
-    ).select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h"))
+        ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    ).select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h"), (F.length("text") > LEARN_CHARS).alias("long"))
     place = F.pmod(F.col("h"), F.lit(SAMPLE)).alias("place")
-    first = usable.groupBy("lang", place).agg(F.min("h").alias("h")).orderBy("h").limit(ROWS).select("lang", "h")
+    first = usable.groupBy("lang", place).agg(F.min(F.struct("long", "h")).alias("f")).select("lang", "f.long", "f.h")
+    of_lang = W.partitionBy("lang")  # SAMPLE rows at most
+    first = first.withColumn("all_long", F.min("long").over(of_lang)).where("long = all_long").withColumn("no", F.row_number().over(of_lang.orderBy("h")))
+    first = first.orderBy("no", "h", "lang").limit(ROWS).select("lang", "long", "h")
     # first has ROWS rows at most
-    rows = usable.join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"]).orderBy("h", "lang").collect()
+    rows = usable.join(F.broadcast(first), ["lang", "long", "h"]).dropDuplicates(["lang", "h"])
+    text = F.when(F.col("long"), F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, LEARN_CHARS)).otherwise(F.col("text"))
+    rows = rows.select("lang", "h", text.alias("text")).orderBy("h", "lang").collect()
     return [r.text for r in rows], [r.lang for r in rows]
 
 

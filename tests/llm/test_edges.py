@@ -203,6 +203,15 @@ def test_url_links_in_any_case_and_without_scheme(spark):
     assert {(r.a, r.b, r.w) for r in urls.links(df).collect()} == {("h", "one.org", 1), ("h", "two.org", 1), ("h", "u.org", 1)}
 
 
+def test_language_sample_keeps_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 64)
+    rows = [(k, f"text number {k}", f"l{k % 20}") for k in range(8000)] + [(9000 + k, f"rare {k}", "rare") for k in range(3)]
+    rows += [(9100 + k, "1 " * 9 + "long words " * 3000, "long") for k in range(4)]
+    texts, langs = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(langs) == {r[2] for r in rows} and len(langs) == 64
+    assert all(0 < len(x) <= language.LEARN_CHARS for x in texts)
+
+
 def test_quality(spark, docs):
     got = quality.judged(docs).collect()
     assert len(got) == len(TEXTS)

@@ -32,6 +32,12 @@ def test_language(states):
     assert set(after) == {k for k, r in before.items() if r.text and any(map(str.isalpha, r.text))}
 
 
+def test_nothing_learned_keeps_all_with_a_letter(spark):
+    rows = [(1, "some words"), (2, None), (3, "12 --"), (4, "é"), (5, "")]
+    docs = spark.createDataFrame([(k, x, None, "s", 1) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, P.known_language(spark, docs, SMALL).collect())) == [(1, "some words", None, "s", 1), (4, "é", None, "s", 1)]
+
+
 def test_one_of_each_group(states):
     before, after = states[0][1:3]
     sets = {k: shingles(r.text) for k, r in before.items()}
