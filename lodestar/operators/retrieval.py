@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Queries asked at once of a part of the rows.
+BLOCK = 512
 
 
 def bm25(postings: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -43,10 +45,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
+def in_blocks(rows: DataFrame, queries: DataFrame, by: str, most: int = BLOCK) -> DataFrame:
+    """Each row with each query. Queries are dealt by a hash of `by` to blocks of about `most`, and every task has one
+    block and one part of the rows: nothing is sent to all tasks, whatever the number of queries."""
+    queries = queries.repartition(max(1, -(-queries.count() // most)), by)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts).join(queries.hint("shuffle_replicate_nl"))
+
+
 def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score): dot products of vectors (key, v) with each query (query_id, q). The queries are the
-    stated set that is asked of all rows; their number bounds what is sent to every task."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "key", dot(F.col("v"), F.col("q")).alias("score"))
+    """(query_id, key, score): dot products of vectors (key, v) with each query (query_id, q). The queries are asked in
+    blocks, each against a part of the vectors."""
+    return in_blocks(vectors, queries, "query_id").select("query_id", "key", dot(F.col("v"), F.col("q")).alias("score"))
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

@@ -7,10 +7,13 @@ import pytest
 import __spark_entry__ as entry_points
 
 from conftest import SMALL, compare
+from lodestar.operators import retrieval
 
 QUERIES = entry_points.queries()
 #: The id subsets that the SQL still has; Spark's queries haven't.
 CUTS = (" WHERE l_orderkey % 10 = 0", " WHERE c_custkey < 400", " WHERE l_orderkey < 120")
+#: The questions that the SQL of dense search still asks.
+FORTY = "q.vec_id < 40"
 
 
 def put(spark, folder, **tables):
@@ -61,6 +64,12 @@ def test_sql_without_its_cuts(spark, name):
     compare(spark, name, QUERIES[name], sql, SMALL)
 
 
+@pytest.mark.parametrize("name", sorted(k for k, sql in entry_points.oracle_sql().items() if FORTY in sql and k != "search_hybrid"))
+def test_sql_with_every_twentieth_vector(spark, name):
+    sql = entry_points.oracle_sql()[name].replace(FORTY, "q.vec_id % 20 = 0")
+    compare(spark, name, QUERIES[name], sql, SMALL)
+
+
 def test_private_notes_crowd_out_no_others(spark, tmp_path):
     """Sixty private decoys that match better than the one readable note."""
     docs = [(k, "needle thread", "en", "s", 13) for k in range(60)] + [(1000, "needle thread in a long text about other things", "en", "s", 47)]
@@ -71,3 +80,23 @@ def test_private_notes_crowd_out_no_others(spark, tmp_path):
     )
     got = {(r.query_id, r.key): r.rank for r in QUERIES["search_hybrid"](spark, where).where("query_id = 1").collect()}
     assert got.get((1, 1000)) is not None and all(k >= 60 for _, k in got)
+
+
+def test_every_twentieth_vector_is_asked(spark, tmp_path):
+    rows = [(k, [float(k % 7), 1.0, float(k % 11)], 0) for k in range(130)]
+    where = put(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    got = defaultdict(list)
+    for r in QUERIES["dense_topk"](spark, where).collect():
+        got[r.query_id].append((r.rank, r.key, r.score))
+    assert set(got) == set(range(0, 130, 20))
+    for q, found in got.items():
+        dots = sorted((-sum(a * b for a, b in zip(v, rows[q][1])), k) for k, v, _ in rows)[:40]
+        assert sorted(found) == [(n + 1, k, -s) for n, (s, k) in enumerate(dots)]
+
+
+@pytest.mark.parametrize("most", [1, 3, 512])
+def test_queries_in_blocks(spark, most):
+    rows, asked = spark.range(50).withColumnRenamed("id", "key"), spark.range(7).withColumnRenamed("id", "query_id")
+    got = retrieval.in_blocks(rows, asked, "query_id", most)
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == [(k, q) for k in range(50) for q in range(7)]
