@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests on one machine) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only where all runs on one machine (tests) may it be
+    unset, and is a temporary one then."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     got = spark.sparkContext.getCheckpointDir()
     if not got:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         got = spark.sparkContext.getCheckpointDir()
     return got
@@ -29,10 +34,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders written by stored() that are still there.
+held: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: columnar and compressed, so smaller than a
-    checkpoint."""
+    checkpoint. discard() or release() deletes it."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held.append(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.stored_at = path
+    return got
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these, once all that reads them is itself written or checkpointed."""
+    release(frames[0].sparkSession, [df.stored_at for df in frames])
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes these folders that stored() wrote."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in held:
+            held.remove(path)

@@ -4,16 +4,22 @@ Rows of the matrix are classes of documents with equal n-gram sets, so copies co
 known. Columns are n-grams; a column's non-zeros are one block of the product. Only the part of a row that any
 partner at the wanted similarity must meet is stored: with the n-grams of a row in one order common to all
 rows, two sets with |x & y| >= t |x | y| share an n-gram among the first |x| - ceil(t |x|) + 1 of each. The
-order puts frequent n-grams (boilerplate) last, so that blocks stay small.
-
-The product is taken in two steps, because what is wanted are the links' components:
-1. a block of a few members pairs them all; a larger one pairs its members with its most central one (a star),
-   the one with the smallest share of rare n-grams: the original among edited copies. This settles large groups
-   of near copies with about as many pairs as members;
-2. the large blocks that still hold several components pair members across components only.
-Except in stars, members are paired only where the place of the shared n-gram in both rows leaves room for the
-overlap that the two sizes ask for. Pairs are decided on the whole sets, after a bitmap has excluded most that
-differ too much. Nothing is capped: the second step is exact.
+order puts frequent n-grams (boilerplate, the text of large groups of copies) last, the most frequent at the very
+end, so that blocks stay small. Frequencies are counted over all documents, in about as many cells of the hash as
+there are n-grams; a cell's count is an upper bound of its n-grams', and any order that is common to all rows is right.
+
+Only the components that links make are wanted, so the product is taken in two steps:
+1. small blocks give all their pairs, and the overlap counts of a pair are summed over its blocks. A pair goes on
+   only if that sum and the most that its sizes and places leave outside of the counted part reach the overlap
+   that the sizes ask for. A large block pairs its members with its most central one (a star), the one with the
+   smallest share of rare n-grams: the original among edited copies. This settles large groups of near copies
+   with about as many pairs as members;
+2. the large blocks that still hold several components pair members across components only, where the place of
+   the shared n-gram in both rows leaves room for the overlap asked for. An edited copy that doesn't link with its
+   original has so many n-grams of its own, which come first in the order, that the original's stand too late to
+   pass: it meets others through its own n-grams alone.
+Pairs are decided on the whole sets, after a bitmap has excluded most that differ too much. Nothing is capped:
+the second step is exact.
 
 Hashes: n-grams are 64 bits. A class is its 64-bit digest of the whole set together with nothing else, so two
 different sets meet in one class with a chance of about (classes squared) / 2**65.
@@ -26,20 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import cut, discard, stored, table
 from .components import components
-from .words import U64, WHITE, Words, combine, five, mix, parts, signed
+from .words import U64, WHITE, Words, combine, five, mix, packed, parts, signed, unpacked
 
 WORDS = 5
 PERCENT = 75
-#: At most so many frequent n-grams are told to the tasks (8 bytes each); the rest keep their place in the order.
-FREQUENT = 1 << 18
-#: An n-gram is frequent that this many documents hold; a block of text reports those it holds this often.
-OFTEN, OFTEN_HERE = 32, 4
+#: At most so many cells of frequent n-grams, the most frequent, are told to the tasks (12 bytes each). The n-grams of
+#: further cells count as rare: the result stays the same, with more pairs to decide.
+FREQUENT = 1 << 20
+#: A block with at most so many members pairs them all at once; an n-gram of more documents is frequent.
+FEW = 8
+#: n-grams whose cells are sent as one run, and bits of the cells that are counted in one array.
+RUN, RANGE_BITS = 4_000_000, 22
 #: Bits of the filter of classes whose whole sets are wanted; full sets pass it by chance at most, none is lost.
 FILTER_BITS = 1 << 25
-#: A block with at most so many members pairs them all at once.
-FEW = 8
 #: Of a stored n-gram's note: thousandths of rare n-grams in its row, the row's size, the n-gram's place in it.
 _SIZE_BITS, _PLACE_BITS = 27, 26
 
@@ -79,82 +86,127 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), cls], ["doc_id", "n", "cls"])
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fresh(h: np.ndarray, at: np.ndarray, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, n-grams) of the rows whose class is new here; seen is what this task has met lately."""
+    for k, cls in enumerate(digests(h, at).tolist()):
+        if at[k] == at[k + 1] or cls in seen:
+            continue
+        if len(seen) > 1_000_000:
+            seen.clear()
+        seen.add(cls)
+        yield cls, h[at[k] : at[k + 1]]
+
+
+def _cells(bits: int, low: int):
+    """Sorted cells of the n-grams, in runs, each run cut into the ranges of 2**low cells: (range, n, steps)."""
+
     def told(kept: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(kept), return_counts=True)
-        some = n >= OFTEN_HERE
-        return pa.RecordBatch.from_arrays([signed(h[some]), pa.array(n[some])], ["h", "n"])
+        cells = np.sort(np.concatenate(kept))
+        to = (cells >> U64(low)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        inside = (cells & U64((1 << low) - 1)).astype(np.int64)
+        blobs = [packed(np.diff(x, prepend=0)) for x in np.split(inside, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(to[first]), pa.array(np.diff(np.r_[first, len(to)])), pa.array(blobs, pa.binary())], ["range", "n", "steps"])
 
-    kept, size = [], 0
-    for batch in parts(batches):
-        kept.append(sets(batch)[0])
-        size += len(kept[-1])
-        if size > 4_000_000:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size, seen = [], 0, set()
+        for batch in parts(batches):
+            for _, one in _fresh(*sets(batch), seen):
+                kept.append(one >> U64(64 - bits))
+                size += len(one)
+            if size > RUN:
+                yield told(kept)
+                kept, size = [], 0
+        if size:
             yield told(kept)
-            kept, size = [], 0
-    if kept:
-        yield told(kept)
+
+    return run
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams that go last in the order, sorted by hash, and their ranks by frequency. At most FREQUENT of them."""
+def _counted(low: int):
+    """Cells of more than FEW n-grams, from runs that come sorted by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, counts = None, np.zeros(1 << low, dtype=np.uint32)
+
+        def told() -> pa.RecordBatch:
+            cells = np.flatnonzero(counts > FEW)
+            return pa.RecordBatch.from_arrays([pa.array(cells + (here << low)), pa.array(counts[cells].astype(np.int64))], ["cell", "n"])
+
+        for batch in batches:
+            for at, n, steps in zip(batch.column("range").to_pylist(), batch.column("n").to_pylist(), batch.column("steps")):
+                if here is not None and at != here:
+                    yield told()
+                    counts[:] = 0
+                here = at
+                cells = np.cumsum(unpacked(steps.as_buffer(), n).astype(np.int64))
+                first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+                counts[cells[first]] += np.diff(np.r_[first, n]).astype(np.uint32)
+        if here is not None:
+            yield told()
+
+    return run
+
+
+def frequent(docs: DataFrame, total: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many leading bits of a hash make its cell; the cells that go last in the order, sorted, and their ranks by
+    frequency. total: about how many n-grams docs have. Copies that a task sees count once. At most FREQUENT cells."""
+    bits = min(62, max(20, int(total).bit_length()))
+    low = max(min(bits, RANGE_BITS), bits - 16)
+    runs = docs.select("text").mapInArrow(_cells(bits, low), "range long, n long, steps binary")
     rows = (
-        docs.select("text")
-        .mapInArrow(_often, "h long, n long")
-        .groupBy("h")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= OFTEN)
-        .orderBy(F.desc("n"), "h")
+        runs.repartition("range")
+        .sortWithinPartitions("range")
+        .mapInArrow(_counted(low), "cell long, n long")
+        .orderBy(F.desc("n"), "cell")
         .limit(FREQUENT)
         .toPandas()
     )
-    h = rows["h"].to_numpy(np.int64).view(U64)
-    by = np.argsort(h)
-    return h[by], (len(h) - np.arange(len(h), dtype=np.int64))[by]
-
-
-def prefix(one: np.ndarray, last: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first |x| - ceil(t |x|) + 1 n-grams of a row (sorted by hash) in the common order."""
-    k = len(one) - (percent * len(one) + 99) // 100 + 1
-    if len(last):
-        place = np.searchsorted(last, one)
-        place[place == len(last)] = 0
-        late = last[place] == one
-        if late.any():
-            rare = one[~late]
-            if len(rare) >= k:
-                return rare[:k]
-            more = one[late]
-            return np.concatenate([rare, more[np.argsort(rank[place[late]], kind="stable")][: k - len(rare)]])
-    return one[:k]
-
-
-def rare_share(one: np.ndarray, last: np.ndarray) -> int:
-    """Thousandths of a row's n-grams that are not frequent."""
+    cells = rows["cell"].to_numpy(np.int64).astype(U64)
+    by = np.argsort(cells)
+    return bits, cells[by], (len(cells) - np.arange(len(cells), dtype=np.int32))[by]
+
+
+def _late(one: np.ndarray, order: tuple[int, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a row's sorted n-grams go last, and the ranks of those."""
+    bits, last, rank = order
     if not len(last):
-        return 1000
-    place = np.searchsorted(last, one)
+        return np.zeros(len(one), dtype=bool), rank
+    cells = one >> U64(64 - bits)
+    place = np.searchsorted(last, cells)
     place[place == len(last)] = 0
-    return 1000 * int((last[place] != one).sum()) // len(one)
+    late = last[place] == cells
+    return late, rank[place[late]]
+
+
+def reach(n: int, percent: int) -> int:
+    """How many of a row's n n-grams any partner must meet."""
+    return n - (percent * n + 99) // 100 + 1
 
 
-def _index(last, rank, percent: int):
+def prefix(one: np.ndarray, order: tuple[int, np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
+    """The first n-grams of a row (sorted by hash) in the common order, and the thousandths of rare ones in the row."""
+    k = reach(len(one), percent)
+    late, rank = _late(one, order)
+    if not len(rank):
+        return one[:k], 1000
+    rare = one[~late]
+    share = 1000 * len(rare) // len(one)
+    if len(rare) >= k:
+        return rare[:k], share
+    return np.concatenate([rare, one[late][np.argsort(rank, kind="stable")][: k - len(rare)]]), share
+
+
+def _index(order, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in parts(batches):
-            h, at = sets(batch)
             hs, cs, ps = [], [], []
-            for k, cls in enumerate(digests(h, at).tolist()):
-                if at[k] == at[k + 1] or cls in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(cls)
-                one = h[at[k] : at[k + 1]]
-                hs.append(prefix(one, last.value, rank.value, percent))
-                cs.append(np.full(len(hs[-1]), cls, dtype=U64))
-                note = (rare_share(one, last.value) << _SIZE_BITS | len(one)) << _PLACE_BITS
-                ps.append(note + np.arange(len(hs[-1]), dtype=np.int64))
+            for cls, one in _fresh(*sets(batch), seen):
+                first, share = prefix(one, order.value, percent)
+                hs.append(first)
+                cs.append(np.full(len(first), cls, dtype=U64))
+                ps.append(((share << _SIZE_BITS | len(one)) << _PLACE_BITS) + np.arange(len(first), dtype=np.int64))
             if hs:
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(hs)), signed(np.concatenate(cs)), pa.array(np.concatenate(ps))], ["h", "cls", "note"])
 
@@ -162,7 +214,8 @@ def _index(last, rank, percent: int):
 
 
 class _Blocks:
-    """Pairs and stored rows of the blocks in a partition that is sorted by (h, note, cls).
+    """Pairs and members of the blocks in a partition that is sorted by (h, note, cls), as rows (h, a, b, x, y): of small
+    blocks (h null) two classes and their notes; of large ones each class, its centre and their notes.
 
     Rows come in batches and a block may cross them, so of the block at a batch's end either its few rows are held
     back or, once it is large, only its first row, the centre.
@@ -174,18 +227,16 @@ class _Blocks:
         self.large = None  # the first row of an unfinished large block
         self.last = None
 
-    def _meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether a common n-gram at these places leaves room for the overlap that both sizes ask for."""
-        n, m = _size(x), _size(y)
-        both = -((-self.percent * (n + m)) // (100 + self.percent))
-        return (_place(x) <= n - both) & (_place(y) <= m - both)
-
     def _pairs(self, rows: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+        """(cls, other cls, note, other note) of the pairs whose sizes allow the similarity."""
         i, j = np.triu_indices(k, 1)
         at, to = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
-        good = self._meet(rows[1, at], rows[1, to])
-        pairs = np.stack([rows[2, at[good]], rows[2, to[good]]])
-        return np.sort(pairs, axis=0)
+        n, m = _size(rows[1, at]), _size(rows[1, to])
+        good = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+        at, to = at[good], to[good]
+        turn = rows[2, at] > rows[2, to]
+        at, to = np.where(turn, to, at), np.where(turn, at, to)
+        return np.stack([rows[2, at], rows[2, to], rows[1, at], rows[1, to]])
 
     def add(self, rows: np.ndarray | None) -> pa.RecordBatch | None:
         """What is certain after these rows; None stands for the end."""
@@ -231,24 +282,19 @@ class _Blocks:
             leads.append(np.repeat(whole[:, starts[big]], sizes[big], axis=1))
         if not pairs and not many:
             return None
-        p = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
-        p = np.unique(p, axis=1) if p.shape[1] else p
+        p = np.concatenate(pairs, axis=1) if pairs else np.empty((4, 0), np.int64)
         m = np.concatenate(many, axis=1) if many else np.empty((3, 0), np.int64)
         lead = np.concatenate(leads, axis=1) if leads else m
-        empty = lambda n: pa.nulls(n, pa.int64())
-        left = [pa.array(p[0]), pa.array(p[1]), *[empty(p.shape[1])] * 6]
-        right = [empty(m.shape[1])] * 2 + [pa.array(x) for x in (m[0], m[2], _size(m[1]), _place(m[1]), lead[2], _size(lead[1]))]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(left, right)], ["a", "b", "h", "cls", "n", "pos", "lead", "lead_n"])
+        h = pa.concat_arrays([pa.nulls(p.shape[1], pa.int64()), pa.array(m[0])])
+        both = np.concatenate([p, np.stack([m[2], lead[2], m[1], lead[1]])], axis=1)
+        both[2:] &= (1 << _SIZE_BITS + _PLACE_BITS) - 1
+        return pa.RecordBatch.from_arrays([h, *map(pa.array, both)], ["h", "a", "b", "x", "y"])
 
 
 def _size(note: np.ndarray) -> np.ndarray:
     return (note >> _PLACE_BITS) & ((1 << _SIZE_BITS) - 1)
 
 
-def _place(note: np.ndarray) -> np.ndarray:
-    return note & ((1 << _PLACE_BITS) - 1)
-
-
 def _multiply(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = _Blocks(percent)
@@ -312,23 +358,16 @@ def _whole(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in parts(batches):
-            h, at = sets(batch)
-            cls = digests(h, at)
-            place = (cls.view(np.int64) % FILTER_BITS).astype(np.int64)
-            keep = (bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1
             ids, signs, blobs = [], [], []
-            for k in np.flatnonzero(keep).tolist():
-                if (one := int(cls[k])) in seen or at[k] == at[k + 1]:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(one)
-                ids.append(cls[k])
-                signs.append(signature(h[at[k] : at[k + 1]]).tobytes())
-                blobs.append(h[at[k] : at[k + 1]].tobytes())
+            for cls, one in _fresh(*sets(batch), seen):
+                place = (cls - (cls >> 63 << 64)) % FILTER_BITS
+                if bits.value[place >> 5] >> (place & 31) & 1:
+                    ids.append(cls)
+                    signs.append(signature(one).tobytes())
+                    blobs.append(one.tobytes())
             if ids:
                 sizes = pa.array([len(x) // 8 for x in blobs], pa.int64())
-                yield pa.RecordBatch.from_arrays([signed(np.array(ids)), sizes, pa.array(signs, pa.binary()), pa.array(blobs, pa.binary())], ["cls", "n", "sign", "blob"])
+                yield pa.RecordBatch.from_arrays([signed(np.array(ids, U64)), sizes, pa.array(signs, pa.binary()), pa.array(blobs, pa.binary())], ["cls", "n", "sign", "blob"])
 
     return run
 
@@ -349,7 +388,7 @@ def _decide(percent: int):
 
 
 def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, decided on their whole sets."""
+    """The pairs (a, b) of classes that are similar enough, decided on their whole sets; checkpointed."""
     classes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(_wanted(classes))
     whole = docs.select("text").mapInArrow(_whole(bits), "cls long, n long, sign binary, blob binary")
@@ -362,12 +401,43 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(_near(percent), "a long, b long"),
         "near",
     )
-    return (
+    got = cut(
         near.join(whole.select(F.col("cls").alias("a"), F.col("blob").alias("x")), "a")
         .join(whole.select(F.col("cls").alias("b"), F.col("blob").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(_decide(percent), "a long, b long")
     )
+    discard(whole, near)
+    return got
+
+
+def _sized(note: str) -> str:
+    return f"shiftright({note}, {_PLACE_BITS})"
+
+
+def _placed(note: str) -> str:
+    return f"({note} & {(1 << _PLACE_BITS) - 1})"
+
+
+def accumulated(small: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the small blocks that can still have the overlap their sizes ask for.
+
+    A pair's common n-grams are those counted here, at most as many as the row with fewer has in large blocks
+    (held: cls, large), and those that aren't among the counted part of one of the two rows. The last kind comes
+    after all others in the common order, so it is no more than what either row has after its last counted place,
+    and no more than one of the rows has outside of its counted part.
+    """
+    both = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
+    rest = lambda n: F.ceil(F.col(n) * percent / F.lit(100)) - 1
+    beyond = F.greatest(F.least(rest("n"), F.expr("m - q - 1")), F.least(rest("m"), F.expr("n - p - 1")))
+    return (
+        small.groupBy("a", "b")
+        .agg(F.count("*").alias("c"), *(F.max(F.expr(e)).alias(k) for k, e in (("n", _sized("x")), ("m", _sized("y")), ("p", _placed("x")), ("q", _placed("y")))))
+        .join(held.select(F.col("cls").alias("a"), F.col("large").alias("i")), "a", "left")
+        .join(held.select(F.col("cls").alias("b"), F.col("large").alias("j")), "b", "left")
+        .where(F.col("c") + F.least(F.coalesce("i", F.lit(0)), F.coalesce("j", F.lit(0))) + beyond >= both)
+        .select("a", "b")
+    )
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -383,12 +453,12 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stored(docs.mapInArrow(_members, "doc_id long, n long, cls long"), "members")
     sizes = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
 
-    last, rank = map(spark.sparkContext.broadcast, frequent(docs))
-    index = docs.select("text").mapInArrow(_index(last, rank, percent), "h long, cls long, note long")
+    order = spark.sparkContext.broadcast(frequent(docs, members.agg(F.sum("n")).first()[0] or 0))
+    index = docs.select("text").mapInArrow(_index(order, percent), "h long, cls long, note long")
     # the first of a block is its centre: the least rare n-grams, then the smallest
     index = index.repartition("h").sortWithinPartitions("h", "note", "cls")
-    found = stored(index.mapInArrow(_multiply(percent), "a long, b long, h long, cls long, n long, pos long, lead long, lead_n long"), "blocks")
-    many = found.where("h is not null").drop("a", "b")
+    found = stored(index.mapInArrow(_multiply(percent), "h long, a long, b long, x long, y long"), "blocks")
+    many = found.where("h is not null").selectExpr("h", "a as cls", "b as lead", f"{_sized('x')} as n", f"{_placed('x')} as pos", f"{_sized('y')} as lead_n")
     stars = (
         many.where(f"cls <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
         .groupBy(F.col("cls").alias("a"), F.col("lead").alias("b"))
@@ -397,8 +467,8 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where("20 * c >= n or c >= 20")
         .select("a", "b")
     )
-    pairs = cut(found.where("a is not null").select("a", "b").distinct().union(stars))
-    first = cut(linked(docs, pairs, percent))
+    small = accumulated(found.where("h is null"), many.groupBy("cls").agg(F.count("*").alias("large")), percent)
+    first = linked(docs, cut(small.union(stars).distinct()), percent)
     roots = components(first)
 
     held = many.join(roots, many["cls"] == roots["v"], "left").select("h", "cls", "pos", "n", F.coalesce("root", "cls").alias("root"))
@@ -409,12 +479,13 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     meet = f"x.h = y.h and x.cls < y.cls and x.pos <= x.n - {both} and y.pos <= y.n - {both}"
     across = held.alias("x").join(held.alias("y"), F.expr(f"{meet} and x.root <> y.root"))
     across = cut(across.selectExpr("x.cls as a", "y.cls as b").distinct())
-    roots = components(first.union(cut(linked(docs, across, percent))))
+    discard(found)
+    roots = components(first.union(linked(docs, across, percent)))
     least = sizes.join(roots, sizes["cls"] == roots["v"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
-    return members.join(least, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    some, none = members.where("cls is not null"), members.where("cls is null")
+    some = some.join(least, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.union(none.select("doc_id", F.col("n"), "doc_id"))
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

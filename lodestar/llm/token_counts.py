@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .words import U64, _BYTE, _powers_to, mix, signed
+from .words import U64, _BYTE, _powers_to, mix, packed, signed, unpacked
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -95,16 +95,6 @@ def piece_hashes(pieces: pa.Array) -> np.ndarray:
     return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]] + np.diff(offsets).astype(U64))
 
 
-def packed(x: np.ndarray) -> bytes:
-    """uint32 numbers compressed, their low bytes first, then the next, so that small ones take little."""
-    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
-
-
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
-
-
 _BLOCK = "block long, ids array<long>, sizes array<long>, extra array<long>, ptr binary, place binary, times binary, pieces array<string>, n_pairs long"
 
 
