@@ -1,17 +1,40 @@
 """A training corpus from raw documents: each stage works on all that the one before has kept.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents. What a
+stage returned has to be written before the next stage begins, which deletes the files that the stage before left.
 """
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard, language, pieces, substrings
-from lodestar.llm.common import stored, table
+from lodestar.llm.common import discard, held, release, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders that the last stage has written and its result reads.
+_left: list[str] = []
+
+
+def stage(work: Stage) -> Stage:
+    """Frees the files of the stage before, so that a run takes the disk of its largest stage and not of all."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        _left.clear()
+        before = set(held)
+        got = work(spark, docs, sf_dir)
+        _left.extend(x for x in held if x not in before)
+        return got
+
+    return run_stage
 
 
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter go. Where no language could be learned, all others stay."""
     model = language.Model(*language.sample(docs))
@@ -21,6 +44,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return got.where("lang_pred <> 'und'").select(*docs.columns)
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies the document with the smallest doc_id. Documents without n-grams are no copies, and rows
     without doc_id stay."""
@@ -28,6 +52,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out, and n_chars follows. Texts without any stay as they are; a document of which
     nothing is left goes."""
@@ -37,12 +62,14 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@stage
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark items."""
     bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_pieces, ids) of each document."""
     got = pieces.encoded(docs, ["doc_id", "lang", "source"])
@@ -63,6 +90,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+    for k, (_, work) in enumerate(STAGES):
+        got = stored(work(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            discard(docs)
+        docs = got
     return docs
