@@ -2,7 +2,8 @@
 
 The trellis has a node for each character boundary and an arc for each vocabulary piece. Only the last
 max-piece-length boundaries can start an arc that is still to come, so only those are kept as a window; whenever the
-backpointer paths of all of them meet in one boundary, the ids before it are final and are committed.
+backpointer paths of all of them meet in one boundary, the ids before it are final and are committed. The trellis is
+fed word by word where no piece spans the boundary before a word, as all paths meet there; ids of words are remembered.
 
 Two kinds of model:
 - unigram: arcs add their scores and a boundary keeps its best path (Viterbi);
@@ -118,53 +119,72 @@ class Vocabulary:
 
 
 class Stream:
-    """Encodes a text given in parts; feed() and end() return the ids that have become final."""
+    """Encodes a text given in parts; feed() returns the pieces that have become final.
+
+    back has of each boundary of the window the arc that its best path ends with: (begin, piece, score), None where no
+    path has come yet. Arcs are laid forward, from boundary to boundary, as soon as all text they may cover is here;
+    boundaries from `next` on haven't laid theirs.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.chars = ""  # from the window's first boundary on
-        self.back: list[tuple[int, str, float]] = [(0, "", 0.0)]  # of each boundary: arc's begin, piece, score
+        self.back: list = [(0, "", 0.0)]
+        self.next = 0
 
-    def feed(self, text: str) -> list[str]:
-        """Final pieces after so much more (already escaped) text."""
-        v, ids, longest = self.v, self.v.ids, self.v.longest
-        done = len(self.back) - 1
+    def feed(self, text: str, end: bool = False) -> list[str]:
+        """Final pieces after so much more (already escaped) text; end: no more comes."""
         self.chars += text
-        chars, back = self.chars, self.back
-        out: list[str] = []
-        for i in range(done + 1, len(chars) + 1):
-            found = None
-            if v.bpe:
-                for j in range(max(0, i - longest), i):
-                    piece = chars[j:i]
-                    if (piece in ids or j == i - 1) and back[j] is not None and v.fit(back[j][1], piece):
-                        found = (j, piece, 0.0)
-                        break
-            else:
-                for j in range(max(0, i - longest), i):
-                    piece = chars[j:i]
-                    k = ids.get(piece)
-                    if k is None and j < i - 1 or back[j] is None:
-                        continue
-                    score = back[j][2] + (v.scores[k] if k is not None else v.low)
-                    if found is None or score > found[2]:
-                        found = (j, piece, score)
-            back.append(found)
-            if i >= 4 * longest and i % longest == 0 or len(chars) == i and i >= longest:
-                cut = self._meeting(i)
-                if cut and i == len(chars):
-                    out += self._path(cut)
-                    score = back[cut][2]
-                    self.chars = chars[cut:]
-                    last = back[cut][1]
-                    self.back = [(0, last, score)] + [None if b is None else (b[0] - cut, b[1], b[2]) for b in back[cut + 1 :]]
-                    self.back = [b if b is None or k == 0 or b[0] >= 0 else None for k, b in enumerate(self.back)]
+        n = len(self.chars)
+        self.back += [None] * (n + 1 - len(self.back))
+        stop = n if end else n - self.v.longest + 1
+        if stop > self.next:
+            (self._merges if self.v.bpe else self._sums)(stop)
+            self.next = stop
+        cut = n if end else self._meeting()
+        out = self._path(cut)
+        if out:
+            self.chars, self.next = self.chars[cut:], self.next - cut
+            self.back = [(0, *self.back[cut][1:]), *(b and (b[0] - cut, b[1], b[2]) for b in self.back[cut + 1 :])]
         return out
 
-    def _meeting(self, i: int) -> int:
-        """The last boundary that the paths of all boundaries which may still start an arc go through."""
-        alive = {k for k in range(max(0, i - self.v.longest + 1), i + 1) if self.back[k] is not None}
-        while len(alive) > 1:
+    def _merges(self, stop: int) -> None:
+        v, chars, back = self.v, self.chars, self.back
+        ids, fits, begins, n = v.ids, v.fits, v.begins, len(chars)
+        for j in range(self.next, stop):
+            if back[j] is None:
+                continue
+            before, i = back[j][1], j + 1
+            while True:
+                piece = chars[j:i]
+                if back[i] is None and (piece in ids or i == j + 1):
+                    fit = fits.get((before, piece))
+                    if v.fit(before, piece) if fit is None else fit:
+                        back[i] = (j, piece, 0.0)
+                if i == n or piece not in begins:
+                    break
+                i += 1
+
+    def _sums(self, stop: int) -> None:
+        v, chars, back = self.v, self.chars, self.back
+        ids, begins, n = v.ids, v.begins, len(chars)
+        for j in range(self.next, stop):
+            score, i = back[j][2], j + 1  # single characters reach every boundary
+            while True:
+                piece = chars[j:i]
+                k = ids.get(piece)
+                if k is not None or i == j + 1:
+                    one = score + (v.scores[k] if k is not None else v.low)
+                    if back[i] is None or one > back[i][2]:
+                        back[i] = (j, piece, one)
+                if i == n or piece not in begins:
+                    break
+                i += 1
+
+    def _meeting(self) -> int:
+        """The last boundary without arcs to lay that the paths of all boundaries which have still to lay theirs go through."""
+        alive = {k for k in range(self.next, len(self.back)) if self.back[k] is not None}
+        while len(alive) > 1 or max(alive) > self.next:
             top = max(alive)
             alive.remove(top)
             alive.add(self.back[top][0])
@@ -178,9 +198,6 @@ class Stream:
             end = begin
         return out[::-1]
 
-    def end(self) -> list[str]:
-        return self._path(len(self.chars))
-
 
 class Codec:
     def __init__(self, path: str):
@@ -203,35 +220,10 @@ class Codec:
 
     def _stream(self, escaped: str, step: int = 4096) -> list[int]:
         stream, out = Stream(self.v), []
-        for k in range(0, len(escaped), step):
-            out += self._ids(stream.feed(escaped[k : k + step]))
-        return out + self._ids(stream.end())
-
-    def _word(self, word: str) -> list[int]:
-        """_stream() of a BPE word whose end is a boundary that all paths meet in: no window is needed."""
-        v, n = self.v, len(word)
-        ids, fits, begins = v.ids, v.fits, v.begins
-        last: list = [""] + [None] * n
-        begin = [0] * (n + 1)
-        for j in range(n):  # arcs forward: all that end in j are known
-            before = last[j]
-            if before is None:
-                continue
-            i = j + 1
-            while True:
-                piece = word[j:i]
-                if last[i] is None and (piece in ids or i == j + 1):
-                    fit = fits.get((before, piece))
-                    if v.fit(before, piece) if fit is None else fit:
-                        last[i], begin[i] = piece, j
-                if i == n or piece not in begins:
-                    break
-                i += 1
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = begin[i]
-        return self._ids(out[::-1])
+        while len(escaped) > step:
+            out += self._ids(stream.feed(escaped[:step]))
+            escaped = escaped[step:]
+        return out + self._ids(stream.feed(escaped, end=True))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text. An empty one has none."""
@@ -247,10 +239,9 @@ class Codec:
             ids = get(word)
             if ids is None:
                 ids = self.older.get(word)
-                short = len(word) <= 64
                 if ids is None:
-                    ids = self._word(word) if short and self.v.bpe else self._stream(word)
-                if short:
+                    ids = self._stream(word)
+                if len(word) <= 64:  # longer ones hardly come again
                     if len(known) >= REMEMBERED:  # words that stay in use move to the new generation
                         self.older = known
                         known = self.known = {}
