@@ -45,7 +45,7 @@ def repeated_words(found: Column) -> Column:
             )
             return F.size(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
 
-        return let(F.array_sort(windows), neighbours)
+        return let(F.sort_array(windows), neighbours)
 
     return F.when(F.size(found) < 4, 0).otherwise(let(found, covered)).cast("long")
 
