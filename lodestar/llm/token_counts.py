@@ -29,6 +29,9 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
+#: Distinct pre-tokens counted in one task, about, and the least number of such tasks. A block sends no more shares than
+#: there are buckets, and these grow with the vocabulary of the corpus, not with its blocks.
+BUCKET_PIECES, LEAST_BUCKETS = 50_000, 48
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -220,8 +223,8 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or vocabulary_path()
     blocks = stored(docs.select("doc_id", "text").mapInArrow(_blocks(path), _BLOCK), "pretokens")
-    n_blocks = blocks.count()
-    buckets = min(1 << 20, max(8, 2 * n_blocks))
+    distinct = blocks.select(F.explode("pieces").alias("piece")).agg(F.approx_count_distinct("piece")).first()[0]
+    buckets = min(1 << 20, max(LEAST_BUCKETS, distinct // BUCKET_PIECES))
     shares = blocks.select("block", "pieces").mapInArrow(_shares(buckets), "bucket long, block long, pieces array<string>")
     counted = shares.groupBy("bucket").applyInArrow(_count(path), "block long, bucket long, counts binary")
     back = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("shares"))
