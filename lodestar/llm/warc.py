@@ -32,6 +32,8 @@ from .common import shared_dir, stored, table
 LEAST_SHARED = 1000
 #: Lines in a block of the index.
 BLOCK_LINES = 2000
+#: Bytes of records that a task reads, about, when all are looked up.
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 CAPTURE = "key string, page_id long, archive string, at long, size long, kind string, digest string"
 RECORD = "key string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -127,13 +129,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     the others refer to it.
     """
     _make(folder)
-    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    size = F.octet_length(F.coalesce("html", F.lit("")))
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("digest"))
     # computed by itself, so that only digests are grouped
-    last = rows.where(size >= LEAST_SHARED).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(last, "digest", "left")
-    refers = F.when((size >= LEAST_SHARED) & (F.col("last") != F.col("page_id")), F.col("last"))
-    return stored(rows.select("page_id", "url", "html", "digest", refers.alias("refers_to"), capture_key(F.col("url")).alias("key")).mapInArrow(_write(folder), CAPTURE), "captures")
+    large = rows.where(F.octet_length(html) >= LEAST_SHARED)
+    last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # small payloads refer to nothing and stay where they are
+    large = large.join(last, "digest", "left").withColumn("refers_to", F.when(F.col("last") != F.col("page_id"), F.col("last"))).drop("last")
+    small = rows.where(F.octet_length(html) < LEAST_SHARED).withColumn("refers_to", F.lit(None).cast("long"))
+    rows = small.unionByName(large)
+    return stored(rows.select("page_id", "url", "html", "digest", "refers_to", capture_key(F.col("url")).alias("key")).mapInArrow(_write(folder), CAPTURE), "captures")
 
 
 def _make(folder: str) -> None:
@@ -144,7 +149,7 @@ def _make(folder: str) -> None:
 def _index(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(folder)
-        name, out, at, directory, lines, last = f"{path}/{uuid.uuid4().hex}.idx", None, 0, [], [], ""
+        name, out, at, directory, lines, last, total = f"{path}/{uuid.uuid4().hex}.idx", None, 0, [], [], "", 0
 
         def flush() -> None:
             nonlocal at, lines, out
@@ -158,6 +163,7 @@ def _index(folder: str):
         for batch in batches:
             for x in batch.to_pylist():
                 last = x["key"]
+                total += x["size"]
                 lines.append([x["key"], x["archive"], x["at"], x["size"]])
                 if len(lines) >= BLOCK_LINES:
                     flush()
@@ -167,17 +173,17 @@ def _index(folder: str):
             tail = zlib.compress(json.dumps(directory).encode(), 6)
             out.write(tail + len(tail).to_bytes(8, "big"))
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([directory[0][0]]), pa.array([last])], ["file", "first_key", "last_key"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([directory[0][0]]), pa.array([last]), pa.array([total])], ["file", "first_key", "last_key", "bytes"])
 
     return run
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sorts captures by key into index files; (file, first_key, last_key) of each. Ties by page_id, so that a key
-    with very many captures is spread too."""
+    """Sorts captures by key into index files; (file, first_key, last_key, bytes of its records) of each. Ties by
+    page_id, so that a key with very many captures is spread too."""
     _make(folder)
     ordered = captures.repartitionByRange("key", "page_id", "at").sortWithinPartitions("key", "page_id", "archive", "at")
-    return stored(ordered.select("key", "archive", "at", "size").mapInArrow(_index(folder), "file string, first_key string, last_key string"), "index")
+    return stored(ordered.select("key", "archive", "at", "size").mapInArrow(_index(folder), "file string, first_key string, last_key string, bytes long"), "index")
 
 
 class _Reader:
@@ -259,10 +265,12 @@ def _records(rows: list[dict]) -> pa.RecordBatch:
 def lookup(keys: DataFrame, index: DataFrame, folder: str) -> DataFrame:
     """The records of all captures of the keys (key string): see RECORD. Keys that aren't there give no rows."""
     # as many rows as index files
-    files = sorted(map(tuple, index.select("file", "first_key", "last_key").collect()), key=lambda x: (x[1], x[2]))
+    files = sorted(map(tuple, index.select("file", "first_key", "last_key", "bytes").collect()), key=lambda x: (x[1], x[2]))
     told = keys.sparkSession.sparkContext.broadcast(files)
     blocks = keys.select("key").where("key is not null").distinct().mapInArrow(_find(told, folder), "key string, file string, at long, size long")
-    blocks = blocks.repartition("file", "at").sortWithinPartitions("file", "at", "key")
+    # a given number, as the rows dealt here say nothing of the records behind them
+    tasks = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(x[3] for x in files) // TASK_BYTES)
+    blocks = blocks.repartition(tasks, "file", "at").sortWithinPartitions("file", "at", "key")
     return blocks.mapInArrow(_fetch(folder), RECORD)
 
 
