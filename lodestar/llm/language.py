@@ -6,7 +6,8 @@ sample span a Nyström approximation: with K the kernel among landmarks, the fea
 and one-versus-rest kernel ridge regression on them is linear. Scoring is two matrix products a batch: the batch's
 0/1 n-gram matrix with the landmarks' one gives all kernel values, those with the coefficients all scores.
 
-The n-gram universe is that of the sample, so P counts known n-grams only.
+The n-gram universe is that of the sample, so P counts known n-grams only. Sampled texts are read whole in the tasks,
+which send on their distinct n-grams: all that a presence kernel sees of a text, however long it is.
 """
 
 from collections.abc import Iterator
@@ -23,12 +24,10 @@ from .common import table
 SAMPLE, ROWS = 256, 4096
 #: Of which so many of each language are landmarks.
 LANDMARKS = 48
-#: Letters known, most frequent first; all others are one letter.
-LETTERS = 120
+#: Letters known, most frequent first. Others count as one letter for each of BLOCKS runs of 256 code points, the most
+#: frequent first, and as one for all the rest.
+LETTERS, BLOCKS = 120, 30
 RIDGE = 1e-3
-#: Texts longer than this (characters) are learned from only where a language has no others, and then by so many
-#: characters from their first letter on; they are predicted whole like all others.
-LEARN_CHARS = 20_000
 _N = 3
 #: Characters in a batch of presence rows.
 _BATCH_CHARS, _BATCH_ROWS = 1 << 20, 256
@@ -38,40 +37,71 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def grams(text: str) -> list[str]:
+    """The distinct 3-grams of a text, runs of non-letters as one space; they hold the 1- and 2-grams. A text of fewer
+    than three has itself."""
+    import regex
+
+    plain = regex.sub(r"\P{L}+", " ", text.lower())
+    return sorted({plain[k : k + _N] for k in range(max(1, len(plain) - _N + 1))})
+
+
 class Grams:
-    """Which known n-grams a text has."""
+    """Which known n-grams a text has. known: the grams() of each text to learn from."""
 
-    def __init__(self, texts: list[str], letters: int = LETTERS):
+    def __init__(self, known: list[list[str]], letters: int = LETTERS):
         from collections import Counter
 
         seen = Counter()
-        for x in texts:
-            seen.update(x.lower())
-        kept = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:letters]
-        #: Letter -> 2.., other letters 1, all else 0
-        self.base = len(kept) + 2
-        self.map = {c: k + 2 for k, c in enumerate(kept)}
-        top = max(map(ord, kept), default=0)
-        self.table = np.zeros(top + 1, dtype=np.int32)
-        for c, k in self.map.items():
-            self.table[ord(c)] = k
+        for x in known:
+            seen.update(set("".join(x)) - {" "})
+        every = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        kept, rest = every[:letters], Counter()
+        for c in every[letters:]:
+            rest[ord(c) >> 8] += seen[c]
+        #: Letter -> 2.., run of other letters -> the next, any other letter 1, all else 0
+        self.blocks = {b: len(kept) + 2 + k for k, (b, _) in enumerate(sorted(rest.items(), key=lambda x: (-x[1], x[0]))[:BLOCKS])}
+        self.base = len(kept) + 2 + len(self.blocks)
+        self.table = np.zeros(max(map(ord, ["z", *kept])) + 1, dtype=np.int32)
+        self.table[ord("a") : ord("z") + 1] = 1
+        self.table[list(map(ord, kept))] = np.arange(2, len(kept) + 2)
         self.columns = np.full(sum(self.base**n for n in range(1, _N + 1)), -1, dtype=np.int32)
-        found = [np.unique(self.codes(self.letters(x))) for x in texts]
-        known = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        self.columns[known] = np.arange(len(known), dtype=np.int32)
-        self.size = len(known)
-
-    def letters(self, text: str) -> np.ndarray:
-        """Codes of the text's letters; each run of others is one 0."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        found = [np.unique(self.known_codes(x)) for x in known]
+        universe = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        self.columns[universe] = np.arange(len(universe), dtype=np.int32)
+        self.size = len(universe)
+
+    def known_codes(self, x: list[str]) -> np.ndarray:
+        """The numbers of all n-grams in a text's grams()."""
+        long = self.mapped("".join(g for g in x if len(g) == _N)).reshape(-1, _N)
+        parts, code, start = [], [long[:, k].astype(np.int64) for k in range(_N)], 0
+        for n in range(1, _N + 1):
+            parts += [c + start for c in code]
+            code = [code[k] * self.base + long[:, k + n] for k in range(_N - n)]
+            start += self.base**n
+        return np.concatenate([*parts, *(self.codes(self.mapped(g)) for g in x if len(g) < _N)])
+
+    def mapped(self, text: str) -> np.ndarray:
+        """The letter codes of a text."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         far = points >= len(self.table)
         codes = self.table[np.where(far, 0, points)]
         codes[far] = 0
         unknown = np.flatnonzero((codes == 0) & (points > 127))
         if len(unknown):
             kinds, back = np.unique(points[unknown], return_inverse=True)
-            codes[unknown] = np.array([int(chr(c).isalpha()) for c in kinds], dtype=np.int32)[back]
-        return codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]] if len(codes) else codes
+            codes[unknown] = np.array([self.blocks.get(c >> 8, 1) if chr(c).isalpha() else 0 for c in kinds.tolist()], dtype=np.int32)[back]
+        return codes
+
+    def letters(self, text: str) -> Iterator[np.ndarray]:
+        """Codes of a whole text's letters with each run of others as one 0, in parts that overlap by n - 1."""
+        tail = np.empty(0, np.int32)
+        for lo in range(0, len(text), _BATCH_CHARS):
+            codes = np.concatenate([tail, self.mapped(text[lo : lo + _BATCH_CHARS].lower())])
+            if len(codes):
+                codes = codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]
+            yield codes
+            tail = codes[len(codes) - _N + 1 :] if len(codes) >= _N else codes
 
     def codes(self, letters: np.ndarray) -> np.ndarray:
         """A number for each n-gram at each place; n-grams of other n have other numbers."""
@@ -87,10 +117,17 @@ class Grams:
         """0/1 rows, one for each text."""
         rows = np.zeros((len(texts), self.size + 1), dtype=np.float32)
         for k, x in enumerate(texts):
-            for lo in range(0, max(1, len(x)), _BATCH_CHARS):  # whole text, in pieces that overlap by n - 1
-                rows[k, self.columns[self.codes(self.letters(x[lo : lo + _BATCH_CHARS + _N - 1]))]] = 1
+            for part in self.letters(x):
+                rows[k, self.columns[self.codes(part)]] = 1
         return rows[:, : self.size]  # unknown n-grams went to the last column
 
+    def known_presence(self, known: list[list[str]]) -> np.ndarray:
+        """presence() of the texts to learn from, by their grams()."""
+        rows = np.zeros((len(known), self.size), dtype=np.float32)
+        for k, x in enumerate(known):
+            rows[k, self.columns[self.known_codes(x)]] = 1
+        return rows
+
 
 def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     norm = np.sqrt(np.maximum(x.sum(1), 1))[:, None] * np.sqrt(np.maximum(y.sum(1), 1))[None, :]
@@ -98,14 +135,14 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Fitted on (text, lang) rows; an empty sample gives a model without languages."""
+    """Fitted on texts' grams() and languages; an empty sample gives a model without languages."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, known: list[list[str]], langs: list[str]):
         self.langs = sorted(set(langs))
-        self.grams = Grams(texts)
-        if not texts:
+        self.grams = Grams(known)
+        if not known:
             return
-        x = self.grams.presence(texts)
+        x = self.grams.known_presence(known)
         chosen, taken = [], dict.fromkeys(self.langs, 0)
         for k, lang in enumerate(langs):
             if taken[lang] < LANDMARKS:
@@ -130,26 +167,29 @@ class Model:
         return [self.langs[k] for k in best], np.clip(scores[np.arange(len(texts)), best], 0, 1).astype(float).tolist()
 
 
-def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most SAMPLE labelled rows of each language that aren't held out, and at most ROWS in all. ROWS is shared
-    evenly: every language has its first row before any has its second.
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        known = pa.array([grams(x) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), known], ["lang", "h", "known"])
+
+
+def sample(docs: DataFrame) -> tuple[list[list[str]], list[str]]:
+    """The grams() and languages of at most SAMPLE labelled rows of each language that aren't held out, and of at most
+    ROWS in all. ROWS is shared evenly: every language has its first row before any has its second.
 
     Rows are dealt by a hash of their id to SAMPLE places of their language and each place keeps the row with the
     smallest hash: a uniform choice that no task has to hold more for than a place a language.
     """
     usable = docs.where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    ).select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h"), (F.length("text") > LEARN_CHARS).alias("long"))
-    place = F.pmod(F.col("h"), F.lit(SAMPLE)).alias("place")
-    first = usable.groupBy("lang", place).agg(F.min(F.struct("long", "h")).alias("f")).select("lang", "f.long", "f.h")
-    of_lang = W.partitionBy("lang")  # SAMPLE rows at most
-    first = first.withColumn("all_long", F.min("long").over(of_lang)).where("long = all_long").withColumn("no", F.row_number().over(of_lang.orderBy("h")))
-    first = first.orderBy("no", "h", "lang").limit(ROWS).select("lang", "long", "h")
+    ).select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h"))
+    first = usable.groupBy("lang", F.pmod(F.col("h"), F.lit(SAMPLE)).alias("place")).agg(F.min("h").alias("h"))
+    first = first.withColumn("no", F.row_number().over(W.partitionBy("lang").orderBy("h")))  # SAMPLE rows a language
+    first = first.orderBy("no", "h", "lang").limit(ROWS).select("lang", "h")
     # first has ROWS rows at most
-    rows = usable.join(F.broadcast(first), ["lang", "long", "h"]).dropDuplicates(["lang", "h"])
-    text = F.when(F.col("long"), F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, LEARN_CHARS)).otherwise(F.col("text"))
-    rows = rows.select("lang", "h", text.alias("text")).orderBy("h", "lang").collect()
-    return [r.text for r in rows], [r.lang for r in rows]
+    rows = usable.join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    rows = rows.select("lang", "h", "text").mapInArrow(_digest, "lang string, h long, known array<string>").orderBy("h", "lang").collect()
+    return [r.known for r in rows], [r.lang for r in rows]
 
 
 def _predict(model):

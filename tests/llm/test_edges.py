@@ -206,10 +206,10 @@ def test_url_links_in_any_case_and_without_scheme(spark):
 def test_language_sample_keeps_every_language(spark, monkeypatch):
     monkeypatch.setattr(language, "ROWS", 64)
     rows = [(k, f"text number {k}", f"l{k % 20}") for k in range(8000)] + [(9000 + k, f"rare {k}", "rare") for k in range(3)]
-    rows += [(9100 + k, "1 " * 9 + "long words " * 3000, "long") for k in range(4)]
-    texts, langs = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rows += [(9100 + k, "1 " * 9 + "long words " * 3000 + "qqq", "long") for k in range(4)]
+    known, langs = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(langs) == {r[2] for r in rows} and len(langs) == 64
-    assert all(0 < len(x) <= language.LEARN_CHARS for x in texts)
+    assert all("qqq" in x for x, lang in zip(known, langs) if lang == "long")  # whole texts are learned from
 
 
 def test_quality(spark, docs):
