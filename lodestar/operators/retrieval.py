@@ -10,24 +10,23 @@ RRF_K = 60
 BLOCK = 512
 
 
-def bm25(postings: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, key, score, matched): OR-match of queries (query_id, terms) with postings (key, term[, field]).
+def bm25(rows: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(query_id, key, score, matched): OR-match of queries (query_id, terms) with rows (key, an array of words for each
+    field that weights names).
 
-    A term's frequency is the weighted sum over fields, a row's length all its tokens. Terms in more than half of the
-    rows count almost nothing. Only postings of asked terms reach the join; lengths are one aggregation.
+    A term's frequency is the weighted sum over fields, a row's length all its words. Terms in more than half of the
+    rows count almost nothing. Lengths are sizes of arrays, so all words are seen once, and only asked ones are grouped.
     """
-    weight = F.lit(1.0)
-    if weights:
-        weight = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("field"))
-    lengths = postings.groupBy("key").agg(F.count("*").alias("dl"))
-    whole = lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
+    length = sum((F.greatest(F.size(f), F.lit(0)) for f in weights), F.lit(0)).alias("dl")
+    whole = rows.agg(F.count_if(length > 0).alias("n_rows"), F.avg(F.when(length > 0, length)).alias("avgdl"))
+    words = F.concat(*(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for f, w in weights.items()))
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    hits = postings.withColumn("w", weight).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy("term", "key").agg(F.sum("w").alias("tf"))
+    hits = rows.select("key", length, F.inline(words)).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = hits.groupBy("term", "key").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     # whole is one row
-    scored = hits.join(df, "term").join(lengths, "key").crossJoin(F.broadcast(whole)).select(
+    scored = hits.join(df, "term").crossJoin(F.broadcast(whole)).select(
         "term", "key",
         (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("s"),
     )
@@ -139,3 +138,13 @@ def packed(rows: DataFrame, budget: int, per_note: int, most: int) -> DataFrame:
     cells = cells.select("query_id", F.transform("cells", lambda x: F.struct(x["rank"].cast("int").alias("rank"), x["note"].cast("long").alias("note"), x["size"].cast("long").alias("size"))).alias("cells"))
     kept = F.aggregate("cells", F.struct(F.lit(0).cast("long").alias("used"), empty.alias("kept")), step, lambda a: a["kept"])
     return cells.select("query_id", F.inline(kept))
+
+
+def early_exit(fused: DataFrame, lexical: DataFrame, dense: DataFrame, within: int = 3, few: int = 3, many: int = 16) -> DataFrame:
+    """(query_id, early, to_score) of queries that both lists answer: early where they have one first key and it is
+    among the first `within` of the fused list."""
+    firsts = lexical.where("rank = 1").select("query_id", "key").join(dense.where("rank = 1").select("query_id", F.col("key").alias("other")), "query_id")
+    near = fused.where(F.col("rank") <= within).select("query_id", "key", F.lit(True).alias("near"))
+    rows = firsts.join(near, ["query_id", "key"], "left")
+    early = (F.col("key") == F.col("other")) & F.coalesce("near", F.lit(False))
+    return rows.select("query_id", early.alias("early"), F.when(early, few).otherwise(many).alias("to_score"))

@@ -11,7 +11,7 @@ _EDGES = """n AS (SELECT count(*) AS n FROM supplier), edges AS (
   SELECT l_suppkey AS a, l_partkey % n AS b, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS pos,
     CASE WHEN l_returnflag = 'R' THEN 'sentence' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'table' WHEN l_linenumber % 2 = 0 THEN 'fm' ELSE 'list_bare' END AS kind,
     CASE WHEN l_returnflag <> 'R' AND NOT (l_returnflag = 'A' AND l_linestatus = 'F') AND l_linenumber % 2 = 0 THEN CASE WHEN l_linenumber = 2 THEN 'related' ELSE 'mentions' END END AS fm_key
-  FROM lineitem, n WHERE l_orderkey % 10 = 0),
+  FROM lineitem, n),
 w AS (SELECT *, CASE kind WHEN 'sentence' THEN 1.0 WHEN 'table' THEN 0.5 WHEN 'list_bare' THEN 0.3 WHEN 'fm' THEN CASE fm_key WHEN 'related' THEN 0.3 ELSE 0.2 END ELSE 0 END::DOUBLE AS weight FROM edges)"""
 _PAIRS = f"""{_EDGES}, pairs AS (SELECT a, b, max(weight) AS base, first(kind ORDER BY -weight, pos) AS kind, count(*) FILTER (kind NOT IN ('fm', 'trailer')) AS bodies, count(*) AS n FROM w WHERE a <> b GROUP BY a, b),
 deg AS (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT b AS id, 1 AS i, 0 AS o FROM pairs WHERE base >= 0.15 UNION ALL SELECT a, 0, 1 FROM pairs WHERE base >= 0.15) GROUP BY id)"""
@@ -120,7 +120,7 @@ def graph_glow(spark, d):
     return G.glow(G.strengths(pairs_of(spark, d)), start).select("id", "hop", F.round("light", 6).alias("light"))
 
 
-_SEEDS = "seeds AS (SELECT c_custkey % 20 AS query_id, c_custkey % n AS note, max(c_acctbal) AS score, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY max(c_acctbal) DESC, c_custkey % n) AS rank FROM customer, n WHERE c_custkey < 400 GROUP BY 1, 2)"
+_SEEDS = "seeds AS (SELECT c_custkey % 20 AS query_id, c_custkey % n AS note, max(c_acctbal) AS score, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY max(c_acctbal) DESC, c_custkey % n) AS rank FROM customer, n GROUP BY 1, 2)"
 
 
 def seeds(spark, d):
@@ -184,10 +184,10 @@ def graph_partners(spark, d):
     return p.withColumn("r", r).where("r <= 1").select("query_id", "note", "anchor")
 
 
-@query(f"""WITH t AS (SELECT DISTINCT l_orderkey AS note, l_partkey % 50 AS topic FROM lineitem WHERE l_orderkey < 120)
+@query(f"""WITH t AS (SELECT DISTINCT l_orderkey AS note, l_partkey AS topic FROM lineitem)
 SELECT a.note AS id, b.note AS nb, count(*) AS n, string_agg(CAST(a.topic AS VARCHAR), '|' ORDER BY a.topic) AS topics FROM t a JOIN t b ON a.topic = b.topic AND a.note <> b.note GROUP BY a.note, b.note""")
 def shared_topic_neighbours(spark, d):
-    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note"), (F.col("l_partkey") % 50).alias("topic")).distinct()
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note"), F.col("l_partkey").alias("topic")).distinct()
     both = t.join(t.withColumnRenamed("note", "nb"), "topic").where("note <> nb").groupBy(F.col("note").alias("id"), "nb")
     return both.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("topic")), lambda x: x.cast("string")), "|").alias("topics"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import title_overlap, tokens
 from ..operators import retrieval as R
 from ..registry import query
 from .views import NOTES, POSTINGS, QUESTIONS, notes, postings, questions, table
@@ -21,12 +22,19 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _DENSE = r"""den AS (
   SELECT * FROM (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, key) AS rank FROM (
     SELECT q.vec_id AS query_id, v.vec_id AS key, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-    FROM embeddings v, embeddings q WHERE q.vec_id < 40)) WHERE rank <= 40)"""
+    FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 40)"""
+
+
+TEXT = {"text": 1.0}
+
+
+def words(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), tokens(F.col("text")).alias("text"))
 
 
 def lexical(spark, d, most=40, hidden=None):
     """Keys of hidden count in BM25's statistics only."""
-    got = R.bm25(postings(spark, d), questions(spark, d))
+    got = R.bm25(words(spark, d), questions(spark, d), TEXT)
     return R.ranked(got if hidden is None else got.join(hidden, "key", "left_anti"), most=most)
 
 
@@ -50,18 +58,6 @@ _FIELDS = r"""fp AS (
     UNION ALL SELECT doc_id, 'project', [source] FROM documents))"""
 
 
-def field_postings(spark, d):
-    from ..functions.text import tokens
-
-    docs = table(spark, d, "documents")
-    t = tokens(F.col("text"))
-    fields = F.array(
-        F.struct(F.lit("text").alias("field"), t.alias("t")), F.struct(F.lit("title").alias("field"), F.slice(t, 1, 3).alias("t")),
-        F.struct(F.lit("project").alias("field"), F.array("source").alias("t")),
-    )
-    return docs.select(F.col("doc_id").alias("key"), F.inline(fields)).select("key", "field", F.explode("t").alias("term"))
-
-
 @query(rf"""WITH {QUESTIONS}, {_FIELDS},
 dl AS (SELECT key, count(*) AS dl FROM fp GROUP BY key), whole AS (SELECT count(*) AS n_rows, avg(dl) AS avgdl FROM dl),
 asked AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM questions),
@@ -72,20 +68,22 @@ s AS (SELECT tf.term, tf.key, greatest(ln((n_rows - df + 0.5) / (df + 0.5)), 1e-
 scored AS (SELECT query_id, key, sum(s) AS score FROM asked JOIN s ON s.term = asked.term GROUP BY query_id, key)
 SELECT query_id, key, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, key) AS rank FROM scored) WHERE rank <= 40""")
 def bm25_fields(spark, d):
-    got = R.bm25(field_postings(spark, d), questions(spark, d), {"title": 4.0, "text": 1.0, "project": 1.5})
+    t = tokens(F.col("text"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("key"), t.alias("text"), F.slice(t, 1, 3).alias("title"), F.array("source").alias("project"))
+    got = R.bm25(rows, questions(spark, d), {"title": 4.0, "text": 1.0, "project": 1.5})
     return R.ranked(got, most=40).select("query_id", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, key, matched FROM scored JOIN (SELECT query_id, len(terms) AS n FROM questions) USING (query_id) WHERE matched = n")
 def fts_and(spark, d):
     q = questions(spark, d)
-    got = R.bm25(postings(spark, d), q).join(q.select("query_id", F.size("terms").alias("n")), "query_id")
+    got = R.bm25(words(spark, d), q, TEXT).join(q.select("query_id", F.size("terms").alias("n")), "query_id")
     return got.where("matched = n").select("query_id", "key", "matched")
 
 
 @query(f"WITH {_BM25} SELECT query_id, count(*) AS n, max(matched) AS most FROM scored GROUP BY query_id")
 def fts_or(spark, d):
-    return R.bm25(postings(spark, d), questions(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.max("matched").alias("most"))
+    return R.bm25(words(spark, d), questions(spark, d), TEXT).groupBy("query_id").agg(F.count("*").alias("n"), F.max("matched").alias("most"))
 
 
 @query(rf"""WITH {POSTINGS}, {QUESTIONS}, asked AS (SELECT query_id, left(t, 4) AS prefix FROM (SELECT query_id, unnest(terms[1:2]) AS t FROM questions) WHERE length(t) >= 4 GROUP BY ALL),
@@ -109,7 +107,7 @@ def phrase_match(spark, d):
 @query(f"WITH {_BM25} SELECT query_id, key, strict, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strict DESC, round(score, 6) DESC, key) AS rank FROM (SELECT *, matched = n AS strict, count(*) FILTER (matched = n) OVER (PARTITION BY query_id) AS k FROM scored JOIN (SELECT query_id, len(terms) AS n FROM questions) USING (query_id)) WHERE strict OR (k < 5 AND n > 1)) WHERE rank <= 30")
 def strict_then_loose(spark, d):
     q = questions(spark, d)
-    got = R.strict_then_loose(R.bm25(postings(spark, d), q), q.select("query_id", F.size("terms").alias("n_terms")), 5)
+    got = R.strict_then_loose(R.bm25(words(spark, d), q, TEXT), q.select("query_id", F.size("terms").alias("n_terms")), 5)
     return got.where("rank <= 30").select("query_id", "key", "strict", F.col("rank").cast("long").alias("rank"))
 
 
@@ -118,8 +116,6 @@ def strict_then_loose(spark, d):
   FROM lex JOIN questions USING (query_id) JOIN notes ON id = key)
 SELECT query_id, key, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, key) AS rank FROM r) WHERE rank <= 10""")
 def search_notes(spark, d):
-    from ..functions.text import title_overlap
-
     rows = lexical(spark, d).join(questions(spark, d), "query_id").join(notes(spark, d).select(F.col("id").alias("key"), "title"), "key")
     score = 1.0 / (60 + F.col("rank") - 1) + 0.02 * title_overlap(F.col("title"), F.col("terms"))
     rows = R.ranked(rows.select("query_id", "key", score.alias("score")), most=10)
@@ -228,7 +224,12 @@ def search_rollup(spark, d):
     return hybrid(spark, d).groupBy("query_id", (F.col("key") % 50).alias("note")).agg(F.min("pos").cast("long").alias("pos"))
 
 
-@query(f"WITH {_HYBRID}, v AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM hybrid WHERE key NOT IN (SELECT doc_id FROM v)")
+# The access rule of the SQL: hidden keys leave each list before its first cut.
+_OPEN = "(SELECT doc_id FROM labels WHERE toxic = 1)"
+_READABLE = _HYBRID.replace("AS rank FROM scored)", f"AS rank FROM scored WHERE key NOT IN {_OPEN})").replace("q.vec_id % 20 = 0)", f"q.vec_id % 20 = 0 AND v.vec_id NOT IN {_OPEN})")
+
+
+@query(f"WITH {_READABLE} SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM hybrid")
 def search_hybrid(spark, d):
     """Private notes leave each list before its first cut, so they crowd out no others."""
     private = notes(spark, d).where("visibility = 'private'").select(F.col("id").alias("key"))
@@ -263,11 +264,10 @@ def snippet_prefix(spark, d):
     return docs.join(lexical(spark, d).select("key").distinct(), "key", "left_semi")
 
 
-@query(f"WITH {_BM25}, c AS (SELECT a.query_id, a.key = b.key AND f.rank <= 3 AS early FROM lex a JOIN (SELECT query_id, key FROM lex WHERE rank <= 1 AND key % 2 = 0) b USING (query_id) JOIN (SELECT query_id, key, rank FROM lex) f ON f.query_id = a.query_id AND f.key = a.key WHERE a.rank = 1) SELECT query_id, bool_or(early) AS early, CASE WHEN bool_or(early) THEN 3 ELSE 16 END AS to_score FROM c GROUP BY query_id")
+@query(f"""WITH {_RRF}, c AS (SELECT a.query_id, coalesce(f.rank <= 3, false) AS early FROM lex a JOIN den b USING (query_id) LEFT JOIN fused f ON f.query_id = a.query_id AND f.key = a.key AND a.key = b.key WHERE a.rank = 1 AND b.rank = 1)
+SELECT query_id, early, CASE WHEN early THEN 3 ELSE 16 END AS to_score FROM c""")
 def early_exit(spark, d):
-    """Both lists agree on the first, and fusion has it in its first three: three candidates are scored, not sixteen."""
-    lex = lexical(spark, d)
-    other = lex.where("rank <= 1 and key % 2 = 0").select("query_id", F.col("key").alias("first"))
-    rows = lex.where("rank = 1").join(other, "query_id").select("query_id", ((F.col("key") == F.col("first")) & (F.col("rank") <= 3)).alias("e"))
-    rows = rows.groupBy("query_id").agg(F.bool_or("e").alias("early"))
-    return rows.withColumn("to_score", F.when(F.col("early"), 3).otherwise(16))
+    """Where the lexical and the dense list agree on the first and fusion has it in its first three, three candidates
+    are scored, not sixteen."""
+    lists = three_lists(spark, d)
+    return R.early_exit(R.fuse(lists), lists[0], lists[1])

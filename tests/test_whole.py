@@ -6,15 +6,9 @@ import pytest
 
 import __spark_entry__ as entry_points
 
-from conftest import SMALL, compare
 from lodestar.operators import retrieval
 
 QUERIES = entry_points.queries()
-#: The id subsets that the SQL still has; Spark's queries haven't.
-CUTS = (" WHERE l_orderkey % 10 = 0", " WHERE c_custkey < 400", " WHERE l_orderkey < 120")
-#: The questions that the SQL of dense search still asks.
-FORTY = "q.vec_id < 40"
-
 
 def put(spark, folder, **tables):
     for name, (rows, schema) in tables.items():
@@ -49,27 +43,13 @@ def test_all_orders_share_topics(spark, graph):
     where, lines = graph
     topics = defaultdict(set)
     for order, _, part, *_ in lines:
-        topics[order].add(part % 50)
+        topics[order].add(part)
     want = {(a, b): sorted(x & y) for a, x in topics.items() for b, y in topics.items() if a != b and x & y}
     got = {(r.id, r.nb): (r.n, r.topics) for r in QUERIES["shared_topic_neighbours"](spark, where).collect()}
     assert got == {k: (len(v), "|".join(map(str, v))) for k, v in want.items()}
     assert max(a for a, _ in got) >= 120
 
 
-@pytest.mark.parametrize("name", sorted(k for k, sql in entry_points.oracle_sql().items() if any(x in sql for x in CUTS)))
-def test_sql_without_its_cuts(spark, name):
-    sql = entry_points.oracle_sql()[name]
-    for x in CUTS:
-        sql = sql.replace(x, "")
-    compare(spark, name, QUERIES[name], sql, SMALL)
-
-
-@pytest.mark.parametrize("name", sorted(k for k, sql in entry_points.oracle_sql().items() if FORTY in sql and k != "search_hybrid"))
-def test_sql_with_every_twentieth_vector(spark, name):
-    sql = entry_points.oracle_sql()[name].replace(FORTY, "q.vec_id % 20 = 0")
-    compare(spark, name, QUERIES[name], sql, SMALL)
-
-
 def test_private_notes_crowd_out_no_others(spark, tmp_path):
     """Sixty private decoys that match better than the one readable note."""
     docs = [(k, "needle thread", "en", "s", 13) for k in range(60)] + [(1000, "needle thread in a long text about other things", "en", "s", 47)]
