@@ -114,7 +114,7 @@ def test_folder(spark, folder):
     assert by["empty.md"].sections == [] and by["empty.md"].title == "Nothing"
     assert {(r.from_id, r.kind, r.fm_key, r.target, r.from_ord) for r in vault.edges(rows).collect()} == {
         ("Home.md", "sentence", None, "North wing", 0), ("Wings/North wing.MD", "fm", "project", "Home", None), ("Wings/North wing.MD", "fm", "topics", "Stone", None),
-        ("Wings/North wing.MD", "short", None, "Home", 0), ("Wings/a%20b +c.md", "short", None, "Nowhere", 0),
+        ("Wings/North wing.MD", "sentence", None, "Home", 0), ("Wings/a%20b +c.md", "short", None, "Nowhere", 0),
     }
     assert [(r.id, r.ord, r.heading) for r in vault.sections(rows).where("id = 'Wings/North wing.MD'").orderBy("ord").collect()] == [("Wings/North wing.MD", 0, "North wing"), ("Wings/North wing.MD", 1, "Plan")]
     assert {r.name for r in vault.titles(rows).where("id = 'Home.md'").collect()} == {"home", "house", "the place"}
