@@ -10,18 +10,23 @@ RRF_K = 60
 BLOCK = 512
 
 
-def bm25(rows: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
+def bm25(rows: DataFrame, queries: DataFrame, weights: dict[str, float], forms: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, matched): OR-match of queries (query_id, terms) with rows (key, an array of words for each
     field that weights names).
 
     A term's frequency is the weighted sum over fields, a row's length all its words. Terms in more than half of the
-    rows count almost nothing. Lengths are sizes of arrays, so all words are seen once, and only asked ones are grouped.
+    rows count almost nothing. forms (term, form) says which words of the rows stand for an asked term. Lengths are sizes of arrays, so all words are seen once, and only asked ones are grouped.
     """
     length = sum((F.greatest(F.size(f), F.lit(0)) for f in weights), F.lit(0)).alias("dl")
     whole = rows.agg(F.count_if(length > 0).alias("n_rows"), F.avg(F.when(length > 0, length)).alias("avgdl"))
-    words = F.concat(*(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for f, w in weights.items()))
+    weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
+    words = F.concat(*(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), weighed(w)) for f, w in weights.items()))
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    hits = rows.select("key", length, F.inline(words)).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = rows.select("key", length, F.inline(words))
+    if forms is None:
+        hits = hits.join(asked.select("term").distinct(), "term", "left_semi")
+    else:
+        hits = hits.join(forms, "term").select("key", "dl", F.col("form").alias("term"), "w")
     hits = hits.groupBy("term", "key").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
