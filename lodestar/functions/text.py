@@ -60,7 +60,7 @@ def strip_link(text: Column) -> Column:
 def wikilinks(text: Column) -> Column:
     """Targets of [[links]] in order, without alias and heading."""
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#\n]+)(?:[#|][^\]\n]*)?\]\]"), F.lit(1))
-    return F.transform(found, F.trim)
+    return F.transform(found, lambda x: F.trim(x))
 
 
 def word_count(text: Column) -> Column:
@@ -102,7 +102,7 @@ def strip_title(body: Column, title: Column) -> Column:
 
 def first_paragraph(body: Column) -> Column:
     """The first run of lines that are no headings or rules, joined by spaces."""
-    lines = F.transform(F.split(body, "\n"), F.trim)
+    lines = F.transform(F.split(body, "\n"), lambda x: F.trim(x))
     plain = lambda x: (x != "") & ~x.rlike(r"^(#{1,6} |---)")
     start = F.struct(F.lit(0).alias("state"), F.lit("").alias("out"))
     return F.aggregate(

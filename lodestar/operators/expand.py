@@ -88,28 +88,38 @@ def expanded(queries: DataFrame, aliases: dict[str, str], fixed: DataFrame, read
     return rows.select("query_id", "text", F.array_distinct(every).alias("terms"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def snippet(text: Column, terms: Column, size: int = 28) -> Column:
     """The stretch of `size` words with the most of the terms (lower-case), then with the most words of them, then the
     first, its words of them between **; ` ... ` where text is left out. Without any, the text's begin."""
+    def shown(w: Column, at: Column, best: Column) -> Column:
+        last = F.array_max(F.filter(at, lambda k: (k >= best) & (k < best + size)))
+        centred = best - F.floor((size - (last - best + 1)) / 2).cast("int")
+        return let(F.coalesce(F.greatest(F.lit(0), F.least(centred, F.size(w) - size)), F.lit(0)), lambda start: written(w, start))
+
+    def written(w: Column, start: Column) -> Column:
+        mark = lambda x: F.when(F.array_contains(terms, F.lower(x)), F.concat(F.lit("**"), x, F.lit("**"))).otherwise(x)
+        gaps = F.slice(F.split(text, TOKEN), start + 2, F.lit(size))
+        no_gap = F.least(F.lit(size), F.size(w) - start) - 1
+        body = F.array_join(F.transform(F.slice(w, start + 1, F.lit(size)), lambda x, k: F.concat(mark(x), F.when(k < no_gap, F.coalesce(F.get(gaps, k), F.lit(""))).otherwise(""))), "")
+        return F.concat(F.when(start > 0, " ... ").otherwise(""), body, F.when(start + size < F.size(w), " ... ").otherwise(""))
+
+    def best(w: Column, at: Column) -> Column:
+        def score(start: Column) -> Column:
+            hits = F.filter(at, lambda k: (k >= start) & (k < start + size))
+            return F.struct(F.size(F.array_distinct(F.transform(hits, lambda k: F.lower(F.get(w, k))))).alias("kinds"), F.size(hits).alias("n"), (-start).alias("first"))
+
+        return -F.array_max(F.transform(at, lambda k: score(k)))["first"]
+
+    def hits(w: Column) -> Column:
+        return F.filter(F.transform(w, lambda x, k: F.when(F.array_contains(terms, F.lower(x)), k)), lambda k: k.isNotNull())
+
     words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    low = F.transform(words, F.lower)
-    at = F.filter(F.transform(low, lambda w, k: F.when(F.array_contains(terms, w), k)), lambda k: k.isNotNull())
-
-    def inside(start: Column) -> Column:
-        return F.filter(at, lambda k: (k >= start) & (k < start + size))
-
-    def score(start: Column) -> Column:
-        hits = inside(start)
-        return F.struct(F.size(F.array_distinct(F.transform(hits, lambda k: F.get(low, k)))).alias("kinds"), F.size(hits).alias("n"), (-start).alias("first"))
-
-    best = -F.array_max(F.transform(at, score))["first"]
-    last = F.array_max(inside(best))
-    centred = best - F.floor((size - (last - best + 1)) / 2).cast("int")
-    start = F.coalesce(F.greatest(F.lit(0), F.least(centred, F.size(words) - size)), F.lit(0))
-    shown = F.slice(F.transform(words, lambda w: F.when(F.array_contains(terms, F.lower(w)), F.concat(F.lit("**"), w, F.lit("**"))).otherwise(w)), start + 1, F.lit(size))
-    gaps = F.slice(F.split(text, TOKEN), start + 2, F.greatest(F.size(shown) - 1, F.lit(0)))
-    body = F.array_join(F.zip_with(shown, F.concat(gaps, F.array(F.lit(""))), lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")
-    return F.concat(F.when(start > 0, " ... ").otherwise(""), body, F.when(start + size < F.size(words), " ... ").otherwise(""))
+    return let(words, lambda w: let(hits(w), lambda at: let(best(w, at), lambda b: shown(w, at, b))))
 
 
 def hits_of(term: Column, text: Column) -> Column:

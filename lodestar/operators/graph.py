@@ -91,3 +91,125 @@ def glow(strong: DataFrame, start: DataFrame, decay: tuple[float, ...] = (0.95,
         ring = ring.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hop"), "light")
         seen = seen.union(ring)
     return seen
+
+
+PREFIX_CHARS = 200
+
+
+def linking_sentences(picks: DataFrame, occurrences: DataFrame, windows: DataFrame) -> DataFrame:
+    """(query_id, note, prefix): what to say in front of a section that came by a link.
+
+    picks (query_id, note, ord, seed, seed_title, dir), occurrences (a, b, pos, ord, weight, ctx), windows (query_id,
+    note, ord, cos, heading). Of the linking note's occurrences the one in the window closest to the question counts,
+    then the heaviest, then the first. None where the section of a note that links in shows the link itself, or where
+    only frontmatter links.
+    """
+    out = F.col("dir") == "out"
+    rows = picks.withColumn("a", F.when(out, F.col("seed")).otherwise(F.col("note"))).withColumn("b", F.when(out, F.col("note")).otherwise(F.col("seed")))
+    rows = rows.join(occurrences.where("ord is not null").withColumnRenamed("ord", "at"), ["a", "b"])
+    near = windows.select("query_id", F.col("note").alias("a"), F.col("ord").alias("at"), "cos", "heading")
+    rows = rows.join(near, ["query_id", "a", "at"], "left")
+    shown = F.max((~out) & (F.col("at") == F.col("ord"))).over(W.partitionBy("query_id", "note"))
+    best = W.partitionBy("query_id", "note").orderBy(F.desc_nulls_last("cos"), F.desc("weight"), "pos")
+    rows = rows.withColumn("shown", shown).withColumn("k", F.row_number().over(best)).where("k = 1 and not shown and ctx is not null and ctx <> ''")
+    text = F.when(F.length("ctx") > PREFIX_CHARS, F.concat(F.rtrim(F.left("ctx", F.lit(PREFIX_CHARS - 1))), F.lit("…"))).otherwise(F.col("ctx"))
+    other = F.when(F.col("heading").isNotNull() & (F.lower("heading") != F.lower("seed_title")), F.concat(F.lit(" / "), "heading")).otherwise(F.lit(""))
+    prefix = F.when(out, F.concat(F.lit("Linked from "), "seed_title", other, F.lit(": "), text)).otherwise(F.concat(F.lit("Links to "), "seed_title", F.lit(": "), text))
+    return rows.select("query_id", "note", prefix.alias("prefix"))
+
+
+# The limits of the graph's settings, and what holds where one isn't a number.
+LIMITS = {
+    "slots": (0, 64, 10), "seeds": (1, 16, 5), "linksPerSeed": (1, 10, 3), "minWeight": (0, 10, 0.2), "swapWeight": (0, 1000, 1), "keepLinked": (0, 5, 1), "keepMinWeight": (0.01, 10, 0.1),
+}
+
+
+def settings(given: dict | bool | None) -> dict:
+    """Settings of the graph within their limits."""
+    given = {"enabled": given} if isinstance(given, bool) else given or {}
+    number = lambda k, else_: given[k] if isinstance(given.get(k), (int, float)) and not isinstance(given.get(k), bool) and given[k] == given[k] else else_
+    out = {k: min(hi, max(lo, number(k, else_))) for k, (lo, hi, else_) in LIMITS.items()}
+    whole = ("slots", "seeds", "linksPerSeed", "keepLinked")
+    return {k: round(v) if k in whole else v for k, v in out.items()} | {"enabled": given.get("enabled") in (True, 1, "true"), "prefix": given.get("prefix") is not False}
+
+
+def meaning(vectors: DataFrame, parts: int = 3, rounds: int = 100) -> DataFrame:
+    """(note, sem array<double>) of vectors (note, v): the mean vector of each note, of length one, on the principal
+    components of all, each scaled to at most 1 and rounded to 3 digits. Fewer than 4 notes have none.
+
+    The components come from the notes' d x d scatter matrix, which tasks sum up; only that matrix, whose size is the
+    vectors' and not the table's, reaches the driver. Power iteration starts from sines, which fixes the signs.
+    """
+    import numpy as np
+
+    rows = vectors.select("note", F.posexplode("v").alias("i", "x")).groupBy("note", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = rows.groupBy("note").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x))
+    unit = mean.select("note", F.when(norm > 0, F.transform("m", lambda x: x / norm)).otherwise(F.col("m")).alias("m"))
+
+    def scatter(batches):
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("m").to_pylist())
+                one = np.vstack([np.hstack([x.T @ x, x.sum(0)[:, None]]), np.full(x.shape[1] + 1, float(len(x)))])
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["k", "x"])
+
+    cells = {r.k: r.x for r in unit.select("m").mapInArrow(scatter, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()}
+    d = int(((1 + 4 * len(cells)) ** 0.5 - 1) / 2)
+    n = cells.get(len(cells) - 1, 0)
+    if n < 4:
+        return unit.select("note", F.array().cast("array<double>").alias("sem")).limit(0)
+    table = np.array([cells[k] for k in range(len(cells))]).reshape(d + 1, d + 1)
+    centre = table[:d, d] / n
+    spread = table[:d, :d] - n * np.outer(centre, centre)
+    found: list = []
+    for c in range(parts):
+        w = np.sin(np.arange(d) * (c + 1) + 1)
+        for _ in range(rounds):
+            w = spread @ w
+            for u in found:
+                w = w - (w @ u) * u
+            w = w / (np.linalg.norm(w) or 1)
+        found.append(w)
+    axes = [F.array(*(F.lit(float(x)) for x in u)) for u in found]
+    on = [F.aggregate(F.zip_with("m", a, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) - float(centre @ u) for a, u in zip(axes, found)]
+    placed = unit.select("note", *(c.alias(f"p{k}") for k, c in enumerate(on)))
+    most = placed.agg(*(F.max(F.abs(f"p{k}")).alias(f"s{k}") for k in range(parts)))  # one row
+    scaled = [F.round(F.col(f"p{k}") / F.when(F.col(f"s{k}") > 0, F.col(f"s{k}")).otherwise(1.0), 3) for k in range(parts)]
+    return placed.crossJoin(F.broadcast(most)).select("note", F.array(*scaled).alias("sem"))
+
+
+def colour(sem: Column, muted: Column) -> Column:
+    """struct<hue, saturation, lightness> of a note's place: the first two components give the hue, the third the
+    lightness; notes without a place are grey."""
+    x, y, z = (F.get(sem, F.lit(k)) for k in range(3))
+    hue = F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0))
+    strength = F.least(F.lit(1.0), F.hypot(x, y))
+    grey = F.struct(F.lit(225.0).alias("hue"), F.lit(6.0).alias("saturation"), F.lit(62.0).alias("lightness"))
+    own = F.struct(hue.alias("hue"), ((30 + 40 * strength) * F.when(muted, 0.3).otherwise(1.0)).alias("saturation"), (60 + 8 * z).alias("lightness"))
+    return F.when(sem.isNull() | (F.size(sem) < 3), grey).otherwise(own)
+
+
+def project_places(places: DataFrame) -> DataFrame:
+    """(project, sem) of places (project, sem): the mean place of a project's notes, drawn out by 1.6."""
+    mean = [(F.avg(F.get("sem", F.lit(k))) * 1.6).alias(f"m{k}") for k in range(3)]
+    return places.where("project is not null and sem is not null").groupBy("project").agg(*mean).select("project", F.array("m0", "m1", "m2").alias("sem"))
+
+
+def node_size(degree: Column) -> Column:
+    return 2 + 1.2 * F.pow(degree, 0.8)
+
+
+def visible(links: DataFrame, nodes: DataFrame, least: float = 0.15, hubs: bool = True) -> DataFrame:
+    """Links (x, y, strength) that are drawn: strong enough, and where hubs are hidden between notes that aren't
+    structural. nodes (id, structural)."""
+    shown = nodes if hubs else nodes.where("not structural")
+    rows = links.where(F.col("strength") >= least)
+    for end in ("x", "y"):
+        rows = rows.join(shown.select(F.col("id").alias(end)), end, "left_semi")
+    return rows.select(*links.columns)

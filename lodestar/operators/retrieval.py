@@ -125,22 +125,24 @@ def trimmed(rows: DataFrame, k: int, keep: int = 5, ratio: float = 0.3, least: f
     return rows.drop("bar")
 
 
-def packed(rows: DataFrame, budget: int, per_note: int, most: int) -> DataFrame:
-    """Fills a budget in rank order, (query_id, note, rank, size): what doesn't fit is left out and the walk goes on.
+def packed(rows: DataFrame, budget: int, per_note: int, most: int, one_anyway: bool = False) -> DataFrame:
+    """Fills a budget in rank order, (query_id, rank, note, size, ...): what doesn't fit is left out and the walk goes
+    on; one_anyway takes the first whatever its size. Gives the kept rows.
 
     A query's candidates are its shortlist, so a fold over them in one row is bounded.
     """
-    cells = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "note", "size"))).alias("cells"))
-    empty = F.array().cast("array<struct<rank:int,note:bigint,size:bigint>>")
+    note = dict(rows.dtypes)["note"]
+    cells = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "note", F.col("size").cast("long").alias("size")))).alias("cells"))
+    empty = F.array().cast(f"array<struct<rank:int,note:{note},size:bigint>>")
 
     def step(a: Column, x: Column) -> Column:
         same = F.size(F.filter(a["kept"], lambda y: y["note"] == x["note"]))
-        fits = (a["used"] + x["size"] <= budget) & (same < per_note) & (F.size(a["kept"]) < most)
+        room = a["used"] + x["size"] <= budget
+        fits = ((room | (F.size(a["kept"]) == 0)) if one_anyway else room) & (same < per_note) & (F.size(a["kept"]) < most)
         return F.when(
             fits, F.struct((a["used"] + x["size"]).alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))
         ).otherwise(a)
 
-    cells = cells.select("query_id", F.transform("cells", lambda x: F.struct(x["rank"].cast("int").alias("rank"), x["note"].cast("long").alias("note"), x["size"].cast("long").alias("size"))).alias("cells"))
     kept = F.aggregate("cells", F.struct(F.lit(0).cast("long").alias("used"), empty.alias("kept")), step, lambda a: a["kept"])
     return cells.select("query_id", F.inline(kept))
 

@@ -36,7 +36,7 @@ def blocks(notes: DataFrame) -> DataFrame:
 def _label(text: Column, label: str) -> Column:
     """All values of a label: from its line to a blank line, another label or the end."""
     found = F.regexp_extract_all(text, F.lit(rf"(?m)^\*\*{label}:\*\*[ \t]*(.*(?:\n(?!{_LABEL}|{_VIA})[^\n]*\S[^\n]*)*)"), F.lit(1))
-    return F.transform(found, F.trim)
+    return F.transform(found, lambda x: F.trim(x))
 
 
 def fields(text: Column) -> dict[str, Column]:
