@@ -480,8 +480,13 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     across = held.alias("x").join(held.alias("y"), F.expr(f"{meet} and x.root <> y.root"))
     across = cut(across.selectExpr("x.cls as a", "y.cls as b").distinct())
     discard(found)
-    roots = components(first.union(linked(docs, across, percent)))
     least = sizes.join(roots, sizes["cls"] == roots["v"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    if not across.isEmpty():
+        # what the second step links are components of the first, so only their roots meet
+        more, one = linked(docs, across, percent), least.select("cls", "root")
+        more = more.join(one.select(F.col("cls").alias("a"), F.col("root").alias("x")), "a").join(one.select(F.col("cls").alias("b"), F.col("root").alias("y")), "b")
+        tops = components(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        least = least.join(tops.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("cls", "least", F.coalesce("top", "root").alias("root"))
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
     some, none = members.where("cls is not null"), members.where("cls is null")
     some = some.join(least, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
