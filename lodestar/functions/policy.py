@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# ASCII word boundaries: the JVM's \\b takes letters of all scripts for word characters
 _A, _Z = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 # Fixed values: (kind, what stands before the secret, the secret). Placeholders aren't secrets.
@@ -40,8 +41,10 @@ def redacted(text: Column) -> Column:
 
 
 def secret_kinds(text: Column) -> Column:
-    """Kinds of credentials that redacted() masks in a text, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(redacted(text), F.lit(r"\[REDACTED:([a-z-]+)\]"), F.lit(1))))
+    """Kinds of credentials that redacted() masks in a text, sorted; marks that stand in the text already aren't kinds."""
+    marks = lambda x, kind: F.length(x) - F.length(F.replace(x, F.concat(F.lit("[REDACTED:"), kind, F.lit("]")), F.lit("")))
+    kinds = F.array(*(F.lit(k) for k in sorted(k for k, _, _ in SECRETS)))
+    return F.element_at(F.transform(F.array(redacted(text)), lambda r: F.filter(kinds, lambda k: marks(r, k) > marks(text, k))), 1)
 
 
 def glob_pattern(glob: str) -> str:
@@ -56,7 +59,12 @@ def matches_any(path: Column, globs: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (path.rlike(glob_pattern(g)) for g in globs), F.lit(False))
 
 
-def readable(path: Column, visibility: Column, denied: list[str], private: list[str], may_read_private: bool) -> Column:
-    """Whether a row may be read: not denied by its path, and not private unless that is allowed."""
+def readable(
+    path: Column, visibility: Column, denied: list[str], private: list[str], may_read_private: bool, project: Column | None = None, private_projects: tuple[str, ...] = (), may_read: bool = True
+) -> Column:
+    """Whether a row may be read: reading is allowed at all, its path isn't denied, and it isn't private, by itself, its
+    path or its project (in any case), unless that is allowed."""
     secret = (F.coalesce(visibility, F.lit("")) == "private") | matches_any(path, private)
-    return ~matches_any(path, denied) & (F.lit(may_read_private) | ~secret)
+    if project is not None and private_projects:
+        secret = secret | F.coalesce(F.lower(project).isin([p.lower() for p in private_projects]), F.lit(False))
+    return F.lit(may_read) & ~matches_any(path, denied) & (F.lit(may_read_private) | ~secret)

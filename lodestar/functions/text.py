@@ -64,8 +64,10 @@ def wikilinks(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Words of two letters or more, links left out."""
-    return F.regexp_count(F.regexp_replace(text, r"\[\[[^\]]*\]\]", " "), F.lit(r"\p{L}{2,}"))
+    """Words of two letters or more, links left out; CJK runs count a word for two characters."""
+    found = F.regexp_extract_all(F.regexp_replace(text, r"\[\[[^\]]*\]\]", " "), F.lit(r"\p{L}{2,}"), F.lit(0))
+    cjk = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+    return F.aggregate(found, F.lit(0), lambda n, w: n + F.when(w.rlike(cjk), F.ceil(F.length(w) / 2).cast("int")).otherwise(1))
 
 
 def file_safe(name: Column, most: int = 120) -> Column:

@@ -132,13 +132,13 @@ def facts_budget(spark, d):
     return O.within_budget(f, 40).select("subject", "id", "used")
 
 
-@query(f"""WITH t AS (SELECT item_id AS query_id, {terms_sql("text")}[1:4] AS terms FROM benchmark),
+@query(f"""WITH t AS (SELECT item_id AS query_id, {terms_sql("text")} AS terms FROM benchmark),
 f AS (SELECT doc_id AS id, lower(text) AS body FROM documents WHERE text IS NOT NULL),
 h AS (SELECT query_id, id, len(terms) AS n, len(list_filter(terms, lambda x: contains(body, x))) AS hits FROM t, f WHERE len(terms) > 0)
 SELECT query_id, id, hits FROM h WHERE hits >= greatest(1, ceil(n / 2.0))""")
 def facts_query(spark, d):
     """Texts that hold at least half of a question's terms, hits counted. The questions are asked in blocks."""
-    t = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(query_terms(F.col("text")), 1, 4).alias("terms")).where(F.size("terms") > 0)
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
     f = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.lower("text").alias("body"))
     hits = F.size(F.filter("terms", lambda x: F.contains(F.col("body"), x))).cast("long")
     rows = in_blocks(f, t, "query_id").select("query_id", "id", F.size("terms").alias("n"), hits.alias("hits"))

@@ -226,10 +226,12 @@ def titles_dict(spark, d):
     return notes(spark, d).groupBy(F.lower("title").alias("name")).agg(F.min("id").alias("id"), F.lit(True).alias("ok"))
 
 
-@query(f"WITH {NOTES}, {POSTINGS} SELECT term, count(DISTINCT key) AS df FROM postings WHERE length(term) >= 5 GROUP BY term HAVING count(DISTINCT key) BETWEEN 2 AND 50")
+@query(f"WITH {NOTES}, {POSTINGS} SELECT term, count(DISTINCT key) AS df FROM postings WHERE length(term) >= 5 GROUP BY term HAVING count(DISTINCT key) BETWEEN 2 AND (SELECT count(*) FROM notes) * 0.05")
 def rare_words(spark, d):
-    """Words of five letters or more in at most a twentieth of a thousand notes."""
-    return postings(spark, d).where("length(term) >= 5").select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("df")).where("df between 2 and 50")
+    """Words of five letters or more in two notes at least and in at most a twentieth of all."""
+    most = table(spark, d, "documents").agg((F.count("*") * 0.05).alias("most"))  # one number
+    df = postings(spark, d).where("length(term) >= 5").select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(most)).where("df between 2 and most").select("term", "df")
 
 
 @query(r"""WITH RECURSIVE t AS (SELECT vec_id % 40 AS note, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT note, i, avg(x) AS x FROM t GROUP BY note, i), l AS (SELECT note, sqrt(sum(x * x)) AS l FROM m GROUP BY note)

@@ -58,9 +58,9 @@ def strip_link(spark, d):
     )
 
 
-@query(r"""SELECT doc_id, unnest(w[1:5]) AS target, generate_subscripts(w[1:5], 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents)""")
+@query(r"""SELECT doc_id, unnest(w) AS target, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents)""")
 def wikilinks_simple(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.slice(F.regexp_extract_all("text", F.lit(text.TOKEN), F.lit(0)), 1, 5).alias("w"))
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(text.TOKEN), F.lit(0)).alias("w"))
     linked = F.array_join(F.transform("w", lambda w: F.concat(F.lit("see [["), w, F.lit("|alias]]"))), " and ")
     return docs.select("doc_id", F.posexplode(text.wikilinks(linked)).alias("pos", "target")).withColumn("pos", F.col("pos").cast("long"))
 
@@ -88,10 +88,10 @@ def sha1_input(spark, d):
     return notes(spark, d).select("id", F.sha1(text.embed_input(F.col("title"), F.col("project"), F.col("body"))).alias("hash"))
 
 
-@query(rf"WITH {NOTES} SELECT id, title || CASE WHEN type = 'en' THEN '' ELSE ' / ' || project END || chr(10) || left(body, 200) AS input FROM notes")
+@query(rf"WITH {NOTES} SELECT id, title || CASE WHEN type = 'en' THEN '' ELSE ' / ' || project END || chr(10) || left(body, 1500) AS input FROM notes")
 def embed_input(spark, d):
     heading = F.when(F.col("type") == "en", F.col("title")).otherwise(F.col("project"))
-    return notes(spark, d).select("id", text.embed_input(F.col("title"), heading, F.col("body"), 200).alias("input"))
+    return notes(spark, d).select("id", text.embed_input(F.col("title"), heading, F.col("body")).alias("input"))
 
 
 @query(r"SELECT doc_id, sha1(CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '---' || chr(10) || '## Other' ELSE rtrim(text, ' ' || chr(10) || chr(9)) END) AS body FROM documents WHERE doc_id % 3 <> 0 OR true")

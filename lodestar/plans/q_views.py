@@ -211,10 +211,11 @@ def ttl_purge(spark, d):
     return C.alive(table(spark, d, "events"), F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id")
 
 
-@query("SELECT event_id, CASE WHEN length(props) > 8 THEN left(props, 8) || '...' ELSE props END AS args FROM events")
+@query("SELECT event_id, CASE WHEN length(args) > 600 THEN left(args, 600) || '...' ELSE args END AS args FROM (SELECT event_id, repeat(props, 1 + CAST(event_id % 100 AS INTEGER)) AS args FROM events)")
 def audit_truncate(spark, d):
-    cut = F.when(F.length("props") > 8, F.concat(F.substring("props", 1, 8), F.lit("..."))).otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", cut.alias("args"))
+    """Arguments of calls, of up to a hundred copies of the properties, as the audit log keeps them."""
+    args = F.repeat("props", (1 + F.col("event_id") % 100).cast("int"))
+    return table(spark, d, "events").select("event_id", F.when(F.length(args) > 600, F.concat(F.left(args, F.lit(600)), F.lit("..."))).otherwise(args).alias("args"))
 
 
 @query(f"""WITH {NOTES}, q AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events), h AS (SELECT day, n.id, row_number() OVER (PARTITION BY day ORDER BY n.id) AS no FROM q JOIN notes n ON contains(n.modified || ' note', day))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, query_terms, tokens
+from ..functions.text import STOP_WORDS, TOKEN, query_terms, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,11 @@ NOTES = r"""notes AS (
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, terms): the first six terms of each benchmark text."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(query_terms(F.col("text")), 1, 6).alias("terms"))
+    """(query_id, terms): the terms of each benchmark text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text")).alias("terms"))
 
 
-STOP_SQL = "'a','an','and','are','as','at','be','by','for','from','how','in','is','it','of','on','or','that','the','this','to','was','what','when','where','which','who','why','will','with','do','does','did','my','me','i','you','your','our','we','can','should','would','could','about','into','over','under','after','before','between'"
+STOP_SQL = ",".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def terms_sql(text: str) -> str:
@@ -46,7 +46,7 @@ def terms_sql(text: str) -> str:
 
 
 QUESTIONS = f"""questions AS (
-  SELECT item_id AS query_id, t[1:6] AS terms FROM (SELECT item_id, {terms_sql("text")} AS t FROM benchmark)
+  SELECT item_id AS query_id, {terms_sql("text")} AS terms FROM benchmark
 )"""
 
 
