@@ -54,7 +54,9 @@ class Vocabulary:
         self.unknown = next(k for k, p in enumerate(m.pieces) if p.type == kinds.UNKNOWN)
         self.longest = max(map(len, self.ids))
         self.text = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ").encode() if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else b"" for p in m.pieces]
-        self.low = min(self.scores, default=0.0) - 10  # an unknown character's score in a unigram model
+        # the library sums in 32 bits, and where paths have equal scores the rounding decides
+        self.single = [np.float32(x) for x in self.scores]
+        self.low = np.float32(min((p.score for p in m.pieces if p.type == kinds.NORMAL), default=0.0)) - np.float32(10)  # an unknown character's score in a unigram model
         # pieces hold the space mark in front only, so no piece spans the boundary before a mark that follows another character
         self.words_apart = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.begins = {p[:k] for p in self.ids for k in range(1, len(p))}
@@ -129,7 +131,7 @@ class Stream:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.chars = ""  # from the window's first boundary on
-        self.back: list = [(0, "", 0.0)]
+        self.back: list = [(0, "", np.float32(0))]
         self.next = 0
 
     def feed(self, text: str, end: bool = False) -> list[str]:
@@ -174,7 +176,7 @@ class Stream:
                 piece = chars[j:i]
                 k = ids.get(piece)
                 if k is not None or i == j + 1:
-                    one = score + (v.scores[k] if k is not None else v.low)
+                    one = score + (v.single[k] if k is not None else v.low)
                     if back[i] is None or one > back[i][2]:
                         back[i] = (j, piece, one)
                 if i == n or piece not in begins:
@@ -214,23 +216,28 @@ class Codec:
                 out.append(k)
             elif v.bytes:
                 out += [v.bytes[b] for b in p.encode()]
-            else:
+            elif not out or out[-1] != v.unknown:  # a run of unknown characters is one
                 out.append(v.unknown)
         return out
 
+    def _joined(self, out: list[int], more: list[int]) -> list[int]:
+        """out with more ids; a run of unknown characters across is one."""
+        out += more[1:] if not self.v.bytes and out and more and out[-1] == more[0] == self.v.unknown else more
+        return out
+
     def _stream(self, escaped: str, step: int = 4096) -> list[int]:
         stream, out = Stream(self.v), []
         while len(escaped) > step:
-            out += self._ids(stream.feed(escaped[:step]))
+            self._joined(out, self._ids(stream.feed(escaped[:step])))
             escaped = escaped[step:]
-        return out + self._ids(stream.feed(escaped, end=True))
+        return self._joined(out, self._ids(stream.feed(escaped, end=True)))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text. An empty one has none."""
         if not text:
             return []
         escaped = (SPACE if self.v.prefix else "") + text.replace(" ", SPACE)
-        if not self.v.words_apart:
+        if not (self.v.bpe and self.v.words_apart):  # sums run on over words
             return self._stream(escaped)
         # all paths meet before a mark that follows another character, so words are final by themselves and are remembered
         out: list[int] = []
@@ -247,7 +254,10 @@ class Codec:
                         known = self.known = {}
                         get = known.get
                     known[word] = ids
-            out += ids
+            if self.v.bytes:
+                out += ids
+            else:
+                self._joined(out, ids)
         return out
 
     def decode(self, ids) -> str:
