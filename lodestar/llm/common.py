@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +63,16 @@ def release(spark: SparkSession, paths: Iterable[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         if path in held:
             held.remove(path)
+
+
+#: beside() sends at most so many rows to all tasks, and else deals each key's rows to so many places.
+BROADCAST, SALTS = 50_000, 16
+
+
+def beside(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of facts (at most one row a key; small ones), null where there is none. However many rows
+    a key has, they aren't brought to one task. Null keys have no facts."""
+    if facts.limit(BROADCAST + 1).count() <= BROADCAST:
+        return rows.join(F.broadcast(facts), key, "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], "left").drop("_salt")

@@ -8,7 +8,7 @@ rate is over the limit fail, and their documents with them.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import beside, stored, table
 
 MIN_WORDS = 50
 #: Per cent of the words that may stand in repeated 3-word windows.
@@ -93,7 +93,7 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     rows = stored(measures(docs, host), "quality")
     bad = host_verdicts(rows).where("host_failed").select("host", "host_failed")
-    return rows.join(bad, "host", "left").select(
+    return beside(rows, bad, "host").select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("host_failed").isNull()).alias("kept"),
     )
