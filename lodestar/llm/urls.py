@@ -8,7 +8,7 @@ whose distrust is over the limit and over its trust is blocked.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import beside, cut, stored, table
 
 #: (verdict, host, path) of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -87,8 +87,8 @@ def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
     hosts = hosts.select("host", F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"))
     n = hosts.agg(F.count_if(F.col("distrust") > 0).alias("n"), F.sum("distrust").alias("all"))
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("n") > LIMIT * F.col("all"))
-    hosts = hosts.join(F.broadcast(n)).select("host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("own"))  # one row
-    return rows.join(hosts, "host", "left").select(
+    hosts = cut(hosts.join(F.broadcast(n)).select("host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("own")))  # one row
+    return beside(rows, hosts, "host").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "own").alias("verdict"), "trust", "distrust"
     )
 
