@@ -23,6 +23,8 @@ from .words import PUNCTUATION, U64, Words, parts, signed
 WINDOW = 13
 #: Words of test items in a block (8 bytes each on the driver and in each task).
 BLOCK_WORDS = 500_000
+#: Alignments (16 bytes each) that are told to all tasks, where there are no more; else texts are shuffled to them.
+TOLD = 500_000
 _FILTER = 20
 
 
@@ -181,8 +183,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
         first = index.join(F.broadcast(ask), index["term"] == ask["one"]).selectExpr("doc_id", "item", "two", "pos - p as shift", "pos - p + q as other")
         second = index.selectExpr("doc_id", "term as two", "pos as other")
         aligned = first.join(second, ["doc_id", "two", "other"], "left_semi").select("doc_id", "item", "shift")
-        cells = aligned.groupBy("doc_id").agg(F.collect_set(F.struct("item", "shift")).alias("cells"))
-        texts = docs.select("doc_id", "text").join(cells, "doc_id")
+        cells = stored(aligned.groupBy("doc_id").agg(F.collect_set(F.struct("item", "shift")).alias("cells")), "cells")
+        few = (cells.agg(F.sum(F.size("cells"))).first()[0] or 0) <= TOLD
+        texts = docs.select("doc_id", "text").join(F.broadcast(cells) if few else cells, "doc_id")
         found = found.union(texts.mapInArrow(_check(spark.sparkContext.broadcast(block), window), out))
     return found
 
