@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 CASE = (
     "id string, cls string, category string, q string, query string, family string, gold array<string>, required array<string>, evidence string, qrels map<string,int>"
@@ -22,7 +23,7 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(FNV_START).cast("long"), step)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def evidence_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text as evidence is compared: NFKC, lower case, marks of emphasis and code off, white space folded."""
     for x in texts:
