@@ -44,7 +44,7 @@ FREQUENT = 1 << 20
 #: A block with at most so many members pairs them all at once; an n-gram of more documents is frequent.
 FEW = 8
 #: n-grams whose cells are sent as one run, and bits of the cells that are counted in one array.
-RUN, RANGE_BITS = 2_000_000, 22
+RUN, RANGE_BITS = 1_000_000, 22
 #: Bits of the filter of classes whose whole sets are wanted; full sets pass it by chance at most, none is lost.
 FILTER_BITS = 1 << 25
 #: Of a stored n-gram's note: thousandths of rare n-grams in its row, the row's size, the n-gram's place in it.

@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text handled at once; bounds the memory of the arrays made from it (about 60 bytes a byte).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
