@@ -1,5 +1,10 @@
 """Full-text and dense retrieval, fusion, and the gate behind them. Everything is by query_id, for many queries at once."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,10 +50,6 @@ def ranked(rows: DataFrame, score: str = "score", most: int | None = None, by: s
     return out.where(F.col("rank") <= most) if most else out
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
-
-
 def in_blocks(rows: DataFrame, queries: DataFrame, by: str, most: int = BLOCK) -> DataFrame:
     """Each row with each query. Queries are dealt by a hash of `by` to blocks of about `most`, and every task has one
     block and one part of the rows: nothing is sent to all tasks, whatever the number of queries."""
@@ -57,10 +58,45 @@ def in_blocks(rows: DataFrame, queries: DataFrame, by: str, most: int = BLOCK) -
     return rows.repartition(parts).join(queries.hint("shuffle_replicate_nl"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score): dot products of vectors (key, v) with each query (query_id, q). The queries are asked in
-    blocks, each against a part of the vectors."""
-    return in_blocks(vectors, queries, "query_id").select("query_id", "key", dot(F.col("v"), F.col("q")).alias("score"))
+def _matrices(key: str, vector: str, most: int):
+    """Rows in matrices of at most `most`: their keys, in order, and the vectors end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(vector)))
+            batch = batch.take(pc.sort_indices(batch, [(key, "ascending")]))
+            for lo in range(0, batch.num_rows, most):
+                part = batch.slice(lo, most)
+                keys = part.column(key)
+                x = np.array(part.column(vector).to_pylist(), dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([x.tobytes()], pa.binary())], ["keys", "x"])
+
+    return run
+
+
+def dense(vectors: DataFrame, queries: DataFrame, most: int = 40, rows: int = 4096) -> DataFrame:
+    """(query_id, key, score): dot products of vectors (key, v) with queries (query_id, q), of each matrix of vectors the
+    `most` best of a query (6 digits count, ties by key), so the best of all are among them.
+
+    Vectors and queries are cut into matrices, and every task multiplies pairs of them: what meets in a task is bounded
+    whatever the number of either, and only best rows leave it. Null vectors match nothing.
+    """
+    types = dict(vectors.dtypes) | dict(queries.dtypes)
+    left = vectors.select("key", "v").mapInArrow(_matrices("key", "v", rows), f"keys array<{types['key']}>, x binary")
+    right = queries.select("query_id", "q").mapInArrow(_matrices("query_id", "q", BLOCK), f"keys array<{types['query_id']}>, x binary").select(F.col("keys").alias("asked"), F.col("x").alias("y"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, asked = batch.column("keys")[k].values, batch.column("asked")[k].values
+                x = np.frombuffer(batch.column("x")[k].as_buffer()).reshape(len(keys), -1)
+                scores = np.frombuffer(batch.column("y")[k].as_buffer()).reshape(len(asked), -1) @ x.T
+                best = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :most]
+                rows_ = np.repeat(np.arange(len(asked)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows_)), keys.take(pa.array(best.ravel())), pa.array(scores[rows_, best.ravel()])], ["query_id", "key", "score"])
+
+    pairs = left.join(right.hint("shuffle_replicate_nl"))
+    return pairs.mapInArrow(multiply, f"query_id {types['query_id']}, key {types['key']}, score double")
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

@@ -42,7 +42,7 @@ def dense_list(spark, d, most=40, hidden=None):
     """Every vector whose id is divisible by twenty is a question."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
     q = v.where("key % 20 = 0").select(F.col("key").alias("query_id"), F.col("v").alias("q"))
-    got = R.dense(v if hidden is None else v.join(hidden, "key", "left_anti"), q)
+    got = R.dense(v if hidden is None else v.join(hidden, "key", "left_anti"), q, most)
     return R.ranked(got, most=most)
 
 
