@@ -217,7 +217,9 @@ def _near(block, slack: int):
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 5) -> DataFrame:
     """(doc_id, item_id string, span long): documents in which all terms of an item stand, in any order, within
-    (words of the item + slack) words; span is the shortest such stretch. Candidates hold the rarest two terms so near."""
+    (words of the item + slack) words; span is the shortest such stretch. Candidates hold the rarest two terms so near.
+
+    Texts without words, null texts and rows without an id match nothing; repeated rows are one document or item."""
     spark = docs.sparkSession
     out = "doc_id long, item_id string, span long"
     found = spark.createDataFrame([], out)

@@ -89,6 +89,7 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
 
     kept: neither the document's own rules nor its host's shrunk rate fail. A null, empty or wordless text has
     zero in all counts and fails. Rows without a host are judged by themselves. Repeated rows count each.
+    Texts are read whole, of any length; a text's windows are one array in its task.
     Further columns are ignored, so none can clash. No rows: no rows.
     """
     rows = stored(measures(docs, host), "quality")

@@ -73,7 +73,7 @@ def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
     host and path are empty where url is null or has no ://; such pages are judged as the host '' that nothing
     reaches. rule is the longest that fits (ties: the later by name), verdict its own, else that of the graph:
     block where the host's distrust is above LIMIT equal shares and above its trust, else allow. Null html has no
-    links; repeated rows count each. Further columns are ignored. No rows: no rows.
+    links; repeated rows count each, equal hosts are one. Urls and pages are read whole, of any length. Further columns are ignored. No rows: no rows.
     """
     host, path = host_and_path()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")

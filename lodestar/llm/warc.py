@@ -278,7 +278,8 @@ def archived(spark: SparkSession, pages: DataFrame, folder: str | None = None) -
     """Writes archives and index of pages under a new folder; (captures, index, folder).
 
     A null html is an empty payload, a null url has the key `)`. Equal rows are one record each; with one page_id
-    none refers to the other. Further columns are ignored. No rows: no files, and lookups find nothing.
+    none refers to the other. A payload is held whole, once packed and once not, by the task that
+    writes or reads it. Further columns are ignored. No rows: no files, and lookups find nothing.
     """
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     captures = write_archives(pages, folder)
