@@ -64,14 +64,14 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by benchmark items."""
+    """Documents that aren't contaminated by benchmark items. Null texts and rows without doc_id have no hits and stay."""
     bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 @stage
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_pieces, ids) of each document."""
+    """(doc_id, lang, source, n_pieces, ids) of each document; a null text has null ids and n_pieces."""
     got = pieces.encoded(docs, ["doc_id", "lang", "source"])
     return got.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
