@@ -45,3 +45,25 @@ def alive(rows: DataFrame, at: Column, kind: str = "event_type", since: str = "t
     """Rows whose time to live isn't over: a week for purchases, 30 days for refunds, an hour for the rest."""
     hours = F.when(F.col(kind) == "purchase", 7 * 24).when(F.col(kind) == "refund", 30 * 24).otherwise(1)
     return rows.where(F.col(since) + F.make_interval(hours=hours) > at)
+
+
+def to_embed(sections: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """(id, ord, input, hash) of sections (id, ord, input) whose vector (id, ord, hash, model) is missing, of another
+    text or of another model."""
+    asked = sections.select("id", "ord", "input", F.sha1("input").alias("hash"))
+    have = vectors.select("id", "ord", F.col("hash").alias("had"), F.col("model").alias("by"))
+    rows = asked.join(have, ["id", "ord"], "left")
+    return rows.where(F.col("had").isNull() | (F.col("had") != F.col("hash")) | (F.col("by") != model)).select("id", "ord", "input", "hash")
+
+
+def orphans(vectors: DataFrame, sections: DataFrame) -> DataFrame:
+    """Vectors (id, ord) beyond their note's last section, or of notes that are gone."""
+    n = sections.groupBy("id").agg(F.count("*").alias("n"))
+    return vectors.join(n, "id", "left").where(F.col("ord") >= F.coalesce("n", F.lit(0))).select(*vectors.columns)
+
+
+def recent_failures(attempts: DataFrame, by: str, now: Column, window: Column) -> DataFrame:
+    """(by, n): failures of attempts (by, ts, ok) within the window before now, and after the last success."""
+    last = F.max(F.when(F.col("ok"), F.col("ts"))).over(W.partitionBy(by))
+    rows = attempts.withColumn("last", last).where(~F.col("ok") & (F.col("ts") <= now) & (F.col("ts") > now - window) & (F.col("last").isNull() | (F.col("ts") > F.col("last"))))
+    return rows.groupBy(by).agg(F.count("*").alias("n"))

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import TOKEN, query_terms, tokens
+from ..operators import changes as C
 from ..operators import context as X
 from ..operators import expand as E
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import writers
 from ..registry import query
 from ..sources import cases, imports, memory, vault
 from .views import NOTES, POSTINGS, QUESTIONS, notes, questions, table, terms_sql
@@ -350,3 +352,41 @@ def topic_lists(spark, d):
 @query(f"WITH {NOTES} SELECT id, hypot_, round(angle, 9) AS angle FROM (SELECT id, round(sqrt(size * size + id * id), 6) AS hypot_, atan2(size, id + 1) AS angle FROM notes)")
 def polar(spark, d):
     return notes(spark, d).select("id", F.round(F.hypot("size", "id"), 6).alias("hypot_"), F.round(F.atan2("size", F.col("id") + 1), 9).alias("angle"))
+
+
+@query("""WITH s AS (SELECT doc_id AS id, 0 AS ord, left(text, 1500) AS input FROM documents), v AS (SELECT id, 0 AS ord, sha1(CASE WHEN id % 5 = 0 THEN 'old' ELSE input END) AS hash, CASE WHEN id % 7 = 0 THEN 'm0' ELSE 'm1' END AS model FROM s WHERE id % 3 <> 0)
+SELECT s.id, s.ord, sha1(input) AS hash FROM s LEFT JOIN v ON v.id = s.id AND v.ord = s.ord WHERE hash IS NULL OR hash <> sha1(input) OR model <> 'm1'""")
+def embed_missing(spark, d):
+    """Sections whose vector is missing, of an old text or by another model."""
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("ord"), F.left("text", F.lit(1500)).alias("input"))
+    v = s.where("id % 3 <> 0").select("id", "ord", F.sha1(F.when(F.col("id") % 5 == 0, "old").otherwise(F.col("input"))).alias("hash"), F.when(F.col("id") % 7 == 0, "m0").otherwise("m1").alias("model"))
+    return C.to_embed(s, v, "m1").select("id", "ord", "hash")
+
+
+@query("""WITH n AS (SELECT source AS id, count(*) AS n FROM documents GROUP BY source), v AS (SELECT id, unnest(range(n + 2)) AS ord FROM n UNION ALL SELECT 'gone', 0)
+SELECT v.id, v.ord FROM v LEFT JOIN n ON n.id = v.id WHERE v.ord >= coalesce(n, 0)""")
+def vector_orphans(spark, d):
+    """Vectors beyond the last section of their note: two too many of each, and those of a note that is gone."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("id"))
+    v = docs.groupBy("id").agg(F.count("*").alias("n")).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + 1)).alias("ord")).union(spark.range(1).select(F.lit("gone"), F.lit(0).cast("long")))
+    return C.orphans(v, docs)
+
+
+@query("""WITH a AS (SELECT user_id, ts, value >= 30 AS ok, max(CASE WHEN value >= 30 THEN ts END) OVER (PARTITION BY user_id) AS last FROM events)
+SELECT user_id, count(*) AS n FROM a WHERE NOT ok AND ts <= TIMESTAMP '2024-01-28' AND ts > TIMESTAMP '2024-01-14' AND (last IS NULL OR ts > last) GROUP BY user_id""")
+def lockouts(spark, d):
+    """Failures of the last two weeks since the last success of each user."""
+    a = table(spark, d, "events").select("user_id", "ts", (F.col("value") >= 30).alias("ok"))
+    return C.recent_failures(a, "user_id", F.lit("2024-01-28").cast("timestamp_ntz"), F.expr("INTERVAL 14 DAYS"))
+
+
+@query(f"WITH {_VAULT} SELECT DISTINCT id AS from_id, k || '.md' AS to_id FROM (SELECT id, doc_id, unnest([k1, k2]) AS k FROM vault WHERE doc_id % 10 <> 0) WHERE CAST(regexp_extract(k, '[0-9]+') AS BIGINT) % 10 = 0")
+def broken_links(spark, d):
+    """Links of the notes that stay which lead nowhere once every tenth note is deleted."""
+    v = parsed(spark, d)
+    ends = vault.edges(v).where("kind <> 'fm'").select("from_id", F.concat("target", F.lit(".md")).alias("to_id"))
+    gone = v.select("id").where(F.regexp_extract("id", r"(\d+)", 1).cast("long") % 10 == 0)
+    stay = ends.join(gone.select(F.col("id").alias("from_id")), "from_id", "left_anti")
+    before = stay.join(v.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id")
+    after = before.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_anti")
+    return writers.broken_links(before, after)

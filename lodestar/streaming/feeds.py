@@ -34,9 +34,31 @@ def keep_current(feed: DataFrame, key: str, seq: str, target: str, checkpoint: s
     return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, key: str, seq: str) -> DataFrame:
-    """The state after all batches of keep_current()."""
-    return latest(spark.read.parquet(target).drop("batch"), key, seq)
-
-
-__all__ = ["audit", "audit_stream", "current", "debounced", "keep_current", "read_feed"]
+def current(spark: SparkSession, target: str, key: str, seq: str, removed: str | None = None) -> DataFrame:
+    """The state after all batches of keep_current(), without keys whose last change says so in the column `removed`."""
+    state = latest(spark.read.parquet(target).drop("batch"), key, seq)
+    return state if removed is None else state.where(~F.coalesce(F.col(removed), F.lit(False)))
+
+
+def compact(spark: SparkSession, target: str, key: str, seq: str) -> None:
+    """Leaves one batch's folder with the last change of each key in place of all there are, so that current() reads no
+    more than the state. Not while keep_current() runs. The new rows are complete before an old folder goes, and
+    repeated rows don't count, so a run that is broken off loses nothing and can be run again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in fs.listStatus(path(target)) if x.getPath().getName().startswith("batch=")]
+    if len(old) < 2:
+        return
+    last = max(int(x.getName().split("=")[1]) for x in old)
+    latest(spark.read.parquet(target).drop("batch"), key, seq).write.mode("overwrite").parquet(f"{target}/_merged")
+    for part in fs.listStatus(path(f"{target}/_merged")):
+        name = part.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(part.getPath(), path(f"{target}/batch={last}/merged-{name}"))
+    for folder in old:
+        if folder.getName() != f"batch={last}":
+            fs.delete(folder, True)
+    fs.delete(path(f"{target}/_merged"), True)
+
+
+__all__ = ["audit", "audit_stream", "compact", "current", "debounced", "keep_current", "read_feed"]

@@ -18,6 +18,20 @@ def test_keep_current(spark):
         feeds.keep_current(feed, "user_id", "event_id", f"{top}/state", f"{top}/checkpoint").awaitTermination(120)
     got = feeds.current(spark, f"{top}/state", "user_id", "event_id")
     want = latest(events, "user_id", "event_id")
+    feeds.compact(spark, f"{top}/state", "user_id", "event_id")  # one batch: nothing to do
+    events.limit(50).withColumn("event_id", F.col("event_id") + 10**6).write.mode("append").parquet(f"{top}/in")
+    feeds.keep_current(feed, "user_id", "event_id", f"{top}/state", f"{top}/checkpoint").awaitTermination(120)
+    want = latest(spark.read.parquet(f"{top}/in"), "user_id", "event_id")
+    for _ in range(2):
+        got = feeds.current(spark, f"{top}/state", "user_id", "event_id")
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+        feeds.compact(spark, f"{top}/state", "user_id", "event_id")
+    import os
+
+    assert len([x for x in os.listdir(f"{top}/state") if x.startswith("batch=")]) == 1
+    gone = feeds.current(spark.newSession(), f"{top}/state", "user_id", "event_id")
+    assert gone.count() == want.count()
+    got = feeds.current(spark, f"{top}/state", "user_id", "event_id")
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
