@@ -161,7 +161,7 @@ def test_stream_commits_in_a_bounded_window():
     for k in range(0, len(text), 100):
         out += stream.feed(text[k : k + 100])
         most = max(most, len(stream.chars))
-    out += stream.end()
+    out += stream.feed("", end=True)
     assert "".join(out) == text
     assert most <= 400
 
