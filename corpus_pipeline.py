@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard, language, pieces, substrings
-from lodestar.llm.common import discard, held, release, stored, table
+from lodestar.llm.common import discard, held, release, small_batches, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,6 +24,7 @@ def stage(work: Stage) -> Stage:
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         release(spark, _left)
         _left.clear()
         before = set(held)
