@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows in a batch between the JVM and Python, where the session has Spark's default: texts are long, and batches aren't
-#: cut by bytes.
-BATCH_ROWS, _DEFAULT_ROWS = 1000, 10_000
+#: Spark's settings of batches between the JVM and Python: its default, and what is better for long texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == _DEFAULT_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Batches of few rows and bytes, which bounds what a task holds, where the session keeps to Spark's defaults."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
