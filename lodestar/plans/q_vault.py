@@ -165,9 +165,9 @@ def dedupe_titles(spark, d):
     return imports.unique_titles(rows)
 
 
-@query(f"""SELECT item_id AS id, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('brb:' || item_id, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) % 4 = 0 AS dev FROM benchmark""")
+@query(f"""SELECT item_id AS id, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('{cases.SALT}' || item_id, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) % 4 = 0 AS dev FROM benchmark""")
 def fnv_split(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), (cases.fnv1a(F.concat(F.lit("brb:"), F.col("item_id").cast("string"))) % 4 == 0).alias("dev"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), (cases.fnv1a(F.concat(F.lit(cases.SALT), F.col("item_id").cast("string"))) % 4 == 0).alias("dev"))
 
 
 @query()

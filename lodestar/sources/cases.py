@@ -11,8 +11,9 @@ from pyspark.sql.types import StringType
 CASE = (
     "id string, cls string, category string, q string, query string, family string, gold array<string>, required array<string>, evidence string, qrels map<string,int>"
 )
-# Fixed values of the 32-bit FNV-1a hash.
+# The 32-bit FNV-1a hash, and what stands before an id when cases are split.
 FNV_START, FNV_PRIME = 0x811C9DC5, 0x01000193
+SALT = "brb:"
 
 
 def fnv1a(text: Column) -> Column:
@@ -56,7 +57,7 @@ def read(rows: DataFrame) -> DataFrame:
     first = F.coalesce("gold", F.array_union(required, graded(3)))
     gold = F.when(off, F.array().cast("array<string>")).when(F.size(first) == 0, graded(2)).otherwise(first)
     groups = F.coalesce(F.from_json("evidence", "array<array<string>>"), F.transform(F.from_json("evidence", "array<string>"), lambda x: F.array(x)), F.array().cast("array<array<string>>"))
-    split = F.when(F.col("id").isNull(), "all").when(fnv1a(F.concat(F.lit("brb:"), F.coalesce("family", "id"))) % 4 == 0, "dev").otherwise("test")
+    split = F.when(F.col("id").isNull(), "all").when(fnv1a(F.concat(F.lit(SALT), F.coalesce("family", "id"))) % 4 == 0, "dev").otherwise("test")
     return rows.select(
         F.coalesce("id", F.concat(F.lit("case-"), (F.col("no") + 1).cast("string"))).alias("id"), cls.alias("cls"), F.coalesce("q", "query").alias("question"), gold.alias("gold"), required.alias("required"),
         groups.alias("evidence"), off.alias("offtopic"), split.alias("split"),
