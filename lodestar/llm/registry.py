@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, jaccard, language, pieces, quality, substrings, token_counts, urls, warc
+from . import chat, decontaminate, jaccard, language, pieces, quality, spelling, substrings, token_counts, urls, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_chat_format": chat.op8_chat_format,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op5_warc": warc.SQL,
         "op7_substring_dedup": substrings.SQL,
         "op9_decontaminate": decontaminate.SQL,
+        "op11_spelling_variants": spelling.SQL,
     }
