@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, jaccard, language, pieces, quality, spelling, substrings, token_counts, urls, warc
+from . import centroids, chat, decontaminate, jaccard, language, pieces, quality, spelling, substrings, token_counts, urls, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_centroid_clustering": centroids.op12_centroid_clustering,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict:
         "op7_substring_dedup": substrings.SQL,
         "op9_decontaminate": decontaminate.SQL,
         "op11_spelling_variants": spelling.SQL,
+        "op12_centroid_clustering": centroids.SQL,
     }
