@@ -195,7 +195,7 @@ def _placed(centroids: np.ndarray):
     return run
 
 
-class _Bucketed:
+class Bucketed:
     """Tables bucketed by block in the shared folder, deleted at the end."""
 
     def __init__(self, spark: SparkSession, buckets: int):
@@ -237,7 +237,7 @@ def clusters(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dimens
         return empty
     of = grouped(centroids, groups)
     partitions = vectors.rdd.getNumPartitions()
-    tables = _Bucketed(spark, min(max(12, partitions), 50_000))
+    tables = Bucketed(spark, min(max(12, partitions), 50_000))
     id_type = vectors.schema["vec_id"].dataType.simpleString()
     blocks = tables.written(rows.mapInArrow(_blocks(dimensions), f"block long, ids array<{id_type}>, vectors binary"), "vectors")
     state, step = None, None

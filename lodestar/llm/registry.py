@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import centroids, chat, decontaminate, jaccard, language, pieces, quality, spelling, substrings, token_counts, urls, warc
+from . import backoff, centroids, chat, decontaminate, jaccard, language, pieces, quality, spelling, substrings, token_counts, urls, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_centroid_clustering": centroids.op12_centroid_clustering,
+        "op13_lm_scoring": backoff.op13_lm_scoring,
     }
 
 

@@ -12,4 +12,4 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert sorted(int(x[2:].split("_")[0]) for x in registry.queries()) == list(range(1, 13))
+    assert sorted(int(x[2:].split("_")[0]) for x in registry.queries()) == list(range(1, 14))
