@@ -33,7 +33,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Bytes of text in a block; n-grams and histories that a hash range has of all blocks, about; the least ranges.
-BLOCK_BYTES, RANGE_KEYS, LEAST_RANGES = 8 << 20, 2_000_000, 48
+BLOCK_BYTES, RANGE_KEYS, LEAST_RANGES = 4 << 20, 2_000_000, 48
 #: Hashes of what isn't a word.
 START, END = (mix(np.array([x], U64))[0] for x in (11, 13))
 #: Low bits of a key tell what it is: n - 1 for an n-gram, 4 + n - 2 for a history of n-grams.
@@ -41,13 +41,20 @@ KINDS = U64(7)
 
 
 def packed(x: np.ndarray) -> bytes:
-    """64-bit numbers, their low bytes first, compressed."""
-    return pa.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+    """64-bit numbers, their low bytes first and no more of them than the largest needs; compressed where that pays."""
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    if len(planes) < 512:
+        return bytes([width]) + planes
+    return bytes([width | 16]) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    width = data[0] & 15
+    planes = pa.decompress(data[1:], width * n, "zstd", asbytes=True) if data[0] & 16 else data[1:]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(-1)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -117,10 +124,15 @@ class Block:
         self.held_out = np.array([held_out(x) for x in self.ids], bool)
         self.training = ~self.held_out[self.doc]
 
-    def distinct(self):
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted keys, of each a place in the run of all n-grams and histories, the key's number at each place)."""
         every = np.concatenate([*self.grams, *self.histories])
-        return np.unique(every, return_index=True, return_inverse=True)
+        by = np.argsort(every, kind="stable").astype(np.int32)  # a block has fewer tokens than that
+        ordered = every[by]
+        new = np.r_[True, ordered[1:] != ordered[:-1]] if len(by) else np.empty(0, bool)
+        number = np.empty(len(by), np.int32)
+        number[by] = np.cumsum(new, dtype=np.int32) - 1
+        return ordered[new], by[new], number
 
 
 def _bounds(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +145,8 @@ def _bounds(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
 def _shares(order: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 block = Block(row, order)
                 keys, _, number = block.distinct()
                 times = np.bincount(number, weights=np.tile(block.training, 2 * order - 1), minlength=len(keys)).astype(np.int64)
@@ -243,10 +256,9 @@ def _evaluated(model: Model):
     order = model.order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for batch in batches:
-            for row in batch.to_pylist():
-                yield from rows(row)
+            for k in range(batch.num_rows):
+                yield from rows(batch.slice(k, 1).to_pylist()[0])
 
     def filled(n: int, columns: dict) -> pa.RecordBatch:
         types = {
