@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import light_stem, query_terms
 from ..operators import facts as O
+from ..operators.batches import remembered_in_order
 from ..operators.retrieval import in_blocks
 from ..registry import query
 from .views import table, terms_sql
@@ -177,3 +178,24 @@ def dup_verdict(spark, d):
     own = F.transform("terms", lambda x: F.concat(F.col("block"), F.lit("\t"), x))
     keyed = t.select("id", own.alias("terms"))
     return O.verdicts(keyed, keyed)
+
+
+def part_batch(spark, d):
+    """(new, current): parts as facts. A quarter is current; the others are told in the order of their keys, some with a
+    key of their own kind, some naming an earlier part, some forced."""
+    t = part_terms(spark, d)
+    k, own = F.col("id"), F.transform("terms", lambda x: F.concat(F.col("block"), F.lit("\t"), x))
+    name = lambda c: c.cast("string")
+    none = F.array().cast("array<string>")
+    rows = t.select(
+        k.alias("ord"), name(k).alias("id"), F.element_at("terms", -1).alias("category"), F.when(k % 5 == 0, F.lit("one key")).alias("key"), own.alias("terms"),
+        F.when(k % 11 == 0, F.array(name(k - 7))).otherwise(none).alias("named"), (k % 13 == 0).alias("force"),
+    )
+    return rows.where(k % 4 != 0), rows.where(k % 4 == 0).select((F.col("ord") - (1 << 40)).alias("ord"), "id", "category", "key", "terms")
+
+
+@query()
+def remember_in_order(spark, d):
+    """What becomes of parts told one after another: refused, duplicate, held or stored. A fifth of them has one key."""
+    got = remembered_in_order(*part_batch(spark, d))
+    return got.select(F.col("id").cast("long").alias("id"), "verdict", F.col("match").cast("long").alias("match"), F.array_join("replaces", "|").alias("replaces"))

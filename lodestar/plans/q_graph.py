@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import TOKEN
 from ..operators import graph as G
+from ..operators import resolve as R
 from ..registry import query
 from .views import NOTES, POSTINGS, notes, postings, table
 
@@ -192,18 +194,61 @@ def shared_topic_neighbours(spark, d):
     return both.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("topic")), lambda x: x.cast("string")), "|").alias("topics"))
 
 
-@query(f"""WITH {NOTES}, dict AS (
-  SELECT path AS name, id, 0 AS prio FROM notes UNION ALL SELECT split_part(path, '/', -1), id, 1 FROM notes UNION ALL SELECT lower(title), id, 2 FROM notes),
-refs AS (SELECT id AS ref, CASE id % 3 WHEN 0 THEN path WHEN 1 THEN split_part(path, '/', -1) ELSE lower(title) END AS name, project FROM notes)
-SELECT ref, to_id, prio FROM (SELECT ref, d.id AS to_id, prio, row_number() OVER (PARTITION BY ref ORDER BY prio, (n.project = refs.project) DESC, length(n.path), n.path) AS k FROM refs JOIN dict d ON d.name = refs.name JOIN notes n ON n.id = d.id) WHERE k = 1""")
+# Notes in folders of their source and language. Every note links to others in ten ways; all notes of a source share an alias.
+_FILED = r"""n AS (SELECT count(*) AS n FROM documents), filed AS (
+  SELECT doc_id AS k, coalesce(source, 'none') AS src, coalesce(lang, 'none') AS lang, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/Doc ' || doc_id || '.md' AS id,
+    coalesce(array_to_string(regexp_extract_all(text, '[\p{L}\p{N}]+')[1:3], ' '), '') AS title FROM documents),
+aimed AS (SELECT f.id AS from_id, f.k, CASE f.k % 10 WHEN 0 THEN t.src || '/' || t.lang || '/Doc ' || t.k WHEN 1 THEN t.lang || '/DOC  ' || t.k WHEN 2 THEN t.src || '/' || t.lang || '/doc-' || t.k WHEN 3 THEN t.lang || '/doc_' || t.k
+    WHEN 4 THEN t.title WHEN 5 THEN 'Doc ' || t.k WHEN 6 THEN 'No. ' || t.k WHEN 7 THEN 'Doc__' || t.k WHEN 8 THEN 'No such ' || t.k ELSE t.src END AS target
+  FROM filed f, n JOIN filed t ON t.k = (f.k * 7 + 3) % n.n)"""
+_FOLD = lambda x: rf"lower(trim(regexp_replace({x}, '\s+', ' ', 'g')))"
+_SLUG = lambda x: rf"trim(regexp_replace(lower({x}), '[-_\s]+', ' ', 'g'))"
+
+
+def filed(spark, d):
+    """(id, title, aliases, k, src, lang): documents as notes in folders."""
+    src, lang, k = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string")
+    title = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), 1, 3), " ")
+    return table(spark, d, "documents").select(
+        F.concat(src, F.lit("/"), lang, F.lit("/Doc "), k, F.lit(".md")).alias("id"), F.coalesce(title, F.lit("")).alias("title"), F.array(F.concat(F.lit("No. "), k), src).alias("aliases"),
+        F.col("doc_id").alias("k"), src.alias("src"), lang.alias("lang"),
+    )
+
+
+def aimed(spark, d):
+    """(from_id, k, target): a link of each note, written in one of ten ways."""
+    n = table(spark, d, "documents").agg(F.count("*").alias("n"))  # one number
+    f, t = filed(spark, d).crossJoin(F.broadcast(n)).withColumn("to", (F.col("k") * 7 + 3) % F.col("n")), filed(spark, d).select(F.col("k").alias("to"), "src", "lang", "title")
+    both = f.select(F.col("id").alias("from_id"), "k", "to").join(t, "to")
+    of, slash = F.col("to").cast("string"), F.lit("/")
+    forms = [
+        F.concat("src", slash, "lang", F.lit("/Doc "), of), F.concat("lang", F.lit("/DOC  "), of), F.concat("src", slash, "lang", F.lit("/doc-"), of), F.concat("lang", F.lit("/doc_"), of), F.col("title"),
+        F.concat(F.lit("Doc "), of), F.concat(F.lit("No. "), of), F.concat(F.lit("Doc__"), of), F.concat(F.lit("No such "), of), F.col("src"),
+    ]
+    return both.select("from_id", "k", F.element_at(F.array(*forms), (F.col("k") % 10 + 1).cast("int")).alias("target"))
+
+
+_RESOLVED = f"""{_FILED}, names AS (
+  SELECT id, 0 AS stage, 'plain' AS way, lower(src || '/' || lang || '/doc ' || k) AS name FROM filed UNION ALL SELECT id, 1, 'plain', lower(lang || '/doc ' || k) FROM filed
+  UNION ALL SELECT id, 2, 'path', {_SLUG("src")} || '/' || {_SLUG("lang")} || '/doc ' || k FROM filed UNION ALL SELECT id, 3, 'path', {_SLUG("lang")} || '/doc ' || k FROM filed
+  UNION ALL SELECT id, 4, 'plain', lower(title) FROM filed UNION ALL SELECT id, 5, 'plain', 'doc ' || k FROM filed UNION ALL SELECT id, 6, 'plain', 'no. ' || k FROM filed UNION ALL SELECT id, 6, 'plain', {_FOLD("src")} FROM filed
+  UNION ALL SELECT DISTINCT id, 7, 'slug', s FROM (SELECT id, unnest([{_SLUG("title")}, 'doc ' || k, 'no. ' || k, {_SLUG("src")}]) AS s FROM filed)),
+looked AS (SELECT from_id, k, target, unnest([{{'way': 'plain', 'name': {_FOLD("target")}}}, {{'way': 'path', 'name': CASE WHEN contains(target, '/') THEN {_SLUG("target")} END}}, {{'way': 'slug', 'name': {_SLUG("target")}}}]) AS x FROM aimed),
+met AS (SELECT from_id, k, target, stage, names.id, regexp_replace(names.id, '/[^/]*$', '') = regexp_replace(from_id, '/[^/]*$', '') AS near FROM looked JOIN names ON names.way = x.way AND names.name = x.name AND x.name <> ''),
+first_ AS (SELECT k, min(stage) AS stage FROM met GROUP BY k),
+best AS (SELECT k, stage, first(id ORDER BY near DESC, length(id), id) AS to_id, count(DISTINCT id) AS n FROM met SEMI JOIN first_ USING (k, stage) GROUP BY k, stage)"""
+
+
+@query(f"""WITH {_RESOLVED} SELECT from_id, target, to_id, ['path', 'suffix', 'path slug', 'suffix slug', 'title', 'file', 'alias', 'slug'][stage + 1] AS stage, n FROM aimed LEFT JOIN best USING (k)""")
 def resolve_links(spark, d):
-    n = notes(spark, d)
-    base = F.element_at(F.split("path", "/"), -1)
-    names = F.array(*(F.struct(x.alias("name"), F.lit(k).alias("prio")) for k, x in enumerate((F.col("path"), base, F.lower("title")))))
-    dictionary = n.select(F.col("id").alias("to_id"), F.col("path").alias("to_path"), F.col("project").alias("to_project"), F.inline(names))
-    refs = n.select(F.col("id").alias("ref"), F.when(F.col("id") % 3 == 0, F.col("path")).when(F.col("id") % 3 == 1, base).otherwise(F.lower("title")).alias("name"), "project")
-    order = W.partitionBy("ref").orderBy("prio", F.desc(F.col("project") == F.col("to_project")), F.length("to_path"), "to_path")
-    return refs.join(dictionary, "name").withColumn("k", F.row_number().over(order)).where("k = 1").select("ref", "to_id", "prio")
+    """What each link points at, by which of eight stages, and how many notes share the name there."""
+    return R.resolved(aimed(spark, d), filed(spark, d)).select("from_id", "target", "to_id", "stage", "n")
+
+
+@query(f"""WITH {_RESOLVED} SELECT {_FOLD("target")} AS name, max(n) AS n FROM aimed JOIN best USING (k) WHERE n > 1 GROUP BY 1""")
+def ambiguous_links(spark, d):
+    """Names of links that several notes have."""
+    return R.ambiguous(R.resolved(aimed(spark, d), filed(spark, d)))
 
 
 @query(f"WITH {NOTES} SELECT lower(title) AS name, count(DISTINCT id) AS n, min(id) AS first FROM notes GROUP BY 1 HAVING count(DISTINCT id) > 1")
