@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..lineage import cut
 from .facts import CONTAINMENT_SHARE, DUPLICATE_CONTAINMENT, DUPLICATE_JACCARD, UPDATE_JACCARD
 
 #: No verdict comes from a pair that shares less than this part of the smaller one's terms.
@@ -25,7 +26,7 @@ def following(rows: DataFrame, key: str, place: str, ranges: int | None = None)
     """rows with `next`: the place of the next row of its key, null for the last. Rows are dealt by ranges of (key,
     place), so that a key with many rows is several tasks' work; places of a key are distinct."""
     n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, key, place).withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = cut(rows.repartitionByRange(n, key, place).withColumn("_part", F.spark_partition_id()))
     heads = dealt.groupBy("_part").agg(F.min(F.struct(key, place)).alias("_head"))  # a row a range
     heads = heads.select((F.lag("_part").over(W.orderBy("_part"))).alias("_part"), F.col(f"_head.{key}").alias("_key"), F.col(f"_head.{place}").alias("_place"))
     inside = W.partitionBy("_part").orderBy(key, place)
@@ -101,7 +102,7 @@ def remembered_in_order(new: DataFrame, current: DataFrame, rounds: list | None
     nothing, a null key is none's, null names are none and a null force is false. ord and id are distinct over all facts.
     No new facts: no rows. `rounds`, a list, gets the number of verdicts that each round changed.
     """
-    fresh, old = _plain(new).checkpoint(), _plain(current).checkpoint()
+    fresh, old = cut(_plain(new)), cut(_plain(current))
     span = fresh.agg(F.max("ord").alias("b"), F.min("ord").alias("a")).first()
     if span["b"] is None:
         return fresh.select("ord", "id", F.lit("").alias("verdict"), F.lit("").alias("match"), "named").toDF("ord", "id", "verdict", "match", "replaces")
@@ -110,16 +111,17 @@ def remembered_in_order(new: DataFrame, current: DataFrame, rounds: list | None
     fresh = fresh.withColumn("turn", turn)
     every = fresh.withColumn("batch", F.lit(True)).unionByName(old.withColumn("turn", F.lit(0).cast("long")).withColumn("batch", F.lit(False)))
     named = fresh.select(F.col("ord").alias("of"), F.col("turn").alias("of_turn"), F.posexplode("named").alias("nth", "id"))
-    named = named.join(every.select("id", F.col("ord").alias("to"), F.col("turn").alias("to_turn"), "batch"), "id", "left").checkpoint()
+    named = cut(named.join(every.select("id", F.col("ord").alias("to"), F.col("turn").alias("to_turn"), "batch"), "id", "left"))
     fixed = F.col("key").isNull() & F.col("is_named").isNull()
-    every = every.join(named.where("to is not null").select(F.col("to").alias("ord")).distinct().withColumn("is_named", F.lit(True)), "ord", "left").withColumn("fixed", fixed).drop("is_named", "terms").checkpoint()
+    are_named = named.where("to is not null").select(F.col("to").alias("ord")).distinct().withColumn("is_named", F.lit(True))
+    every = cut(every.join(are_named, "ord", "left").withColumn("fixed", fixed).drop("is_named", "terms"))
 
     classes = fresh.select("class", "terms").union(old.select("class", "terms")).where("class is not null").dropDuplicates(["class"])
     pairs = similar_classes(classes).join(fresh.select("class").distinct(), "class", "left_semi")
     same = fresh.where("class is not null").select("class", F.col("class").alias("other"), F.lit(1.0).alias("j"), F.lit(1.0).alias("c")).distinct()
-    pairs = pairs.union(same).checkpoint()
+    pairs = cut(pairs.union(same))
     movable = every.where("not fixed and class is not null").select(F.col("class").alias("other")).distinct()
-    probes = fresh.select("ord", "turn", "class", "category", "key", "named").join(pairs, "class").drop("class").checkpoint()
+    probes = cut(fresh.select("ord", "turn", "class", "category", "key", "named").join(pairs, "class").drop("class"))
     at = F.inline(stabbed(F.col("turn"), levels)).alias("level", "node")
     deep = probes.join(movable, "other", "left_semi").select("*", at)
     by_key = fresh.where("key is not null").select("ord", "key", "named", at)
@@ -127,7 +129,7 @@ def remembered_in_order(new: DataFrame, current: DataFrame, rounds: list | None
     # first guess: what is forced, has a key or names others is stored, and the first of each class
     first = fresh.groupBy("class").agg(F.min("ord").alias("first"))
     guess = fresh.join(first, "class", "left").select("ord", (F.col("force") | F.col("key").isNotNull() | (F.size("named") > 0) | F.col("class").isNull() | (F.col("ord") == F.col("first"))).alias("stored"))
-    state = guess.checkpoint()
+    state = cut(guess)
     while True:
         stored = state.where("stored").select("ord")
         there = every.where("not batch").unionByName(every.where("batch").join(stored, "ord", "left_semi"))
@@ -138,11 +140,11 @@ def remembered_in_order(new: DataFrame, current: DataFrame, rounds: list | None
         renamed = named.join(stored.withColumnRenamed("ord", "of"), "of", "left_semi").where("to_turn < of_turn").groupBy(F.col("to").alias("ord")).agg(F.min("of_turn").alias("renamed"))
         ends = there.join(after, ["key", "turn"], "left").join(earliest, "key", "left").join(renamed, "ord", "left")
         end = F.least(F.when(F.col("batch"), F.col("next")).otherwise(F.col("earliest")), F.col("renamed"))
-        ends = ends.select("ord", "id", "turn", "key", "category", "class", "fixed", "batch", end.alias("end")).checkpoint()
+        ends = cut(ends.select("ord", "id", "turn", "key", "category", "class", "fixed", "batch", end.alias("end")))
         last = F.least(F.coalesce("end", F.lit((1 << levels) - 1)) + 1, F.lit(1 << levels))
-        spans = ends.where("not fixed").select(
+        spans = cut(ends.where("not fixed").select(
             F.col("ord").alias("f"), F.col("id").alias("f_id"), F.col("key").alias("f_key"), F.col("category").alias("f_category"), F.col("class").alias("other"), F.inline(nodes(F.col("turn") + 1, last, levels)).alias("level", "node")
-        ).checkpoint()
+        ))
 
         held_to = ends.select(F.col("ord").alias("to"), F.col("end"), F.col("turn").alias("t"))
         gone = named.join(held_to, "to", "left").where(F.col("t").isNull() | (F.col("t") >= F.col("of_turn")) | (F.col("end") < F.col("of_turn"))).select(F.col("of").alias("ord")).distinct().withColumn("gone", F.lit(True))
@@ -167,10 +169,10 @@ def remembered_in_order(new: DataFrame, current: DataFrame, rounds: list | None
             F.when(F.col("gone").isNotNull(), "refused").when(~F.col("force") & (kind("any") == "duplicate"), "duplicate")
             .when(~F.col("force") & (F.size(replaces) == 0) & (kind("near") == "update"), "held").otherwise("stored")
         )
-        rows = rows.select("ord", "id", verdict.alias("verdict"), F.col("any.id").alias("m0"), F.col("near.id").alias("m1"), replaces.alias("replaces"), F.col("stored").alias("was")).select(
+        rows = cut(rows.select("ord", "id", verdict.alias("verdict"), F.col("any.id").alias("m0"), F.col("near.id").alias("m1"), replaces.alias("replaces"), F.col("stored").alias("was")).select(
             "ord", "id", "verdict", F.when(F.col("verdict") == "duplicate", F.col("m0")).when(F.col("verdict") == "held", F.col("m1")).alias("match"),
             F.when(F.col("verdict") == "stored", F.col("replaces")).otherwise(none).alias("replaces"), "was",
-        ).checkpoint()
+        ))
         changed = rows.where("was <> (verdict = 'stored')").count()
         if rounds is not None:
             rounds.append(changed)

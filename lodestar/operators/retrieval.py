@@ -9,38 +9,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import tokens
+from ..lineage import cut
+
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Queries asked at once of a part of the rows.
-BLOCK = 512
+#: Queries asked at once of a part of the rows; rows of a table of asked terms that are sent to all tasks at most.
+BLOCK, TOLD = 512, 100_000
+
+
+def _told(df: DataFrame) -> DataFrame:
+    """df, sent to all tasks if it is small enough for that; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(TOLD + 1).count() <= TOLD else df
+
+
+def _words(rows: DataFrame, weights: dict[str, float], *more: Column) -> DataFrame:
+    """(key, more, w, word) of every word in the fields."""
+    if len(weights) == 1:
+        ((f, w),) = weights.items()
+        return rows.select("key", *more, F.lit(float(w)).alias("w"), F.explode(f).alias("word"))
+    weighed = lambda w: lambda t: F.struct(F.lit(float(w)).alias("w"), t.alias("word"))
+    every = F.concat(*(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), weighed(w)) for f, w in weights.items()))
+    return rows.select("key", *more, F.inline(every))
+
+
+def phrase_hits(rows: DataFrame, phrases: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(term, key, tf): how often each phrase (term, parts array<string>) stands in each row (key, arrays of words), by
+    the weights of its fields; a phrase lies in one field whole.
+
+    Where a phrase may begin is read off its rarest word alone; each place is then looked up for the other words, so a
+    frequent word costs no more than the rarest one has places. Repeated words of a phrase count each.
+    """
+    parts = phrases.select("term", F.size("parts").alias("m"), F.posexplode("parts").alias("i", "word"))
+    found = None
+    for f, w in weights.items():
+        one = rows.select("key", F.lit(f).alias("field"), F.lit(float(w)).alias("w"), F.posexplode(f).alias("pos", "word"))
+        found = one if found is None else found.unionByName(one)
+    places = cut(found.join(_told(parts.select("word").distinct()), "word", "left_semi"))
+    often = places.groupBy("word").agg(F.count("*").alias("often"))
+    rarest = parts.join(often, "word", "left").groupBy("term", "m").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "i", "word")).alias("x"))
+    rarest = rarest.where("x.often > 0").select("term", "m", "x.i", "x.word")
+    starts = places.join(_told(rarest), "word").where("pos >= i").select("term", "m", F.col("i").alias("seen"), "key", "field", "w", (F.col("pos") - F.col("i")).alias("start"))
+    rest = starts.join(_told(parts.select("term", "i", "word")), "term").where("i <> seen")
+    met = rest.withColumn("pos", F.col("start") + F.col("i")).join(places.drop("w"), ["key", "field", "pos", "word"])
+    whole = met.groupBy("term", "key", "field", "start", "m", "w").agg(F.count("*").alias("n")).where("n = m - 1")
+    return whole.groupBy("term", "key").agg(F.sum("w").alias("tf"))
 
 
 def bm25(rows: DataFrame, queries: DataFrame, weights: dict[str, float], forms: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, matched): OR-match of queries (query_id, terms) with rows (key, an array of words for each
     field that weights names).
 
-    A term's frequency is the weighted sum over fields, a row's length all its words. Terms in more than half of the
-    rows count almost nothing. forms (term, form) says which words of the rows stand for an asked term. Lengths are sizes of arrays, so all words are seen once, and only asked ones are grouped.
+    A term of several words ("cross-encoder") is a phrase: its words stand one behind the other, and it counts as one
+    term with its own frequencies. A term without a word matches nothing. A term's frequency is the weighted sum over
+    fields, a row's length all its words. Terms in more than half of the rows count almost nothing. forms (term, form)
+    says which words of the rows stand for an asked term; then terms are words. Only asked words are grouped, in one
+    shuffle; asked terms and their frequencies go to all tasks where they are few.
     """
     length = sum((F.greatest(F.size(f), F.lit(0)) for f in weights), F.lit(0)).alias("dl")
-    whole = rows.agg(F.count_if(length > 0).alias("n_rows"), F.avg(F.when(length > 0, length)).alias("avgdl"))
-    weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
-    words = F.concat(*(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), weighed(w)) for f, w in weights.items()))
+    sizes = rows.select("key", length).where("dl > 0")
+    whole = sizes.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    hits = rows.select("key", length, F.inline(words))
+    every = _words(rows, weights, length)
     if forms is None:
-        hits = hits.join(asked.select("term").distinct(), "term", "left_semi")
+        terms = cut(asked.select("term").distinct().withColumn("parts", tokens(F.col("term"))).where(F.size("parts") > 0))
+        single = terms.where(F.size("parts") == 1).select("term", F.get("parts", 0).alias("word"))
+        phrases = terms.where(F.size("parts") > 1)
     else:
-        hits = hits.join(forms, "term").select("key", "dl", F.col("form").alias("term"), "w")
-    hits = hits.groupBy("term", "key").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
+        single, phrases = forms.select(F.col("form").alias("term"), F.col("term").alias("word")), None
+    hits = every.join(_told(single), "word").groupBy("term", "key").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
+    if phrases is not None and not phrases.isEmpty():
+        more = phrase_hits(rows, phrases, weights).join(sizes, "key").select("term", "key", "tf", "dl")
+        hits = hits.unionByName(more)
+    hits = cut(hits)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     # whole is one row
-    scored = hits.join(df, "term").crossJoin(F.broadcast(whole)).select(
+    scored = hits.join(_told(df), "term").crossJoin(F.broadcast(whole)).select(
         "term", "key",
         (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("s"),
     )
-    return asked.join(scored, "term").groupBy("query_id", "key").agg(F.sum("s").alias("score"), F.count("*").alias("matched"))
+    return scored.join(_told(asked), "term").groupBy("query_id", "key").agg(F.sum("s").alias("score"), F.count("*").alias("matched"))
 
 
 def ranked(rows: DataFrame, score: str = "score", most: int | None = None, by: str = "query_id", key: str = "key") -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import title_overlap, tokens
+from ..lineage import cut
 from ..operators import retrieval as R
 from ..registry import query
 from .views import NOTES, POSTINGS, QUESTIONS, notes, postings, questions, table
@@ -95,13 +96,37 @@ def fts_and_prefix(spark, d):
     return asked.join(v, "prefix").groupBy("query_id", "key").agg(F.count("*").alias("n")).where("n = 2")
 
 
-@query(rf"""WITH {POSTINGS}, {QUESTIONS}, p AS (SELECT query_id, terms[1] AS a, terms[2] AS b FROM questions WHERE len(terms) > 1)
-SELECT query_id, x.key, count(*) AS n FROM p JOIN postings x ON x.term = a JOIN postings y ON y.term = b AND y.key = x.key AND y.pos = x.pos + 1 GROUP BY query_id, x.key""")
+# Each question asks for its words in phrases of one to six, joined by hyphens.
+_PHRASED = r"""toks AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+chopped AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
+phrases AS (SELECT DISTINCT query_id, t[i:i + least(5, i % 6)] AS parts FROM (SELECT query_id, t, unnest(range(1, len(t) + 1, 4)) AS i FROM chopped)),
+p AS (SELECT DISTINCT parts FROM phrases), places AS (SELECT key, t, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS pos FROM toks),
+tf AS (SELECT parts, key, count(*) AS tf FROM p JOIN places ON word = parts[1] WHERE t[pos:pos + len(parts) - 1] = parts GROUP BY parts, key),
+df AS (SELECT parts, count(*) AS df FROM tf GROUP BY parts), whole AS (SELECT count(*) AS n_rows, avg(len(t)) AS avgdl FROM toks WHERE len(t) > 0),
+s AS (SELECT tf.parts, tf.key, greatest(ln((n_rows - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avgdl)) AS s
+  FROM tf JOIN df ON df.parts = tf.parts JOIN toks ON toks.key = tf.key, whole)"""
+
+
+def phrased(spark, d):
+    words = tokens(F.col("text"))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (i % 4 == 1) & (i <= F.size(words)))
+    chop = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.least(F.lit(5), i % 6) + 1), "-"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(chop).alias("terms"))
+
+
+@query(f"WITH {_PHRASED} SELECT query_id, key, round(sum(s), 6) AS score, count(*) AS matched FROM phrases JOIN s ON s.parts = phrases.parts GROUP BY query_id, key")
+def phrase_search(spark, d):
+    """Questions of phrases of one to six words against all texts, a phrase as one term with its own frequencies."""
+    got = R.bm25(words(spark, d), phrased(spark, d), TEXT)
+    return got.select("query_id", "key", F.round("score", 6).alias("score"), "matched")
+
+
+@query(f"WITH {_PHRASED} SELECT query_id, key, count(*) AS n, sum(tf)::BIGINT AS times FROM phrases JOIN tf ON tf.parts = phrases.parts WHERE len(phrases.parts) > 1 GROUP BY query_id, key")
 def phrase_match(spark, d):
-    p = questions(spark, d).where(F.size("terms") > 1).select("query_id", F.get("terms", 0).alias("term"), F.get("terms", 1).alias("b"))
-    post = postings(spark, d)
-    first = post.join(p, "term").select("query_id", "key", F.col("b").alias("term"), (F.col("pos") + 1).alias("pos"))
-    return first.join(post, ["term", "key", "pos"]).groupBy("query_id", "key").agg(F.count("*").alias("n"))
+    """How many of a question's phrases of two to six words a text has, and how often."""
+    asked = phrased(spark, d).select("query_id", F.explode("terms").alias("term")).withColumn("parts", tokens(F.col("term"))).where(F.size("parts") > 1)
+    got = R.phrase_hits(words(spark, d), asked.select("term", "parts").distinct(), TEXT)
+    return asked.join(got, "term").groupBy("query_id", "key").agg(F.count("*").alias("n"), F.sum("tf").cast("long").alias("times"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, key, strict, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strict DESC, round(score, 6) DESC, key) AS rank FROM (SELECT *, matched = n AS strict, count(*) FILTER (matched = n) OVER (PARTITION BY query_id) AS k FROM scored JOIN (SELECT query_id, len(terms) AS n FROM questions) USING (query_id)) WHERE strict OR (k < 5 AND n > 1)) WHERE rank <= 30")
@@ -142,7 +167,7 @@ fused AS (SELECT query_id, key, score, lists, row_number() OVER (PARTITION BY qu
 
 
 def three_lists(spark, d, hidden=None):
-    lex, den = lexical(spark, d, hidden=hidden), dense_list(spark, d, hidden=hidden)
+    lex, den = cut(lexical(spark, d, hidden=hidden)), cut(dense_list(spark, d, hidden=hidden))  # each is read several times
     dates = lex.where("key % 7 = 0").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("key")))
     return [lex, den, dates]
 
