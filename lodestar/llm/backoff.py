@@ -1,18 +1,21 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts, exactly normalised backoff weights.
 
-Documents go in blocks of some megabytes. A block lists its distinct n-grams and histories (64-bit hashes, sorted) with
-their occurrences in its training documents, and sends each hash range its part. A range adds them up over all blocks
-and answers each block with the whole corpus' counts in its own order, a byte or two for each; so an n-gram crosses the
+Documents go in blocks of some megabytes. A block lists its distinct n-grams (64-bit hashes, sorted) with their
+occurrences in its training documents, and sends each hash range its part. A range adds them up over all blocks and
+answers each block with the whole corpus' counts in its own order, a byte or two for each; so an n-gram crosses the
 shuffle once a block and not once a document, and no n-gram is hot. A range also tells how many n-grams occur once,
-twice and so on, which is all that discounts need, and names for each n-gram one block that speaks for it.
+twice and so on, which is all that discounts need, and names for each n-gram one block that speaks for it. A history's
+count is that of the n-gram it is, as every word has a token behind it; the history of begins is as frequent as ends.
 
-With these counts a block has every probability that needs no backoff weight. For each n-gram it speaks for it adds the
-discounted mass and the lower order's probability to its history; summed over blocks these give the history's weight
+With these counts a block has every probability that needs no backoff weight. The weight of a history is
 
-    weight(h) = what discounts leave of h / (1 - sum of lower-order probabilities of the words seen after h).
+    weight(h) = what discounts leave of h / (1 - sum of lower-order probabilities of the words seen after h),
 
-Tokens are then evaluated from the longest n-gram down to the first that is known. Weights are asked for only where a
-document backs off from a known history, a row for each history and block, so that hot histories don't pile up.
+and as these all have one denominator, it follows from whole numbers: how many n-grams after h occur once, twice and so
+on, and the same of their lower-order n-grams. A block adds them up for the n-grams it speaks for and sends them to hash
+ranges of histories, with the histories it needs weights for; it gets back what they come to over all blocks. Tokens are
+evaluated from the longest n-gram down to the first that is known; weights are needed only where a document backs off
+from a known history.
 """
 
 import zlib
@@ -36,8 +39,8 @@ DISCOUNTED = 5
 BLOCK_BYTES, RANGE_KEYS, LEAST_RANGES = 4 << 20, 2_000_000, 48
 #: Hashes of what isn't a word.
 START, END = (mix(np.array([x], U64))[0] for x in (11, 13))
-#: Low bits of a key tell what it is: n - 1 for an n-gram, 4 + n - 2 for a history of n-grams.
-KINDS = U64(7)
+#: Low bits of a key tell its order: n - 1 for an n-gram and for a history of n-grams.
+KINDS = U64(3)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -89,7 +92,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Block:
-    """The tokens of a block and, for each, the hashes of its n-grams and their histories."""
+    """The tokens of a block and, for each, the hashes of its n-grams and their histories, by order."""
 
     def __init__(self, row: dict, order: int):
         self.ids = row["ids"]
@@ -112,21 +115,22 @@ class Block:
         last = begin[1:] - 1
         padded[last] = END
         real = np.ones(len(self.doc), bool)
-        real[np.cumsum(n + 1) - 1] = False
+        real[np.cumsum(n + 1) - 1] = False  # ends
         padded[at[real]] = words
         token, history = padded[at], None
         self.grams, self.histories = [(mix(token) & ~KINDS)], []
         for k in range(2, order + 1):
             before = padded[at - (k - 1)]
             history = before if history is None else combine(before, history)
-            self.histories.append((mix(history + U64(k)) & ~KINDS) | U64(4 + k - 2))
+            self.histories.append((mix(history + U64(k)) & ~KINDS) | U64(k - 1))
             self.grams.append((combine(history, token) & ~KINDS) | U64(k - 1))
+        self.begins, self.ends = np.cumsum(n + 1) - n - 1, np.cumsum(n + 1) - 1
         self.held_out = np.array([held_out(x) for x in self.ids], bool)
         self.training = ~self.held_out[self.doc]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted keys, of each a place in the run of all n-grams and histories, the key's number at each place)."""
-        every = np.concatenate([*self.grams, *self.histories])
+        """(sorted keys, of each a place in the run of all n-grams, the key's number at each place)."""
+        every = np.concatenate(self.grams)
         by = np.argsort(every, kind="stable").astype(np.int32)  # a block has fewer tokens than that
         ordered = every[by]
         new = np.r_[True, ordered[1:] != ordered[:-1]] if len(by) else np.empty(0, bool)
@@ -149,7 +153,7 @@ def _shares(order: int, ranges: int):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = Block(row, order)
                 keys, _, number = block.distinct()
-                times = np.bincount(number, weights=np.tile(block.training, 2 * order - 1), minlength=len(keys)).astype(np.int64)
+                times = np.bincount(number, weights=np.tile(block.training, order), minlength=len(keys)).astype(np.int64)
                 to, ends = _bounds(keys, ranges)
                 cut = list(zip(ends[:-1], ends[1:]))
                 yield pa.RecordBatch.from_arrays(
@@ -245,14 +249,38 @@ class Model:
         return count + (count >= len(self.d[k]))
 
 
-#: Rows of documents (i not null), of histories' sums (history and seen not null) and of weights asked for (docs not null).
+def _sums_of(count: np.ndarray, of: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each history of n how many counts are 1, 2, .. DISCOUNTED, and the sum of those beyond."""
+    some = [np.bincount(of[count == r], minlength=n) for r in range(1, DISCOUNTED + 1)]
+    return [*some, np.bincount(of, weights=np.where(count > DISCOUNTED, count, 0), minlength=n).astype(np.int64)]
+
+
+def _discounted_sum(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The discounted counts that such sums stand for."""
+    factors = [d[r] if r < len(d) else 1.0 for r in range(1, DISCOUNTED + 1)]
+    return sum(r * f * sums[r - 1] for r, f in enumerate(factors, 1)) + sums[DISCOUNTED]
+
+
+#: Numbers of a history: of the n-grams after it, and of their lower-order n-grams.
+NUMBERS = 2 * (DISCOUNTED + 1)
+#: A row of a block (ids not null): its documents, and which weights they need how often; and rows of what it sends to a
+#: range of histories: its numbers for some of them, and the ones it needs.
 EVALUATED = (
-    "block long, i int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-    "history long, k int, count long, mass double, seen double, docs array<int>, times array<int>"
+    "block long, ids array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>, "
+    "n_pairs long, pairs binary, times binary, counts binary, lower binary, orders binary, range long, n long, keys binary, numbers array<binary>, n_asked long, asked binary"
 )
+_TYPES = {
+    "block": pa.int64(), "ids": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "n_tokens": pa.list_(pa.int64()), "n_known": pa.list_(pa.int64()), "base_score": pa.list_(pa.float64()),
+    "score": pa.list_(pa.float64()), "n_pairs": pa.int64(), "pairs": pa.binary(), "times": pa.binary(), "counts": pa.binary(), "lower": pa.binary(), "orders": pa.binary(),
+    "range": pa.int64(), "n": pa.int64(), "keys": pa.binary(), "numbers": pa.list_(pa.binary()), "n_asked": pa.int64(), "asked": pa.binary(),
+}
 
 
-def _evaluated(model: Model):
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in _TYPES.items()], list(_TYPES))
+
+
+def _evaluated(model: Model, ranges: int):
     order = model.order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,61 +288,124 @@ def _evaluated(model: Model):
             for k in range(batch.num_rows):
                 yield from rows(batch.slice(k, 1).to_pylist()[0])
 
-    def filled(n: int, columns: dict) -> pa.RecordBatch:
-        types = {
-            "block": pa.int64(), "i": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(),
-            "history": pa.int64(), "k": pa.int32(), "count": pa.int64(), "mass": pa.float64(), "seen": pa.float64(), "docs": pa.list_(pa.int32()), "times": pa.list_(pa.int32()),
-        }
-        arrays = [(columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t)) if c in columns else pa.nulls(n, t) for c, t in types.items()]
-        return pa.RecordBatch.from_arrays(arrays, list(types))
-
     def rows(row: dict) -> Iterator[pa.RecordBatch]:
         block = Block(row, order)
         keys, place, number = block.distinct()
         answer = np.concatenate([np.empty(0, U64), *(unpacked(x["counts"], x["n"]) for x in row["answers"])]).astype(np.int64)
-        size = len(block.doc)
-        count = (answer >> 1)[number].reshape(2 * order - 1, size)
-        n_docs = len(block.ids)
-        # each token's probability by order, where its n-gram is known; lower ones first
-        p = [np.where(count[0] > 0, model.discounted(0, count[0]) / max(model.denominator(0, np.array([model.tokens]))[0], 1), model.unknown)]
+        size, n_docs = len(block.doc), len(block.ids)
+        count = (answer >> 1)[number].reshape(order, size)
+        texts = count[0][block.ends[0]]  # training documents have an end each
+        history = [np.full(size, model.tokens)]  # of each token's n-gram without the token
         for k in range(1, order):
-            history = count[order + k - 1]
-            p.append(model.discounted(k, count[k]) / np.maximum(model.denominator(k, history), 1))
+            h = np.r_[0, count[k - 1][:-1]]
+            h[block.begins] = texts
+            history.append(h)
+        p = [model.discounted(k, count[k]) / np.maximum(model.denominator(k, history[k]), 1) for k in range(order)]
+        p[0][count[0] == 0] = model.unknown
         done, score = np.zeros(size, bool), np.zeros(size)
-        asked: list[tuple[np.ndarray, np.ndarray]] = []
+        needs: list[tuple[np.ndarray, ...]] = []
         for k in range(order - 1, -1, -1):
             here = ~done & ((count[k] > 0) | (k == 0))
             score[here] = np.log10(p[k][here])
             done |= here
             if k:
-                backs = np.flatnonzero(~done & (count[order + k - 1] > 0))
-                asked.append((block.histories[k - 1][backs], block.doc[backs]))
+                backs = np.flatnonzero(~done & (history[k] > 0))
+                needs.append((block.histories[k - 1][backs], block.doc[backs], history[k][backs], history[k - 1][backs]))
         base = np.log10((count[0] + 1) / (model.tokens + model.distinct + 1))
         total = lambda x: np.bincount(block.doc, weights=x, minlength=n_docs)
-        yield filled(
-            n_docs,
-            {
-                "block": [row["block"]] * n_docs, "i": np.arange(n_docs, dtype=np.int32), "doc_id": block.ids, "held_out": block.held_out, "n_tokens": block.n_tokens,
-                "n_known": total(count[0] > 0).astype(np.int64), "base_score": total(base), "score": total(score),
-            },
-        )
-        # n-grams this block speaks for, by history
+        told = {
+            "block": row["block"], "ids": block.ids, "held_out": block.held_out, "n_tokens": block.n_tokens, "n_known": total(count[0] > 0).astype(np.int64), "base_score": total(base), "score": total(score), "n_pairs": 0,
+        }
+        need = np.empty(0, U64)
+        if needs:
+            every, doc, of_history, of_lower = (np.concatenate(x) for x in zip(*needs))
+            need, first, of = np.unique(every, return_index=True, return_inverse=True)
+            pairs, times = np.unique((of.astype(np.uint64) << U64(32)) | doc.astype(np.uint64), return_counts=True)
+            told |= {
+                "n_pairs": len(pairs), "n": len(need), "pairs": packed(np.diff(pairs, prepend=U64(0))), "times": packed(times), "counts": packed(of_history[first]), "lower": packed(of_lower[first]), "orders": packed(need & KINDS),
+            }
+        yield _rows([told])
+        # numbers of the n-grams this block speaks for, by history
         own = np.flatnonzero((answer & 1) == 1)
+        spoken, after, lower = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in range(1, order):
             some = place[own[(keys[own] & KINDS) == U64(k)]] - k * size  # tokens that end them
-            history, of = np.unique(block.histories[k - 1][some], return_inverse=True)
-            mass = np.bincount(of, weights=count[k][some] - model.discounted(k, count[k][some]), minlength=len(history))
-            seen = np.bincount(of, weights=p[k - 1][some], minlength=len(history))
-            c = np.zeros(len(history), np.int64)
-            c[of] = count[order + k - 1][some]
-            yield filled(len(history), {"history": history.view(np.int64), "k": np.full(len(history), k, np.int32), "count": c, "mass": mass, "seen": seen})
-        history, doc = (np.concatenate(x) for x in zip(*asked)) if asked else (np.empty(0, U64), np.empty(0, np.int64))
-        if len(history):
-            distinct, of = np.unique(history, return_inverse=True)
-            pairs, times = np.unique((of.astype(np.int64) << 32) | doc, return_counts=True)
-            ends = pa.array(np.searchsorted(pairs >> 32, np.arange(len(distinct) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pairs & ((1 << 32) - 1), times)]
-            yield filled(len(distinct), {"block": [row["block"]] * len(distinct), "history": distinct.view(np.int64), "docs": lists[0], "times": lists[1]})
+            spoken.append(block.histories[k - 1][some])
+            after.append(count[k][some])
+            lower.append(count[k - 1][some])
+        heard, of = np.unique(np.concatenate(spoken), return_inverse=True)
+        numbers = [*_sums_of(np.concatenate(after), of, len(heard)), *_sums_of(np.concatenate(lower), of, len(heard))]
+        parts_: dict[int, dict] = {}
+        for what, n, run in (("keys", "n", heard), ("asked", "n_asked", need)):
+            to, ends = _bounds(run, ranges)
+            for at, a, b in zip(to.tolist(), ends[:-1], ends[1:]):
+                got = parts_.setdefault(at, {"range": at, "block": row["block"], "n": 0, "n_asked": 0})
+                got |= {n: int(b - a), what: packed(np.diff(run[a:b], prepend=U64(0)))}
+                if what == "keys":
+                    got["numbers"] = [packed(x[a:b]) for x in numbers]
+        if parts_:
+            yield _rows(list(parts_.values()))
+
+    return run
+
+
+def _weighed(model: Model):
+    """Of one range of histories the numbers of all blocks -> for each block that needs some the discounted mass of these
+    histories and the lower order's discounted counts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        spoken = [r for r in rows if r["n"]]
+        keys = np.concatenate([np.empty(0, U64), *(np.cumsum(unpacked(r["keys"], r["n"]), dtype=U64) for r in spoken)])
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        sums = np.zeros((NUMBERS, len(first)), np.int64)
+        for x in range(NUMBERS if len(first) else 0):
+            sums[x] = np.add.reduceat(np.concatenate([unpacked(r["numbers"][x], r["n"]) for r in spoken]).astype(np.int64)[by], first)
+        keys = keys[first]
+        left, lower = np.zeros(len(keys)), np.zeros(len(keys))
+        for k in range(1, model.order):
+            of = (keys & KINDS) == U64(k)
+            after, below = sums[: DISCOUNTED + 1, of], sums[DISCOUNTED + 1 :, of]
+            left[of] = sum((1 - x) * r * after[r - 1] for r, x in enumerate(model.d[k]) if r)
+            lower[of] = _discounted_sum(below, model.d[k - 1])
+        blocks, counts, values = [], [], []
+        for r in rows:
+            if r["n_asked"]:
+                at = np.searchsorted(keys, np.cumsum(unpacked(r["asked"], r["n_asked"]), dtype=U64))
+                blocks.append(r["block"])
+                counts.append(r["n_asked"])
+                values.append(left[at].tobytes() + lower[at].tobytes())
+        return pa.table([pa.array(blocks, pa.int64()), pa.array([rows[0]["range"]] * len(blocks), pa.int64()), pa.array(counts, pa.int64()), pa.array(values, pa.binary())], ["block", "range", "n", "values"])
+
+    return run
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _finished(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                score = np.array(row["score"])
+                if row["n_pairs"]:
+                    got = [np.frombuffer(x["values"]).reshape(2, -1) for x in row["answers"]]
+                    left, below = np.concatenate(got, axis=1)
+                    orders, count, lower = (unpacked(row[c], row["n"]).astype(np.int64) for c in ("orders", "counts", "lower"))
+                    weight = np.zeros(row["n"])
+                    for of in range(1, model.order):
+                        here = orders == of
+                        over = count[here] >= len(model.d[of])
+                        weight[here] = np.log10((left[here] + over) / (count[here] + over) / (1 - below[here] / model.denominator(of - 1, lower[here])))
+                    pairs = np.cumsum(unpacked(row["pairs"], row["n_pairs"]), dtype=U64)
+                    more = weight[(pairs >> U64(32)).astype(np.int64)] * unpacked(row["times"], row["n_pairs"])
+                    score = score + np.bincount((pairs & U64((1 << 32) - 1)).astype(np.int64), weights=more, minlength=len(score))
+                columns = [row["ids"], row["held_out"], row["n_tokens"], row["n_known"], row["base_score"], score]
+                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -346,20 +437,15 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     model = Model(told, order)
     answers = counts.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", "counts"))).alias("answers"))
     given = blocks.join(answers.hint("shuffle_hash"), "block")
-    rows = stored(given.mapInArrow(_evaluated(model), EVALUATED), "evaluated")
+    rows = stored(given.mapInArrow(_evaluated(model, ranges), EVALUATED), "evaluated")
     tables.dropped()
     discard(counts)
-
-    limits = F.create_map(*(F.lit(x) for k, d in enumerate(model.d) for x in (k, len(d))))
-    sums = rows.where("seen is not null").groupBy("history").agg(F.max("k").alias("k"), F.max("count").alias("count"), F.sum("mass").alias("mass"), F.sum("seen").alias("seen"))
-    over = (F.col("count") >= limits[F.col("k")]).cast("int")
-    weights = sums.select("history", F.log10((F.col("mass") + over) / (F.col("count") + over) / (1 - F.col("seen"))).alias("weight"))
-    asked = rows.where("docs is not null").select("history", "block", F.arrays_zip("docs", "times").alias("of"))
-    more = asked.join(weights, "history").select("block", "weight", F.inline("of").alias("i", "times")).groupBy("block", "i").agg(F.sum(F.col("weight") * F.col("times")).alias("more"))
-    told = rows.where("i is not null").join(more, ["block", "i"], "left")
-    return told.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
-    )
+    sent = rows.where("ids is null").select("range", "block", "n", "keys", "numbers", "n_asked", "asked")
+    weights = sent.groupBy("range").applyInArrow(_weighed(model), "block long, range long, n long, values binary")
+    back = weights.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "n", "values"))).alias("answers"))
+    told = rows.where("ids is not null").select("block", "ids", "held_out", "n_tokens", "n_known", "base_score", "score", "n_pairs", "pairs", "times", "counts", "lower", "orders", "n")
+    got = told.join(back, "block", "left").mapInArrow(_finished(model), _SCORED)
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op13_lm_scoring(spark, sf_dir: str) -> DataFrame:
