@@ -423,8 +423,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     if not 1 <= order <= 4:
         raise ValueError("order is 1 to 4")
-    spark = docs.sparkSession
-    tables = Bucketed(spark, min(max(12, docs.rdd.getNumPartitions()), 50_000))
+    tables = Bucketed(docs)
     blocks = tables.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, _BLOCK), "blocks")
     size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     ranges = min(1 << 20, max(LEAST_RANGES, size * order // 6 // RANGE_KEYS))  # a word has six bytes or so

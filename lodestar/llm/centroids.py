@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, shared_dir, stored, table
@@ -196,10 +196,12 @@ def _placed(centroids: np.ndarray):
 
 
 class Bucketed:
-    """Tables bucketed by block in the shared folder, deleted at the end."""
+    """Tables bucketed by block in the shared folder, deleted at the end. There are as many buckets as the given rows have
+    partitions, and not fewer than shuffles have, as Spark would shuffle both sides of a join then."""
 
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets, self.names = spark, buckets, []
+    def __init__(self, rows: DataFrame):
+        self.spark, self.names = rows.sparkSession, []
+        self.buckets = min(max(rows.rdd.getNumPartitions(), int(self.spark.conf.get("spark.sql.shuffle.partitions"))), 50_000)
 
     def written(self, df: DataFrame, what: str) -> DataFrame:
         name = f"{what}_{uuid.uuid4().hex}"
@@ -236,8 +238,7 @@ def clusters(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dimens
         empty = spark.createDataFrame([], out + ", cluster_inertia long, inertia long, centroid_sha256 string")
         return empty
     of = grouped(centroids, groups)
-    partitions = vectors.rdd.getNumPartitions()
-    tables = Bucketed(spark, min(max(12, partitions), 50_000))
+    tables = Bucketed(vectors)
     id_type = vectors.schema["vec_id"].dataType.simpleString()
     blocks = tables.written(rows.mapInArrow(_blocks(dimensions), f"block long, ids array<{id_type}>, vectors binary"), "vectors")
     state, step = None, None
