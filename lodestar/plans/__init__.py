@@ -1,6 +1,6 @@
 """Composed queries over the parquet tables."""
 
-from . import q_facts, q_graph, q_retrieval, q_text, q_vault, q_views  # noqa: F401  they register their queries
+from . import q_facts, q_graph, q_pool, q_retrieval, q_text, q_vault, q_views  # noqa: F401  they register their queries
 from .q_retrieval import search_notes
 from .views import notes
 
