@@ -41,24 +41,21 @@ def current(spark: SparkSession, target: str, key: str, seq: str, removed: str |
 
 
 def compact(spark: SparkSession, target: str, key: str, seq: str) -> None:
-    """Leaves one batch's folder with the last change of each key in place of all there are, so that current() reads no
-    more than the state. Not while keep_current() runs. The new rows are complete before an old folder goes, and
-    repeated rows don't count, so a run that is broken off loses nothing and can be run again."""
+    """Leaves one folder with the last change of each key in place of all there are, so that current() reads no more
+    than the state. Not while keep_current() runs. Merged rows get a folder with a number below zero, which no batch has,
+    so a batch that is run again replaces none of them. The folder appears whole by one rename before an old one goes,
+    and repeated rows don't count, so a run that is broken off loses nothing and can be run again."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     old = [x.getPath() for x in fs.listStatus(path(target)) if x.getPath().getName().startswith("batch=")]
     if len(old) < 2:
         return
-    last = max(int(x.getName().split("=")[1]) for x in old)
+    least = min(0, *(int(x.getName().split("=")[1]) for x in old))
     latest(spark.read.parquet(target).drop("batch"), key, seq).write.mode("overwrite").parquet(f"{target}/_merged")
-    for part in fs.listStatus(path(f"{target}/_merged")):
-        name = part.getPath().getName()
-        if name.startswith("part-"):
-            fs.rename(part.getPath(), path(f"{target}/batch={last}/merged-{name}"))
+    if not fs.rename(path(f"{target}/_merged"), path(f"{target}/batch={least - 1}")):
+        raise RuntimeError(f"could not rename to batch={least - 1}")
     for folder in old:
-        if folder.getName() != f"batch={last}":
-            fs.delete(folder, True)
-    fs.delete(path(f"{target}/_merged"), True)
+        fs.delete(folder, True)
 
 
 __all__ = ["audit", "audit_stream", "compact", "current", "debounced", "keep_current", "read_feed"]
