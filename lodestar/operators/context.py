@@ -1,12 +1,15 @@
 """What is handed on of the notes: packs of sections for a question, the identity bundle, views of a note."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import title_overlap
+from ..functions.text import STOP_WORDS, title_overlap
 from .graph import STRUCTURAL
 from .retrieval import RRF_K, packed
+from .running import running_sum
 
 # What note rank, a link with a top hit, a late change, title and heading are worth beside a section's rank.
 NOTE_SHARE, LINKED, LATE, LATE_DAYS, TITLE, HEADING = 0.7, 0.004, 0.002, 90, 0.02, 0.01
@@ -79,21 +82,69 @@ def capped_newest(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).when(at > 0, F.substring(tail, at + 1, F.lit(most))).otherwise(tail)
 
 
-def identity(profile: DataFrame, memory: DataFrame, facts: DataFrame, skills: DataFrame, projects: DataFrame, recent: DataFrame, budget: int = 60_000, reserve: int = 8_000, note_chars: int = 2_500) -> DataFrame:
+#: A term of a topic that more than this share of the memory has says nothing; notes that stay where a topic tells nothing.
+TOO_COMMON, NEWEST = 0.4, 5
+FACT_CHARS = 300
+
+
+def about(memory: DataFrame, topic: str) -> DataFrame:
+    """The notes (id, title, modified, text, topics array<string>, ...) of a memory that a topic is about.
+
+    A note is about it if its title, topics or first 3,000 characters have one of the topic's terms (in any form, from
+    four letters on), of those that at most 40 % of the notes have. Where no term or note is left, the five newest are.
+    """
+    terms = query_terms_of(topic)
+    hay = F.lower(F.concat_ws(" ", "title", F.array_join(F.coalesce("topics", F.array().cast("array<string>")), " "), F.left("text", F.lit(3_000))))
+    hit = lambda t: F.contains(F.col("_hay"), F.lit(t[: max(4, len(t) - 1)])) if len(t) >= 4 else F.col("_hay").rlike(rf"\b{re.escape(t)}\b")
+    rows = memory.withColumn("_hay", F.coalesce(hay, F.lit("")))
+    counts = rows.agg(F.count("*").alias("n"), *(F.count_if(hit(t)).alias(f"t{k}") for k, t in enumerate(terms))).first()  # a number a term
+    telling = [t for k, t in enumerate(terms) if counts[f"t{k}"] <= TOO_COMMON * counts["n"]]
+    newest = memory.orderBy(F.desc("modified"), "id").limit(NEWEST)
+    if not telling or not any(counts[f"t{k}"] for k, t in enumerate(terms) if t in telling):
+        return newest
+    found = hit(telling[0])
+    for t in telling[1:]:
+        found = found | hit(t)
+    return rows.where(found).drop("_hay")
+
+
+def query_terms_of(topic: str) -> list[str]:
+    """query_terms() of one text that is known when the query is made."""
+    words = re.split(r"\s+", re.sub(r"[^\w\s-]", " ", topic.lower()))
+    return list(dict.fromkeys(w for w in words if len(w) > 1 and w not in STOP_WORDS))
+
+
+def identity(
+    profile: DataFrame, memory: DataFrame, facts: DataFrame, skills: DataFrame, projects: DataFrame, recent: DataFrame, budget: int = 60_000, reserve: int = 8_000, note_chars: int = 2_500, topic: str | None = None,
+    facts_budget: int = 4_000,
+) -> DataFrame:
     """(part, no, text): who the owner is, in order. Profile first; memory notes, newest first, while the budget stays
-    above the reserve; then facts, skills, projects and what changed late, each whole.
+    above the reserve, those about the topic if there is one; facts, newest first, while they fit a budget of their own;
+    then skills, projects and what changed late, each whole.
 
-    All have (id, title, type, modified, text); one owner's notes, so a window over all of a part is what is wanted.
+    All have (id, title, type, modified, text), and memory has topics where a topic is given. What fits is found from
+    sizes alone; texts are joined to what is left, so a memory of any size is no single task's work.
     """
+    newest = [F.desc("modified"), F.col("id")]
     first = profile.select(F.lit(1).alias("part"), F.lit(1).alias("no"), F.concat(F.lit("## Who they are\n\n"), capped(F.col("text"), note_chars)).alias("text"))
     spent = F.broadcast(first.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("spent")))  # one number
-    order = W.orderBy(F.desc("modified"), "id")
+    number = F.row_number().over(W.orderBy(*newest)).alias("no")  # of ids that fit a budget, or of a short list
+
+    def fitting(rows: DataFrame, text: Column, fits: Column) -> DataFrame:
+        sizes = running_sum(rows.select("id", "modified", F.length(text).alias("size")), F.col("size"), newest)
+        return sizes.crossJoin(spent).where(fits).select("id", "modified").select("id", number)
+
+    def written(rows: DataFrame, order: DataFrame, part: int, text: Column) -> DataFrame:
+        return rows.join(order, "id").select(F.lit(part).alias("part"), "no", text.alias("text"))
+
+    told = memory if topic is None else about(memory, topic)
     chunk = F.concat(F.lit("### "), "title", F.lit(" · "), "type", F.lit(" · "), "modified", F.lit("\n\n"), capped(F.col("text"), note_chars))
-    rows = memory.select(F.row_number().over(order).alias("no"), chunk.alias("text"))
-    left = F.lit(budget) - F.col("spent") - F.sum(F.length("text")).over(W.orderBy("no").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.crossJoin(spent).withColumn("left", left).where(F.col("left") >= reserve).select(F.lit(2).alias("part"), "no", "text")
-    line = lambda df, part, most: df.select(F.lit(part).alias("part"), F.row_number().over(order).alias("no"), F.concat(F.lit("- **"), "title", F.lit("** — "), capped(F.coalesce("text", F.lit("")), most, "…")).alias("text"))
-    return first.union(rows).union(line(facts, 3, 4_000)).union(line(skills, 4, 300)).union(line(projects, 5, 240)).union(line(recent, 6, 200))
+    line = lambda most: F.concat(F.lit("- **"), "title", F.lit("** — "), capped(F.coalesce("text", F.lit("")), most, "…"))
+    rows = first.union(written(told, fitting(told, chunk, F.lit(budget) - F.col("spent") - F.col("used") >= reserve), 2, chunk))
+    rows = rows.union(written(facts, fitting(facts, line(FACT_CHARS), F.col("used") <= facts_budget), 3, line(FACT_CHARS)))
+    for part, (df, most) in enumerate(((skills, 300), (projects, 240), (recent, 200)), 4):
+        rows = rows.union(written(df, df.select("id", "modified").select("id", number), part, line(most)))
+    return rows
 
 
 def graph_view(id_: str, links: DataFrame, notes: DataFrame, topics: DataFrame, most: int = 100) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .running import running_sum
 
 DUPLICATE_JACCARD, DUPLICATE_CONTAINMENT, UPDATE_JACCARD, CONTAINMENT_SHARE = 0.6, 0.85, 0.3, 0.9
 
@@ -75,7 +76,6 @@ def verdicts(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def within_budget(facts: DataFrame, budget: int) -> DataFrame:
     """The facts (subject, prio, at, id, size) that fit a budget taken by priority and newest first; the first that
-    doesn't fit ends it."""
-    w = W.partitionBy("subject").orderBy("prio", F.desc("at"), "id")
-    used = F.sum(F.col("size") + 2).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return facts.withColumn("used", used).where(F.col("used") <= budget)
+    doesn't fit ends it. A subject with very many facts is several tasks' work."""
+    used = running_sum(facts, F.col("size") + 2, [F.col("prio"), F.desc("at"), F.col("id")], ["subject"])
+    return used.where(F.col("used") <= budget)

@@ -291,13 +291,37 @@ def context_pack(spark, d):
     return X.rendered(X.pack(fused, sections), v)
 
 
-@query()
-def identity_sections(spark, d):
-    """The owner's bundle of the parsed notes: a profile, a project's memory, facts, skills, hubs and late changes."""
+def current_facts(spark, d):
+    """(id, title, type, modified, text): the current facts of the memory notes, a customer's orders each."""
+    from .q_facts import at, facts
+    from ..operators import facts as O
+
+    f = facts(spark, d).where(O.status(at()) == "current")
+    return f.select(
+        F.col("id").cast("string").alias("id"), F.col("category").alias("title"), F.lit("fact").alias("type"), F.date_format("valid_from", "yyyy-MM-dd").alias("modified"),
+        F.concat(F.lit("customer "), F.col("subject").cast("string"), F.lit(" since "), F.date_format("valid_from", "yyyy-MM-dd")).alias("text"),
+    )
+
+
+def bundle(spark, d, topic=None):
     v = vault.notes(parsed(spark, d)).withColumn("text", F.col("body"))
     of = lambda p: v.where(F.col("project") == p)
     late = v.where((F.col("modified") >= "2025-01-20") & ~F.col("type").isin(*G.STRUCTURAL)).orderBy(F.desc("modified"), "id").limit(20)
-    return X.identity(v.where("id = 'notes/1.md'"), of("src0"), of("src1").limit(0), of("src2").orderBy(F.desc("modified"), "id").limit(50), v.where("type = 'hub'").orderBy(F.desc("modified"), "id").limit(50), late).select("part", "no", F.sha1("text").alias("sha1"))
+    skills, hubs = (x.orderBy(F.desc("modified"), "id").limit(50) for x in (of("src2"), v.where("type = 'hub'")))
+    return X.identity(v.where("id = 'notes/1.md'"), of("src0"), current_facts(spark, d), skills, hubs, late, topic=topic).select("part", "no", F.sha1("text").alias("sha1"))
+
+
+@query()
+def identity_sections(spark, d):
+    """The owner's bundle of the parsed notes: a profile, a project's memory, current facts, skills, hubs and late changes."""
+    return bundle(spark, d)
+
+
+@query()
+def identity_topic(spark, d):
+    """The bundle with the memory that a topic is about: a word of the notes that not too many of them have, and one
+    that says nothing."""
+    return bundle(spark, d, "what about the ertion")
 
 
 @query(f"""WITH {_VAULT}, l AS (SELECT id AS a, k || '.md' AS b FROM (SELECT id, unnest([k1, k2]) AS k FROM vault)), o AS (SELECT DISTINCT b AS other FROM l WHERE a = 'notes/3.md'), b AS (SELECT DISTINCT a AS other FROM l WHERE b = 'notes/3.md' AND a <> b)

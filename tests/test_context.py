@@ -60,6 +60,51 @@ def test_identity(spark):
     assert one.a == "## two\nyy" and one.b.startswith("# M") and one.c == "# M!"
 
 
+def test_identity_of_a_topic(spark):
+    schema = "id string, title string, type string, modified string, text string, topics array<string>"
+    rows = [(f"n{k:02d}", f"Title {k}", "note", f"2025-01-{k:02d}", "common text " + ("pumping iron" if k % 5 == 0 else "") + (" ox" if k == 7 else " oxen"), ["Barn"] if k == 3 else None) for k in range(1, 21)]
+    memory = frame(spark, rows, schema)
+    ids = lambda topic: sorted(r.id for r in X.about(memory, topic).collect())
+    assert ids("The pumps, in common") == ["n05", "n10", "n15", "n20"]  # common says nothing, pump(s) begins pumping
+    assert ids("barns or ox") == ["n03", "n07"]  # short terms are whole words
+    newest = ["n16", "n17", "n18", "n19", "n20"]
+    assert ids("common") == newest and ids("elephants") == newest and ids("what is the") == newest
+    none = memory.limit(0)
+    got = X.identity(none, memory, memory, none, none, none, budget=2_000, reserve=1_000, topic="pump", facts_budget=90).orderBy("part", "no").collect()
+    assert [(r.part, r.no) for r in got] == [(2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2)] and got[0].text.startswith("### Title 20") and "Title 20" in got[4].text
+
+
+def test_running_sums(spark):
+    """A key with most rows, and no key at all, against sums in order."""
+    import random
+
+    from lodestar.operators.running import numbered, running_sum
+
+    r = random.Random(8)
+    rows = [(r.choice(["hot", "hot", "hot", "a", None]), r.randrange(50), k, r.choice([None, 1, 5])) for k in range(400)]
+    df = frame(spark, rows, "k string, a int, b int, v int").repartition(5)
+    order = [F.desc("a"), F.col("b")]
+    for by in (["k"], []):
+        total, want, n = {}, {}, {}
+        for k, a, b, v in sorted(rows, key=lambda x: (-x[1], x[2])):
+            key = k if by else 0
+            total[key] = total.get(key, 0) + (v or 0)
+            n[key] = n.get(key, 0) + 1
+            want[b] = (total[key], n[key])
+        sums = {x.b: x.used for x in running_sum(df, F.col("v"), order, by).collect()}
+        nos = {x.b: x.no for x in numbered(df, order, by).collect()}
+        assert {b: (sums[b], nos[b]) for b in sums} == want
+
+
+def test_texts_are_not_one_tasks_work(spark):
+    """The plan brings no text to a single partition."""
+    schema = "id string, title string, type string, modified string, text string"
+    some = frame(spark, [(f"n{k}", "T", "note", "2025-01-01", "t") for k in range(9)], schema)
+    plan = X.identity(some.limit(1), some, some, some, some, some)._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Window" in x and "row_number" in x]
+    assert lines and not any("text#" in x for x in lines)
+
+
 def test_views(spark):
     notes = frame(spark, [("a", "A", "P", "2025-01-01"), ("b", "B", "P", "2025-01-03"), ("c", "C", None, "2025-01-02")], "id string, title string, project string, modified string")
     links = frame(spark, [("a", "b"), ("b", "a"), ("c", "a"), ("a", "a"), ("a", "b")], "a string, b string")
