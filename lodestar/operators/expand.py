@@ -1,6 +1,8 @@
 """What a question asks beyond its own words: other forms of a word, other names, corrected spelling; and where a text
 answers it."""
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,11 +27,10 @@ def stem_forms(vocabulary: DataFrame, queries: DataFrame) -> tuple[DataFrame, Da
 
 def prefix_forms(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
     """(term, form): words of the vocabulary (term) and the asked terms that they begin with. Asked terms longer than
-    LONGEST_PREFIX match by themselves only."""
-    asked = queries.select(F.explode("terms").alias("form")).distinct()
-    parts = vocabulary.select("term", F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(LONGEST_PREFIX)))).alias("n")).select("term", F.left("term", F.col("n")).alias("form"))
-    whole = vocabulary.where(F.length("term") > LONGEST_PREFIX).select("term", F.col("term").alias("form"))
-    return parts.union(whole).join(asked, "form", "left_semi").select("term", "form")
+    LONGEST_PREFIX meet words by that many letters first."""
+    asked = queries.select(F.explode("terms").alias("form")).distinct().withColumn("begin", F.left("form", F.lit(LONGEST_PREFIX)))
+    parts = vocabulary.select("term", F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(LONGEST_PREFIX)))).alias("n")).select("term", F.left("term", F.col("n")).alias("begin"))
+    return parts.join(asked, "begin").where(F.startswith("term", "form")).select("term", "form").distinct()
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -88,38 +89,78 @@ def expanded(queries: DataFrame, aliases: dict[str, str], fixed: DataFrame, read
     return rows.select("query_id", "text", F.array_distinct(every).alias("terms"))
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value computed once a row."""
-    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+#: Points of a stretch: each kind of term in it, each further word of one, and beginning where a sentence does (the text).
+KIND, AGAIN, SENTENCE, BEGIN = 1000, 1, 100, 120
+_WORDS, _ENDED = re.compile(r"[^\W_]+"), re.compile(r"[.:][ \t\r\n]+\Z")
+
+
+def _best_stretch(at: list[int], kinds: list[str], sentences: list[int], n: int, size: int) -> int:
+    """Where the best stretch of a text of n words begins. at: places of the asked words, in order; kinds: what they are.
+
+    Stretches begin at an asked word, and are moved so that what they hold is in their middle, or at the sentence that
+    an asked word stands in. Each end of a stretch moves forward only, so a text costs as much as it has asked words.
+    """
+
+    def scored(starts: list[int]) -> list[tuple[int, int]]:
+        """For ascending starts the points of the asked words in size words from there, and the index of the last of them."""
+        out, lo, hi, inside = [], 0, 0, Counter()
+        for start in starts:
+            while hi < len(at) and at[hi] < start + size:
+                inside[kinds[hi]] += 1
+                hi += 1
+            while lo < hi and at[lo] < start:
+                inside[kinds[lo]] -= 1
+                if not inside[kinds[lo]]:
+                    del inside[kinds[lo]]
+                lo += 1
+            out.append((KIND * len(inside) + AGAIN * (hi - lo - len(inside)), hi - 1))
+        return out
+
+    own = scored(at)
+    begins, s = [], 0
+    for k in at:
+        while s + 1 < len(sentences) and sentences[s + 1] <= k:
+            s += 1
+        begins.append(sentences[s])
+    of_sentence = scored(begins)
+    best, found = -1, 0
+    for k, (points, last), begin, (more, _) in zip(at, own, begins, of_sentence):
+        if points > best:
+            middle = k - (size - (at[last] + 1 - k)) // 2
+            best, found = points, max(0, min(middle, n - size))
+        if begin < k and n > size and more + (SENTENCE if begin else BEGIN) > best:
+            best, found = more + (SENTENCE if begin else BEGIN), begin
+    return found
 
 
 def snippet(text: Column, terms: Column, size: int = 28) -> Column:
-    """The stretch of `size` words with the most of the terms (lower-case), then with the most words of them, then the
-    first, its words of them between **; ` ... ` where text is left out. Without any, the text's begin."""
-    def shown(w: Column, at: Column, best: Column) -> Column:
-        last = F.array_max(F.filter(at, lambda k: (k >= best) & (k < best + size)))
-        centred = best - F.floor((size - (last - best + 1)) / 2).cast("int")
-        return let(F.coalesce(F.greatest(F.lit(0), F.least(centred, F.size(w) - size)), F.lit(0)), lambda start: written(w, start))
-
-    def written(w: Column, start: Column) -> Column:
-        mark = lambda x: F.when(F.array_contains(terms, F.lower(x)), F.concat(F.lit("**"), x, F.lit("**"))).otherwise(x)
-        gaps = F.slice(F.split(text, TOKEN), start + 2, F.lit(size))
-        no_gap = F.least(F.lit(size), F.size(w) - start) - 1
-        body = F.array_join(F.transform(F.slice(w, start + 1, F.lit(size)), lambda x, k: F.concat(mark(x), F.when(k < no_gap, F.coalesce(F.get(gaps, k), F.lit(""))).otherwise(""))), "")
-        return F.concat(F.when(start > 0, " ... ").otherwise(""), body, F.when(start + size < F.size(w), " ... ").otherwise(""))
-
-    def best(w: Column, at: Column) -> Column:
-        def score(start: Column) -> Column:
-            hits = F.filter(at, lambda k: (k >= start) & (k < start + size))
-            return F.struct(F.size(F.array_distinct(F.transform(hits, lambda k: F.lower(F.get(w, k))))).alias("kinds"), F.size(hits).alias("n"), (-start).alias("first"))
-
-        return -F.array_max(F.transform(at, lambda k: score(k)))["first"]
-
-    def hits(w: Column) -> Column:
-        return F.filter(F.transform(w, lambda x, k: F.when(F.array_contains(terms, F.lower(x)), k)), lambda k: k.isNotNull())
-
-    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return let(words, lambda w: let(hits(w), lambda at: let(best(w, at), lambda b: shown(w, at, b))))
+    """The stretch of `size` words with the most of the terms (lower-case), then with the most words of them, where a
+    sentence's begin outweighs further words of the same terms; the first of equal ones. Words of terms stand between
+    **, ` ... ` where text is left out. Without any, the text's begin. A null text or no terms gives null."""
+
+    @F.pandas_udf("string")
+    def shown(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or q is None else one(t, set(q)) for t, q in zip(texts, asked)], dtype=object)
+
+    def one(text: str, asked: set[str]) -> str:
+        words = [(m.start(), m.end()) for m in _WORDS.finditer(text)]
+        if not words:
+            return ""
+        low = [text[a:b].lower() for a, b in words]
+        at = [k for k, w in enumerate(low) if w in asked]
+        start = 0
+        if at:
+            sentences = [0] + [k for k in range(1, len(words)) if _ENDED.search(text, words[k - 1][1], words[k][0])]
+            start = _best_stretch(at, [low[k] for k in at], sentences, len(words), size)
+        end, out = min(start + size, len(words)), []
+        for k in range(start, end):
+            a, b = words[k]
+            out.append(f"**{text[a:b]}**" if low[k] in asked else text[a:b])
+            if k + 1 < end:
+                out.append(text[b : words[k + 1][0]])
+        return (" ... " if start else "") + "".join(out) + (" ... " if end < len(words) else "")
+
+    return shown(text, terms)
 
 
 def hits_of(term: Column, text: Column) -> Column:

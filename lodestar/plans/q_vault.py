@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from ..functions.text import TOKEN, query_terms, tokens
 from ..operators import changes as C
 from ..operators import context as X
+from ..operators import dates as DT
 from ..operators import expand as E
 from ..operators import graph as G
 from ..operators import retrieval as R
@@ -150,6 +151,26 @@ def section_fact_id(spark, d):
     return memory.section_facts(vault.sections(vault.parsed(raw))).select(F.col("id").cast("long").alias("note"), F.col("ord").cast("long").alias("ord"), "fact")
 
 
+# Every fortieth customer's question names the days of its first two orders and something that is no date.
+_DAYS = r"""firsts AS (SELECT o_custkey AS query_id, [strftime(d, '%Y-%m-%d') for d in list(o_orderdate ORDER BY o_orderkey)[1:2]] AS days FROM orders WHERE o_custkey % 40 = 0 GROUP BY o_custkey),
+wanted AS (SELECT query_id, unnest(days) AS date, unnest(range(len(days))) AS nth FROM firsts),
+held AS (SELECT o_custkey AS note, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderkey, o_orderdate FROM orders),
+said AS (SELECT DISTINCT CAST(note AS VARCHAR) AS note, ord, date FROM (SELECT note, ord, date FROM held UNION ALL SELECT note, ord, strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') FROM held WHERE o_orderkey % 5 = 0)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY note, ord) AS no FROM said SEMI JOIN wanted USING (date)) WHERE no <= 40)"""
+
+
+@query(f"WITH {_DAYS} SELECT query_id, note, ord::BIGINT AS ord, date, row_number() OVER (PARTITION BY query_id ORDER BY nth, no) AS rank FROM wanted JOIN best USING (date)")
+def exact_date_hits(spark, d):
+    """Sections of the memory notes that hold the dates of a question word for word, forty a date."""
+    raw = memory_notes(spark, d).select(F.col("id").cast("string").alias("id"), F.col("body").alias("raw"), F.lit("2024-01-01").alias("day"))
+    held = vault.sections(vault.parsed(raw)).select(F.col("id").alias("note"), F.col("ord").cast("long").alias("ord"), "text")
+    days = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderdate"))), 1, 2), lambda x: F.date_format(x["o_orderdate"], "yyyy-MM-dd"))
+    asked = table(spark, d, "orders").where("o_custkey % 40 = 0").groupBy(F.col("o_custkey").alias("query_id")).agg(days.alias("days"))
+    text = F.concat(F.lit("What was ordered on "), F.array_join("days", " or "), F.lit("? Not on x1999-01-01 or 1999-1-1."))
+    got = DT.date_hits(DT.date_index(held), asked.select("query_id", DT.dates_of(text).alias("dates")))
+    return got.select("query_id", "note", "ord", "date", F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def remember_verdict(spark, d):
     """Every twentieth document as a new fact beside all others: refused, held or stored."""

@@ -216,13 +216,3 @@ def audit_truncate(spark, d):
     """Arguments of calls, of up to a hundred copies of the properties, as the audit log keeps them."""
     args = F.repeat("props", (1 + F.col("event_id") % 100).cast("int"))
     return table(spark, d, "events").select("event_id", F.when(F.length(args) > 600, F.concat(F.left(args, F.lit(600)), F.lit("..."))).otherwise(args).alias("args"))
-
-
-@query(f"""WITH {NOTES}, q AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events), h AS (SELECT day, n.id, row_number() OVER (PARTITION BY day ORDER BY n.id) AS no FROM q JOIN notes n ON contains(n.modified || ' note', day))
-SELECT day, id, no FROM h WHERE no <= 40""")
-def exact_date_hits(spark, d):
-    """Notes that hold an asked date, 40 a date."""
-    days = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
-    said = F.explode(F.array_distinct(F.regexp_extract_all(F.concat("modified", F.lit(" note")), F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)))).alias("day")
-    rows = notes(spark, d).select("id", said).join(days, "day", "left_semi")
-    return C.top_of(rows, ["day"], [F.col("id")], 40).select("day", "id", "no")

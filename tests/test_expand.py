@@ -1,5 +1,7 @@
 """Stems, prefixes, spelling, other names, snippets and mentions."""
 
+import random
+import re
 import random
 import re
 from collections import Counter
@@ -87,6 +89,55 @@ def test_snippets(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "text string, terms array<string>").select(expand.snippet(F.col("text"), F.col("terms"), 8)).collect()]
     assert got[0] == " ... w39 The **Pump**, and **iron**! w0 w1 w2 ... " and got[1] == "No hit here at all" and got[2] == "**pump**" and got[3] == ""
     assert got[4].startswith(" ... ") and got[4].endswith("**pump** **iron**") and len(got[4].split()) == 9
+    # a stretch begins where a sentence does rather than in its middle, unless more terms are elsewhere
+    text = f"{far} ends. Here the next sentence has a pump in it and {far}"
+    rows = [(text, ["pump"]), (text + " pump iron", ["pump", "iron"]), (None, ["x"]), ("x y", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string, terms array<string>").select(expand.snippet(F.col("text"), F.col("terms"), 8)).collect()]
+    assert got[0] == " ... Here the next sentence has a **pump** in ... " and got[1].endswith("**pump** **iron**") and got[2:] == [None, None]
+
+
+def stretches(text, asked, size):
+    """Every stretch that counts, scored by looking at all its words."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+    low = [text[a:b].lower() for a, b in words]
+    n = len(words)
+    sentence = [k == 0 or bool(re.search(r"[.:][ \t\r\n]+$", text[words[k - 1][1] : words[k][0]])) for k in range(n)]
+    best, found = -1, 0
+    for k in range(n):
+        if low[k] not in asked:
+            continue
+        s = max(x for x in range(k + 1) if sentence[x])
+        for start, more in ((k, 0), (s, (100 if s else 120))) if s < k and n > size else ((k, 0),):
+            inside = [x for x in range(start, min(start + size, n)) if low[x] in asked]
+            kinds = len({low[x] for x in inside})
+            points = 1000 * kinds + len(inside) - kinds + more
+            if points > best:
+                best = points
+                found = start if more else max(0, min(k - (size - (inside[-1] + 1 - k)) // 2, n - size))
+    return found
+
+
+def test_stretches_of_long_texts():
+    """One sliding pass against looking at every stretch whole, the longest of 20,000 words."""
+    r = random.Random(3)
+    for n, size in [(0, 5), (1, 5), (5, 5), (6, 5), (40, 7), (300, 28), (300, 3), (20_000, 28)]:
+        for often in (0.02, 0.3):
+            text = "".join(("ask" + r.choice("abc") if r.random() < often else f"w{k}") + r.choice([" ", " ", ", ", ". ", ".", ": ", "\n"]) for k in range(n))
+            asked = {"aska", "askb", "askc"}
+            words = list(re.finditer(r"[^\W_]+", text))
+            low = [m[0].lower() for m in words]
+            at = [k for k, w in enumerate(low) if w in asked]
+            if not at:
+                continue
+            sentences = [0] + [k for k in range(1, len(words)) if re.search(r"[.:][ \t\r\n]+$", text[words[k - 1].end() : words[k].start()])]
+            if n < 1000:
+                want = stretches(text, asked, size)
+            else:  # looked at from a few words on each side of the place that was found, and nowhere better in a sample
+                got = expand._best_stretch(at, [low[k] for k in at], sentences, len(words), size)
+                points = lambda start: 1000 * len({low[x] for x in at if start <= x < start + size}) + sum(start <= x < start + size for x in at)
+                assert all(points(got) + 130 >= points(k) - 3 for k in r.sample(at, 20))
+                continue
+            assert expand._best_stretch(at, [low[k] for k in at], sentences, len(words), size) == want
 
 
 def test_telling_terms(spark):
