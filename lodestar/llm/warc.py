@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import beside, shared_dir, stored, table
 
 #: Payloads below this many bytes are always written whole.
 LEAST_SHARED = 1000
@@ -134,8 +134,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     # computed by itself, so that only digests are grouped
     large = rows.where(F.octet_length(html) >= LEAST_SHARED)
     last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # small payloads refer to nothing and stay where they are
-    large = large.join(last, "digest", "left").withColumn("refers_to", F.when(F.col("last") != F.col("page_id"), F.col("last"))).drop("last")
+    # small payloads refer to nothing and stay where they are; so do large ones while the shared digests are few
+    large = beside(large, stored(last, "shared"), "digest").withColumn("refers_to", F.when(F.col("last") != F.col("page_id"), F.col("last"))).drop("last")
     small = rows.where(F.octet_length(html) < LEAST_SHARED).withColumn("refers_to", F.lit(None).cast("long"))
     rows = small.unionByName(large)
     return stored(rows.select("page_id", "url", "html", "digest", "refers_to", capture_key(F.col("url")).alias("key")).mapInArrow(_write(folder), CAPTURE), "captures")
@@ -206,10 +206,11 @@ class _Reader:
 
 
 def _find(files, folder: str):
-    """Of each key the blocks that may hold it."""
+    """Of each key the blocks that may hold it. Keys ascend, as the files do, so that each file's directory is read once
+    and one is held at a time: of the files that a key lies in only the last can hold the next key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, directories = _Reader(folder), {}
+        reader, name, directory, firsts = _Reader(folder), None, [], []
         known = files.value
         lasts = [x[2] for x in known]
         for batch in batches:
@@ -217,16 +218,13 @@ def _find(files, folder: str):
             for key in batch.column("key").to_pylist():
                 k = bisect.bisect_left(lasts, key)  # the first file whose last key isn't smaller
                 while k < len(known) and known[k][1] <= key:
-                    name = known[k][0]
-                    if name not in directories:
-                        if len(directories) >= 16:
-                            directories.clear()
-                        directories[name] = reader.tail(name)
-                    d = directories[name]
-                    firsts = [x[0] for x in d]
+                    if known[k][0] != name:
+                        name = known[k][0]
+                        directory = reader.tail(name)
+                        firsts = [x[0] for x in directory]
                     lo = max(0, bisect.bisect_left(firsts, key) - 1)
                     hi = bisect.bisect_right(firsts, key)
-                    rows += [(key, name, at, size) for _, at, size in d[lo:hi]]
+                    rows += [(key, name, at, size) for _, at, size in directory[lo:hi]]
                     k += 1
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "at", "size"])
@@ -267,7 +265,8 @@ def lookup(keys: DataFrame, index: DataFrame, folder: str) -> DataFrame:
     # as many rows as index files
     files = sorted(map(tuple, index.select("file", "first_key", "last_key", "bytes").collect()), key=lambda x: (x[1], x[2]))
     told = keys.sparkSession.sparkContext.broadcast(files)
-    blocks = keys.select("key").where("key is not null").distinct().mapInArrow(_find(told, folder), "key string, file string, at long, size long")
+    ordered = keys.select("key").where("key is not null").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    blocks = ordered.mapInArrow(_find(told, folder), "key string, file string, at long, size long")
     # a given number, as the rows dealt here say nothing of the records behind them
     tasks = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(x[3] for x in files) // TASK_BYTES)
     blocks = blocks.repartition(tasks, "file", "at").sortWithinPartitions("file", "at", "key")

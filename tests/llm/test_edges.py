@@ -301,3 +301,35 @@ def test_warc(spark):
         assert (got[k].payload_bytes, got[k].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
     assert [(k, got[k].record_type, got[k].refers_to) for k in (1, 2, 7)] == [(1, "revisit", 7), (2, "revisit", 7), (7, "response", None)]
     assert all(got[k].record_type == "response" for k in (3, 4, 5, 6))
+
+
+def test_each_index_file_is_read_once(spark, monkeypatch, tmp_path):
+    """Forty index files, keys that several of them hold, and keys that none does: a task reads a directory once."""
+    import pyarrow as pa
+
+    from lodestar.llm import warc
+
+    pages = [(k, f"http://h{k % 300:03d}.org/{k % 7}", f"<p>{k}</p>") for k in range(1500)] + [(k, "http://hot.org/", "<p>hot</p>" * 200) for k in range(2000, 2400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        _, index, folder = warc.archived(spark, df, f"file://{tmp_path}/warc")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    files = sorted(map(tuple, index.select("file", "first_key", "last_key", "bytes").collect()), key=lambda x: (x[1], x[2]))
+    assert len(files) > 30
+    keys = sorted({r.key for r in df.select(warc.capture_key(F.col("url")).alias("key")).collect()} | {"zzz", "a"})
+    reads = []
+    tail = warc._Reader.tail
+    monkeypatch.setattr(warc._Reader, "tail", lambda self, name: reads.append(name) or tail(self, name))
+    told = type("Told", (), {"value": files})
+    batches = (pa.RecordBatch.from_arrays([pa.array(keys[k : k + 50])], ["key"]) for k in range(0, len(keys), 50))
+    found = [x for b in warc._find(told, folder)(batches) for x in b.to_pylist()]
+    assert len(reads) == len(set(reads)) <= len(files) and {x["key"] for x in found} >= set(keys) - {"zzz", "a"}
+    got = warc.lookup(spark.createDataFrame([(k,) for k in keys], "key string"), index, folder)
+    assert sorted(r.page_id for r in got.select("page_id").collect()) == sorted(p[0] for p in pages)
+    hot = {r.page_id: (r.record_type, r.refers_to) for r in got.where("page_id >= 2000").collect()}
+    assert hot == {k: ("revisit", 2399) for k in range(2000, 2399)} | {2399: ("response", None)}
