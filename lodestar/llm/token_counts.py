@@ -187,17 +187,30 @@ def _tokenizer(path: str):
 
 
 def _count(path: str):
-    def run(group: pa.Table) -> pa.Table:
-        tokenizer = _tokenizer(path)
-        lists = group.column("pieces").combine_chunks()
-        pieces = lists.flatten().dictionary_encode()
-        distinct = pieces.dictionary
-        some = (distinct.slice(k, 1024).to_pylist() for k in range(0, len(distinct), 1024))
-        n = np.fromiter((len(x) for texts in some for x in tokenizer.encode_batch(texts, add_special_tokens=False)), dtype=np.uint32, count=len(distinct))
-        counts = n[pieces.indices.to_numpy()]
-        at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        blobs = [counts[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "counts": pa.array(blobs, pa.binary())})
+    """Counts of the pieces of shares that come in order of their buckets. Of a bucket the distinct pieces are held with
+    their counts, and one batch of shares, however many blocks have some of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, of, known = _tokenizer(path), None, {}
+        for batch in batches:
+            buckets = np.asarray(batch.column("bucket"))
+            ends = np.flatnonzero(np.r_[buckets[1:] != buckets[:-1], True]) + 1 if len(buckets) else []
+            for lo, hi in zip(np.r_[0, ends[:-1]] if len(buckets) else [], ends):
+                part = batch.slice(lo, hi - lo)
+                if buckets[lo] != of:
+                    of, known = buckets[lo], {}
+                lists = part.column("pieces")
+                pieces = lists.flatten().dictionary_encode()
+                distinct = pieces.dictionary.to_pylist()
+                new = [x for x in distinct if x not in known]
+                for k in range(0, len(new), 1024):
+                    some = new[k : k + 1024]
+                    known.update(zip(some, map(len, tokenizer.encode_batch(some, add_special_tokens=False))))
+                n = np.fromiter((known[x] for x in distinct), dtype=np.uint32, count=len(distinct))
+                counts = n[pieces.indices.to_numpy()]
+                at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                blobs = [counts[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("block"), part.column("bucket"), pa.array(blobs, pa.binary())], ["block", "bucket", "counts"])
 
     return run
 
@@ -226,7 +239,8 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     distinct = blocks.select(F.explode("pieces").alias("piece")).agg(F.approx_count_distinct("piece")).first()[0]
     buckets = min(1 << 20, max(LEAST_BUCKETS, distinct // BUCKET_PIECES))
     shares = blocks.select("block", "pieces").mapInArrow(_shares(buckets), "bucket long, block long, pieces array<string>")
-    counted = shares.groupBy("bucket").applyInArrow(_count(path), "block long, bucket long, counts binary")
+    ordered = shares.repartition("bucket").sortWithinPartitions("bucket", "block")
+    counted = ordered.mapInArrow(_count(path), "block long, bucket long, counts binary")
     back = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("shares"))
     # a block without pre-tokens has no shares
     return blocks.drop("pieces").join(back, "block", "left").mapInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
