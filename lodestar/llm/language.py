@@ -24,13 +24,14 @@ from .common import table
 SAMPLE, ROWS = 256, 4096
 #: Of which so many of each language are landmarks.
 LANDMARKS = 48
-#: Letters known, most frequent first. Others count as one letter for each of BLOCKS runs of 256 code points, the most
-#: frequent first, and as one for all the rest.
-LETTERS, BLOCKS = 120, 30
+#: Up to so many possible n-grams their columns stand in a table; beyond, the known ones are searched. The result is the same.
+DENSE = 1 << 23
 RIDGE = 1e-3
 _N = 3
 #: Characters in a batch of presence rows.
 _BATCH_CHARS, _BATCH_ROWS = 1 << 20, 256
+#: Bytes of the presence rows that are scored at once.
+_PRESENCE_BYTES = 1 << 26
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,27 +50,27 @@ def grams(text: str) -> list[str]:
 class Grams:
     """Which known n-grams a text has. known: the grams() of each text to learn from."""
 
-    def __init__(self, known: list[list[str]], letters: int = LETTERS):
-        from collections import Counter
-
-        seen = Counter()
-        for x in known:
-            seen.update(set("".join(x)) - {" "})
-        every = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
-        kept, rest = every[:letters], Counter()
-        for c in every[letters:]:
-            rest[ord(c) >> 8] += seen[c]
-        #: Letter -> 2.., run of other letters -> the next, any other letter 1, all else 0
-        self.blocks = {b: len(kept) + 2 + k for k, (b, _) in enumerate(sorted(rest.items(), key=lambda x: (-x[1], x[0]))[:BLOCKS])}
-        self.base = len(kept) + 2 + len(self.blocks)
-        self.table = np.zeros(max(map(ord, ["z", *kept])) + 1, dtype=np.int32)
+    def __init__(self, known: list[list[str]], dense: int = DENSE):
+        every = sorted(set("".join("".join(x) for x in known)) - {" "})
+        #: Letters of the texts to learn from are 2.., any other letter is 1, all else 0
+        self.base = len(every) + 2
+        self.table = np.zeros(max(map(ord, ["z", *every])) + 1, dtype=np.int32)
         self.table[ord("a") : ord("z") + 1] = 1
-        self.table[list(map(ord, kept))] = np.arange(2, len(kept) + 2)
-        self.columns = np.full(sum(self.base**n for n in range(1, _N + 1)), -1, dtype=np.int32)
+        self.table[list(map(ord, every))] = np.arange(2, len(every) + 2)
         found = [np.unique(self.known_codes(x)) for x in known]
-        universe = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        self.columns[universe] = np.arange(len(universe), dtype=np.int32)
-        self.size = len(universe)
+        self.universe = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        self.size, possible = len(self.universe), sum(self.base**n for n in range(1, _N + 1))
+        self.columns = None
+        if possible <= dense:
+            self.columns = np.full(possible, -1, dtype=np.int32)
+            self.columns[self.universe] = np.arange(self.size, dtype=np.int32)
+
+    def column(self, codes: np.ndarray) -> np.ndarray:
+        """The columns of n-grams; -1 for unknown ones."""
+        if self.columns is not None:
+            return self.columns[codes]
+        at = np.minimum(np.searchsorted(self.universe, codes), max(self.size - 1, 0))
+        return np.where(self.universe[at] == codes, at, -1) if self.size else np.full(len(codes), -1)
 
     def known_codes(self, x: list[str]) -> np.ndarray:
         """The numbers of all n-grams in a text's grams()."""
@@ -90,7 +91,7 @@ class Grams:
         unknown = np.flatnonzero((codes == 0) & (points > 127))
         if len(unknown):
             kinds, back = np.unique(points[unknown], return_inverse=True)
-            codes[unknown] = np.array([self.blocks.get(c >> 8, 1) if chr(c).isalpha() else 0 for c in kinds.tolist()], dtype=np.int32)[back]
+            codes[unknown] = np.array([1 if chr(c).isalpha() else 0 for c in kinds.tolist()], dtype=np.int32)[back]
         return codes
 
     def letters(self, text: str) -> Iterator[np.ndarray]:
@@ -118,14 +119,14 @@ class Grams:
         rows = np.zeros((len(texts), self.size + 1), dtype=np.float32)
         for k, x in enumerate(texts):
             for part in self.letters(x):
-                rows[k, self.columns[self.codes(part)]] = 1
+                rows[k, self.column(self.codes(part))] = 1
         return rows[:, : self.size]  # unknown n-grams went to the last column
 
     def known_presence(self, known: list[list[str]]) -> np.ndarray:
         """presence() of the texts to learn from, by their grams()."""
         rows = np.zeros((len(known), self.size), dtype=np.float32)
         for k, x in enumerate(known):
-            rows[k, self.columns[self.known_codes(x)]] = 1
+            rows[k, self.column(self.known_codes(x))] = 1
         return rows
 
 
@@ -162,7 +163,9 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        scores = kernel(self.grams.presence(texts), self.landmarks) @ self.coefficients
+        rows = max(1, _PRESENCE_BYTES // (4 * (self.grams.size + 1)))
+        parts = [kernel(self.grams.presence(texts[k : k + rows]), self.landmarks) @ self.coefficients for k in range(0, len(texts), rows)]
+        scores = np.concatenate(parts) if parts else np.empty((0, len(self.langs)))
         best = scores.argmax(1)
         return [self.langs[k] for k in best], np.clip(scores[np.arange(len(texts)), best], 0, 1).astype(float).tolist()
 

@@ -75,7 +75,7 @@ def test_ties_go_to_the_first_language(spark):
 
 
 def test_many_scripts(spark):
-    """Over 120 letters in all: further letters count as one, and the scripts are still told apart."""
+    """Hundreds of letters in all, more than n-grams' table holds: each is told apart."""
     rng = random.Random(3)
     starts = {"ru": 0x430, "el": 0x3B1, "ar": 0x627, "hi": 0x915, "ko": 0xAC00, "zh": 0x4E00, "ka": 0x10D0, "he": 0x5D0}
     words = {k: ["".join(chr(v + rng.randrange(300 if k in ("ko", "zh") else 22)) for _ in range(rng.randint(2, 6))) for _ in range(60)] for k, v in starts.items()}
@@ -93,3 +93,28 @@ def test_runs_of_non_letters_across_parts(monkeypatch):
     g = language.Grams([language.grams(text)])
     assert np.array_equal(g.presence([text])[0] > 0, g.known_presence([language.grams(text)])[0] > 0)
     assert (g.presence([text])[0] > 0).all()
+
+
+def test_every_letter_counts():
+    """Presence by numbers of n-grams against sets of n-grams, with 400 letters: no letter stands for another."""
+    rng = random.Random(12)
+    letters = [chr(0x4E00 + k) for k in range(200)] + [chr(0xAC00 + k) for k in range(150)] + [chr(0x430 + k) for k in range(30)] + list("abcdefghijklmnopqrst")
+    texts = ["".join(rng.choice(letters + [" ", "1", ".."]) for _ in range(rng.choice([0, 1, 2, 50, 400]))) for _ in range(60)]
+
+    def ngrams(x):
+        plain = re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", x.lower(), flags=re.S)
+        plain = re.sub(" +", " ", plain)
+        return {plain[k : k + n] for n in (1, 2, 3) for k in range(len(plain) - n + 1)}
+
+    learned = [x for x in texts[:40] if x]
+    g = language.Grams([language.grams(x) for x in learned])
+    assert g.columns is None
+    universe = set().union(*map(ngrams, learned))
+    assert g.size == len(universe)
+    got, known = g.presence(texts), g.presence(learned)
+    want = np.array([[len(ngrams(a) & ngrams(b) & universe) for b in learned] for a in texts])
+    assert np.array_equal((got @ known.T).astype(int), want)
+    few = [x for x in ("ab cd", "bc da", "cab") for _ in range(2)]
+    small, large = (language.Grams([language.grams(x) for x in few], d) for d in (1 << 20, 0))
+    assert small.columns is not None and large.columns is None
+    assert np.array_equal(small.presence(few + ["zz a", ""]), large.presence(few + ["zz a", ""]))
