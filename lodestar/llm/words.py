@@ -6,6 +6,8 @@ words are hashed by combining the hashes of their halves, so a window of 2k word
 its two windows of k words.
 """
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,10 +124,28 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
 
 
 def parts(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices by the size of their texts."""
-    for batch in batches:
-        for lo, hi in slices(batch.column(batch.schema.get_field_index(text))):
-            yield batch.slice(lo, hi - lo)
+    """The batches cut into slices by the size of their texts. Workers are used again by later tasks, so what a task has
+    freed goes back to the system."""
+    _large_apart()
+    try:
+        for batch in batches:
+            for lo, hi in slices(batch.column(batch.schema.get_field_index(text))):
+                yield batch.slice(lo, hi - lo)
+    finally:
+        pa.default_memory_pool().release_unused()
+        _asked("malloc_trim", 0)
+
+
+def _asked(name: str, *args: int) -> None:
+    """Calls the C library's function where it has one of that name (glibc does)."""
+    if (call := getattr(ctypes.CDLL(None), name, None)) is not None:
+        call(*args)
+
+
+@functools.cache
+def _large_apart() -> None:
+    """Arrays of a megabyte or more are mapped by themselves (M_MMAP_THRESHOLD), and so are given back when freed."""
+    _asked("mallopt", -3, 1 << 20)
 
 
 def signed(x: np.ndarray) -> pa.Array:
