@@ -89,7 +89,8 @@ def expanded(queries: DataFrame, aliases: dict[str, str], fixed: DataFrame, read
     return rows.select("query_id", "text", F.array_distinct(every).alias("terms"))
 
 
-#: Points of a stretch: each kind of term in it, each further word of one, and beginning where a sentence does (the text).
+# Points of a stretch for each kind of term in it, each further word of one, and for beginning where a sentence
+# or the text does.
 KIND, AGAIN, SENTENCE, BEGIN = 1000, 1, 100, 120
 _WORDS, _ENDED = re.compile(r"[^\W_]+"), re.compile(r"[.:][ \t\r\n]+\Z")
 
