@@ -164,10 +164,7 @@ def part_terms(spark, d):
 @query(f"WITH {_PARTS} SELECT id, old, j, c FROM sim WHERE j >= 0.3")
 def jaccard_pairs(spark, d):
     """Similar facts of one key."""
-    t = part_terms(spark, d)
-    both = t.join(t.select(F.col("id").alias("old"), F.col("terms").alias("other"), "block"), "block").where("old < id")
-    j, c = O.similarity(F.col("terms"), F.col("other"))
-    return both.select("id", "old", F.round(j, 9).alias("j"), F.round(c, 9).alias("c")).where("j >= 0.3")
+    return O.similar_pairs(part_terms(spark, d), 0.3)
 
 
 @query(f"""WITH {_PARTS}, best AS (SELECT id, first(old ORDER BY greatest(j, round(0.9 * c, 9)) DESC, old) AS best, first(j ORDER BY greatest(j, round(0.9 * c, 9)) DESC, old) AS j, first(c ORDER BY greatest(j, round(0.9 * c, 9)) DESC, old) AS c FROM sim WHERE j > 0 GROUP BY id)
