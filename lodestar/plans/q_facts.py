@@ -5,8 +5,8 @@ from pyspark.sql import Window as W
 
 from ..functions.text import light_stem, query_terms
 from ..operators import facts as O
+from ..operators import inside
 from ..operators.batches import remembered_in_order
-from ..operators.retrieval import in_blocks
 from ..registry import query
 from .views import table, terms_sql
 
@@ -138,12 +138,9 @@ f AS (SELECT doc_id AS id, lower(text) AS body FROM documents WHERE text IS NOT
 h AS (SELECT query_id, id, len(terms) AS n, len(list_filter(terms, lambda x: contains(body, x))) AS hits FROM t, f WHERE len(terms) > 0)
 SELECT query_id, id, hits FROM h WHERE hits >= greatest(1, ceil(n / 2.0))""")
 def facts_query(spark, d):
-    """Texts that hold at least half of a question's terms, hits counted. The questions are asked in blocks."""
-    t = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    f = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.lower("text").alias("body"))
-    hits = F.size(F.filter("terms", lambda x: F.contains(F.col("body"), x))).cast("long")
-    rows = in_blocks(f, t, "query_id").select("query_id", "id", F.size("terms").alias("n"), hits.alias("hits"))
-    return rows.where(F.col("hits") >= F.greatest(F.lit(1), F.ceil(F.col("n") / 2))).select("query_id", "id", "hits")
+    """Texts that hold at least half of a question's terms, hits counted."""
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text")).alias("terms"))
+    return inside.holding(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), t, 0.5)
 
 
 _PARTS = """terms AS (
