@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.stems import stems
 from ..functions.text import TOKEN
+from . import inside
 
 LONGEST_PREFIX = 24
 
@@ -175,9 +176,12 @@ def telling(terms: DataFrame, texts: DataFrame, most: float = 0.4) -> DataFrame:
     """Of terms (query_id, term) those that tell texts (id, text) apart: in at most that share of them."""
     n = texts.agg(F.count("*").alias("n"))
     words = terms.select("term").distinct()
-    # the terms of a question are few: texts are met by each, and only counts leave the tasks
-    seen = texts.select("id", F.lower("text").alias("low")).join(F.broadcast(words.agg(F.collect_set("term").alias("every"))))
-    seen = seen.select(F.explode(F.filter("every", lambda t: hits_of(t, F.col("low")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rows = words.withColumn("whole", F.length("term") < 4).withColumn("part", F.when(F.col("whole"), F.col("term")).otherwise(F.left("term", F.greatest(F.lit(4), F.length("term") - 1))))
+    seen = rows.join(inside.counted(texts, rows.where(inside.plain(F.col("part"))).select("part", "whole").distinct()), ["part", "whole"]).select("term", "df")
+    odd = rows.where(~inside.plain(F.col("part"))).select("term")  # strings of other characters are looked for one by one
+    if not odd.isEmpty():
+        low = texts.select("id", F.lower("text").alias("low")).join(F.broadcast(odd.agg(F.collect_set("term").alias("every"))))
+        seen = seen.union(low.select(F.explode(F.filter("every", lambda t: hits_of(t, F.col("low")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     good = words.join(seen, "term", "left").crossJoin(F.broadcast(n)).where(F.coalesce("df", F.lit(0)) <= most * F.col("n")).select("term")
     return terms.join(good, "term", "left_semi")
 

@@ -29,3 +29,25 @@ def test_holding(spark, monkeypatch, texts, asked):
             if terms and hits >= max(1, math.ceil(len(terms) / 2)):
                 want.add((q, k, hits))
     assert {tuple(x) for x in got.collect()} == want and want
+
+
+def test_telling_of_odd_and_plain_terms(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    terms = [(1, t) for t in TERMS] + [(2, "a_b-c x"), (2, "re-ranks!"), (2, "ab. cd"), (2, "d-a")]
+    got = {r.term for r in expand.telling(spark.createDataFrame(terms, "query_id long, term string"), rows, 0.2).collect()}
+
+    def held(term, text):
+        low = text.lower()
+        return term[: max(4, len(term) - 1)] in low if len(term) >= 4 else term in re.findall(r"\w+", low)
+
+    assert got == {t for _, t in terms if sum(held(t, x) for x in TEXTS if x is not None) <= 0.2 * len(TEXTS)}
+
+
+def test_many_terms(spark):
+    """Five thousand terms and a thousand texts of a thousand words."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda k: F.concat(F.lit("w"), F.conv(F.pmod(F.hash(k, F.col("id")), F.lit(60_000)).cast("string"), 10, 26))), " ")
+    texts = spark.range(1000).select("id", words.alias("text"))
+    terms = spark.range(5000).select(F.lit(1).alias("query_id"), F.concat(F.lit("w"), F.conv((F.col("id") * 7).cast("string"), 10, 26)).alias("term")).distinct()
+    began = time.time()
+    assert expand.telling(terms, texts).count() > 0
+    assert time.time() - began < 30
