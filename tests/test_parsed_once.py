@@ -11,7 +11,7 @@ from lodestar.registry import QUERIES
 from lodestar.sources import vault
 
 
-@pytest.mark.parametrize("name", ["resolve_name", "graph_view", "broken_links", "identity_sections", "identity_topic"])
+@pytest.mark.parametrize("name", ["resolve_name", "graph_view", "broken_links", "identity_sections", "identity_topic", "context_lexical", "context_pack"])
 def test_parsed_once(spark, monkeypatch, name):
     n, real = spark.sparkContext.accumulator(0), vault.parsed
 
