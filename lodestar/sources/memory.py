@@ -1,10 +1,17 @@
 """Facts kept as blocks of a Markdown note: blocks, their fields, which section belongs to which fact, and new ones."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..lineage import cut
 from ..operators import facts as O
+from ..operators.retrieval import small_batches
 
 # A block's heading, a fact's id, the labels of a block's lines.
 STAMP = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}"
@@ -88,7 +95,7 @@ def remembered(new: DataFrame, current: DataFrame) -> DataFrame:
         "id", "category", "terms", "force", F.array_union(F.coalesce("named", F.array().cast("array<string>")), F.coalesce("same", F.array().cast("array<string>"))).alias("replaces")
     )
     asked = rows.select("id", "terms", "replaces", "category")
-    pairs = _pairs(asked, current)
+    pairs = cut(_pairs(asked, current))  # read twice
     any_ = _best(pairs).select("id", F.col("match").alias("m0"), F.col("verdict").alias("v0"))
     near = _best(pairs.where("category = old_category")).select("id", F.col("match").alias("m1"), F.col("verdict").alias("v1"))
     rows = rows.join(any_, "id", "left").join(near, "id", "left")
@@ -101,12 +108,91 @@ def remembered(new: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+#: Facts and terms of a chunk of current facts, and of a block of new ones, at most; terms of a block counted at once.
+CHUNK, BLOCK, TERMS, SLICE = 1024, 256, 200_000, 16_384
+
+
+def _packed(most: int, *columns: str):
+    """Facts in rows of at most `most` of them and about TERMS terms: an array for each of the columns, the terms end to
+    end, and how many each has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lo = 0
+            while lo < len(sizes):
+                n = int(np.searchsorted(np.cumsum(sizes[lo : lo + most]), TERMS, "right"))
+                part = batch.slice(lo, max(1, min(n, most, len(sizes) - lo)))
+                lo += part.num_rows
+                lists = [*(part.column(c) for c in columns), part.column("terms").flatten(), pa.array(sizes[lo - part.num_rows : lo], pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], [*columns, "terms", "sizes"])
+
+    return run
+
+
 def _pairs(new: DataFrame, current: DataFrame) -> DataFrame:
-    """(id, category, old, old_category, j, c) of new facts and those they share a term with and don't replace."""
-    y = current.select(F.col("id").alias("old"), F.col("category").alias("old_category"), F.size("terms").alias("m"), F.explode("terms").alias("t"))
-    x = new.select("id", "category", "replaces", F.size("terms").alias("n"), F.explode("terms").alias("t"))
-    both = x.join(y, "t").where(~F.array_contains("replaces", F.col("old"))).groupBy("id", "category", "old", "old_category", "n", "m").agg(F.count("*").alias("both"))
-    return both.select("id", "category", "old", "old_category", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("j"), (F.col("both") / F.least("n", "m")).alias("c"))
+    """(id, category, old, old_category, j, c) of new facts and those they share a term with and don't replace: of each
+    chunk of current facts the best for a new one, and the best of its category.
+
+    Terms in common are counted for a block of new facts and a chunk of current ones at once, by adding up rows of a
+    table of the block's terms, so that no row is made for a term that two facts share. What a task holds is bounded; the
+    work is still that of all pairs.
+    """
+    small_batches(new.sparkSession)
+    kinds = dict(new.dtypes) | {"old": dict(current.dtypes)["id"]}
+    y = current.select(F.col("id").alias("old"), F.col("category").alias("old_category"), "terms").where("terms is not null")
+    y = cut(y.mapInArrow(_packed(CHUNK, "old", "old_category"), f"old array<{kinds['old']}>, old_category array<string>, terms array<string>, sizes array<int>"))
+    x = new.select("id", "category", "replaces", "terms").where("terms is not null")
+    x = cut(x.mapInArrow(_packed(BLOCK, "id", "category", "replaces"), f"id array<{kinds['id']}>, category array<string>, replaces array<array<string>>, terms array<string>, sizes array<int>"))
+    x = x.select("id", "category", "replaces", F.col("terms").alias("asked"), F.col("sizes").alias("asked_sizes"))
+
+    def shared(asked: pa.Array, n: np.ndarray, terms: pa.Array, m: np.ndarray) -> np.ndarray:
+        """How many terms each current fact (rows) and each new one have in common."""
+        words = pc.unique(asked).drop_null()
+        place = lambda t: pc.fill_null(pc.index_in(t, value_set=words, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+        of_new, of_old = place(asked), place(terms)
+        new_at, old_at = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+        both = np.zeros((len(m), len(n)), np.float32)
+        for lo in range(0, len(words), SLICE):
+            a, b = (of_new >= lo) & (of_new < lo + SLICE), (of_old >= lo) & (of_old < lo + SLICE)
+            table = np.zeros((SLICE, len(n)), np.float32)
+            np.add.at(table, (of_new[a] - lo, new_at[a]), 1)
+            at, row = of_old[b] - lo, old_at[b]
+            ends = np.flatnonzero(np.diff(row, append=-1)) + 1
+            for i, j in zip([0, *ends[:-1]], ends):
+                both[row[i]] += table[at[i:j]].sum(axis=0)
+        return both
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda c: batch.column(c)[r].values  # noqa: B023, E731
+                n, m = get("asked_sizes").to_numpy(), get("sizes").to_numpy()
+                both = shared(get("asked"), n, get("terms"), m).astype(np.float64)
+                old, old_kind, ids, kind, replaces = (get(c).to_pylist() for c in ("old", "old_category", "id", "category", "replaces"))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    j, c = both / (m[:, None] + n[None, :] - both), both / np.minimum(m[:, None], n[None, :])
+                score = np.where(both > 0, np.maximum(j, O.CONTAINMENT_SHARE * c), -1.0)
+                where = {k: i for i, k in enumerate(old)}
+                for k, gone in enumerate(replaces):
+                    for name in gone or ():
+                        if name in where:
+                            score[where[name], k] = -1.0
+                order = np.array(sorted(range(len(old)), key=lambda i: old[i]))
+                kinds_ = np.array([x if x is not None else "" for x in old_kind], object)
+                has = np.array([x is not None for x in old_kind])
+                out = []
+                for k in range(len(ids)):
+                    s = score[order, k]
+                    near = np.where((kinds_ == kind[k])[order] & has[order], s, -1.0) if kind[k] is not None else np.full(len(s), -1.0)
+                    for one in {int(z.argmax()) for z in (s, near) if z.max() > 0}:
+                        i = order[one]
+                        out.append((ids[k], kind[k], old[i], old_kind[i], float(j[i, k]), float(c[i, k])))
+                yield pa.RecordBatch.from_arrays([pa.array(list(z), t) for z, t in zip(zip(*out) if out else [()] * 6, (batch.column("id").type.value_type, pa.string(), batch.column("old").type.value_type, pa.string(), pa.float64(), pa.float64()))], ["id", "category", "old", "old_category", "j", "c"])
+
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = y.repartition(parts).join(x.hint("shuffle_replicate_nl"))
+    return met.mapInArrow(run, f"id {kinds['id']}, category string, old {kinds['old']}, old_category string, j double, c double")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
