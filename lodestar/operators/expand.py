@@ -5,14 +5,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.stems import stems
 from ..functions.text import TOKEN
+from ..lineage import cut
 from . import inside
+from .retrieval import small_batches
 
 LONGEST_PREFIX = 24
 
@@ -186,38 +190,135 @@ def telling(terms: DataFrame, texts: DataFrame, most: float = 0.4) -> DataFrame:
     return terms.join(good, "term", "left_semi")
 
 
+#: Bits of the filter of names that is sent to all tasks.
+FILTER_BITS = 1 << 25
+_STEP, _PLACES = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of `size` words, by where it begins."""
+    n = max(0, len(hashes) - size + 1)
+    out = hashes[:n].copy()
+    for k in range(1, size):
+        out = out * _STEP + hashes[k : k + n]
+    return out
+
+
+def _places(runs: np.ndarray) -> list[np.ndarray]:
+    """The two bits of the filter that each run has."""
+    return [(runs * by) >> np.uint64(64 - FILTER_BITS.bit_length() + 1) for by in _PLACES]
+
+
+def _numbers(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _hashes(words: str, size: str) -> tuple[Column, Column]:
+    """Hashes of words as names of several are met, in any case; and as single ones are, as written."""
+    low, plain = F.transform(words, lambda x: F.xxhash64(F.lower(x))), F.transform(words, lambda x: F.xxhash64(x))
+    return F.when(F.col(size) > 1, low).alias("low"), F.when(F.col(size) > 0, plain).alias("plain")
+
+
+def _name_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, bit) of the filter of names (size, low, plain)."""
+    for batch in batches:
+        sizes, found = batch.column("size").to_numpy(), []
+        for size in np.unique(sizes):
+            hashes = _numbers(batch.filter(pa.array(sizes == size)).column("low" if size > 1 else "plain"))
+            found += _places(_runs(hashes, size)[::size])
+        places = np.unique(np.concatenate([np.empty(0, np.uint64), *found])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array((places & 63).astype(np.int32))], ["word", "bit"])
+
+
+def _name_filter(own: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, whatever the number of names (size, n)."""
+    bits = own.select("size", *_hashes("n", "size")).mapInArrow(_name_bits, "word long, bit int")
+    rows = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("b")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out[rows["word"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def _said(bits, sizes: list[int]):
+    """(id, at, size, said, sentence): runs of words of texts (id, w, low, plain) that may be names of one of those sizes,
+    and what stands around them."""
+
+    def around(words: pa.Array, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+        n = end - begin
+        stops = np.cumsum(n)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), words.take(pa.array(np.repeat(begin - (stops - n), n) + np.arange(n.sum()))))
+        return pc.utf8_slice_codeunits(pc.replace_substring(pc.binary_join(lists, " "), "\u0001", "…"), 0, 160)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("w")
+            words, n = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+            text, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+            for size in sizes:
+                runs = _runs(_numbers(batch.column("low" if size > 1 else "plain")), size)
+                at = np.flatnonzero(np.arange(len(runs)) + size <= ends[text[: len(runs)]])  # a run lies in one text
+                for places in _places(runs):
+                    places = places[at]
+                    at = at[(bits.value[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                parts = [words.take(pa.array(at + k)) for k in range(size)]
+                said = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+                of = text[at]
+                first = (ends - n)[of]
+                begin = np.maximum(first, at - 8)
+                columns = [batch.column("id").take(pa.array(of)), pa.array((at - first).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), said, around(words, begin, np.minimum(begin + 20, ends[of]))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "at", "size", "said", "sentence"])
+
+    return run
+
+
+def _first_mentions(places: list[dict], shown: int) -> list[dict]:
+    """Of a text's places (at, size, to_id, name, sentence) the first `shown` notes by their first mention. Of places that overlap
+    the longest counts, then the first. Longer ones go before, so a place that overlaps one of them does with an end."""
+    taken, first = set(), {}
+    for x in sorted(places, key=lambda x: (-x["size"], x["at"], x["to_id"], x["name"])):
+        if x["at"] in taken or x["at"] + x["size"] - 1 in taken:
+            continue
+        taken.update(range(x["at"], x["at"] + x["size"]))
+        if x["to_id"] not in first or x["at"] < first[x["to_id"]]["at"]:
+            first[x["to_id"]] = x
+    return [{k: x[k] for k in ("to_id", "name", "at", "sentence")} for x in sorted(first.values(), key=lambda x: x["at"])[:shown]]
+
+
 def mentions(notes: DataFrame, names: DataFrame, linked: DataFrame, most_share: float = 0.05, least_letters: int = 5, shown: int = 3) -> DataFrame:
     """(id, to_id, name, at, sentence): names of other notes in a note's text that it doesn't link to.
 
     notes (id, text), names (to_id, name), linked (id, to_id). Names of several words are found in any case, single words
     of least_letters letters or more as written and only where at most most_share of the texts have them. Code, links,
     addresses and headings don't count. Of names that overlap the longest counts; each note is told once, by its first
-    mention, and the first `shown` of them. Texts meet names by the first word, so only texts with it are looked at.
+    mention, and the first `shown` of them. Texts meet names by whole names: runs of words that a bit filter of all
+    names lets through are shuffled, so a frequent word that many names begin with costs no more than another.
     """
+    small_batches(notes.sparkSession)
     mask = lambda c, p: F.regexp_replace(c, p, " \u0001 ")  # noqa: E731  a mark that is no word of a name
     text = F.col("text")
     for pattern in (r"(?s)(?m)^[ \t]*(```|~~~).*?(?:^[ \t]*\1|\z)", r"`[^`\n]*`", r"!?\[\[[^\]\n]*\]\]", r"\[[^\]\n]*\]\([^)\n]*\)", r"https?:\S+", r"(?m)^#{1,6}\s.*$"):
         text = mask(text, pattern)
     word = r"[\p{L}\p{N}]+|\x01"
     words = F.regexp_extract_all(text, F.lit(word), F.lit(0))
-    body = notes.select("id", "text", words.alias("w"))
-    own = names.select("to_id", "name", F.regexp_extract_all("name", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("n")).where(F.size("n") > 0)
-    own = own.where((F.size("n") > 1) | (F.length(F.get("n", F.lit(0))) >= least_letters)).withColumn("low", F.transform("n", F.lower))
-    told = body.select("id", "w", F.posexplode("w").alias("at", "word")).select("id", "at", "word", F.lower("word").alias("key"), F.transform(F.slice("w", F.col("at") + 1, F.lit(12)), F.lower).alias("next"))
-    found = told.join(own.withColumn("key", F.get("low", F.lit(0))), "key").where((F.slice("next", F.lit(1), F.size("low")) == F.col("low")) & ((F.size("n") > 1) | (F.col("word") == F.get("n", F.lit(0)))))
-    found = found.where("id <> to_id").join(linked.select("id", "to_id"), ["id", "to_id"], "left_anti")
-    single = found.where(F.size("n") == 1).groupBy("name").agg(F.count_distinct("id").alias("df"))
+    own = names.select("to_id", "name", F.regexp_extract_all("name", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("n")).withColumn("size", F.size("n")).where("size > 0")
+    own = cut(own.where((F.col("size") > 1) | (F.length(F.get("n", F.lit(0))) >= least_letters)))
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # a number for each length of a name
+    bits = notes.sparkSession.sparkContext.broadcast(_name_filter(own))
+    key = lambda parts: F.when(F.col("size") > 1, F.array_join(F.transform(parts, F.lower), " ")).otherwise(F.array_join(parts, " "))
+    # only hashes that a name of some size needs
+    body = notes.select("id", words.alias("w")).where(F.size("w") > 0).withColumn("most", F.lit(max(sizes, default=0)))
+    low, plain = _hashes("w", "most")
+    told = body.select("id", "w", low, plain if 1 in sizes else F.lit(None).cast("array<bigint>").alias("plain")).mapInArrow(_said(bits, sizes), f"id {dict(notes.dtypes)['id']}, at int, size int, said string, sentence string")
+    told = told.select("id", "at", "size", key(F.split("said", " ")).alias("key"), "sentence")
+    found = told.join(own.select("to_id", "name", "size", key(F.col("n")).alias("key")), ["key", "size"]).where("id <> to_id").join(linked.select("id", "to_id"), ["id", "to_id"], "left_anti")
+    found = cut(found.select("id", "at", "size", "to_id", "name", "sentence"))
+    single = found.where("size = 1").groupBy("name").agg(F.count_distinct("id").alias("df"))
     total = notes.agg(F.count("*").alias("total"))
     common = single.crossJoin(F.broadcast(total)).where(F.col("df") > most_share * F.col("total")).select("name")
-    found = found.join(common, "name", "left_anti").select("id", F.struct((-F.size("n")).alias("short"), "at", F.size("n").alias("len"), "to_id", "name").alias("m"))
-    # the longest first; a fold keeps those that overlap no earlier one
-    kept = F.aggregate(
-        F.array_sort(F.collect_list("m")), F.filter(F.collect_list("m"), lambda x: F.lit(False)),
-        lambda a, x: F.when(F.exists(a, lambda y: (x["at"] < y["at"] + y["len"]) & (y["at"] < x["at"] + x["len"])), a).otherwise(F.concat(a, F.array(x))),
-    )
-    rows = found.groupBy("id").agg(kept.alias("kept")).select("id", F.explode("kept").alias("m")).select("id", "m.to_id", "m.name", "m.at")
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("id", "to_id").orderBy("at"))).where("k = 1")
-    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("at", "to_id"))).where(F.col("r") <= shown)
-    from_ = F.greatest(F.lit(0), F.col("at") - 8)
-    around = F.array_join(F.slice("w", from_ + 1, F.lit(20)), " ")
-    return rows.join(body.select("id", "w"), "id").select("id", "to_id", "name", "at", F.left(F.replace(around, F.lit("\u0001"), F.lit("…")), F.lit(160)).alias("sentence"))
+    found = found.join(common, "name", "left_anti").groupBy("id").agg(F.collect_list(F.struct("at", "size", "to_id", "name", "sentence")).alias("places"))
+
+    @F.pandas_udf(f"array<struct<to_id:{dict(names.dtypes)['to_id']},name:string,at:int,sentence:string>>")
+    def first(texts: pd.Series) -> pd.Series:
+        return pd.Series([_first_mentions(list(x), shown) for x in texts], dtype=object)
+
+    return found.select("id", F.inline(first("places"))).select("id", "to_id", "name", "at", "sentence")

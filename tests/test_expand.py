@@ -4,6 +4,7 @@ import random
 import re
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -160,3 +161,49 @@ def test_mentions(spark):
     assert (2, 12) in got and (3, 13) not in got and not [k for k in got if k[0] == 6]
     words = Counter(r.id for r in expand.mentions(df, spark.createDataFrame(names, "to_id long, name string"), linked, 1.0).collect())
     assert words[3] == 1 and max(words.values()) <= 3
+
+
+def told_slowly(notes, names, shown):
+    """Mentions in texts of plain words, each name looked for at each place."""
+    out = set()
+    for i, text in notes:
+        words, places = text.split(), []
+        for to, name in names:
+            n = name.split()
+            for at in range(len(words) - len(n) + 1):
+                said = words[at : at + len(n)]
+                if to != i and (said == n if len(n) == 1 else [x.lower() for x in said] == [x.lower() for x in n]):
+                    places.append((-len(n), at, to, name))
+        taken, kept = set(), {}
+        for n, at, to, name in sorted(places):
+            if not taken & set(range(at, at - n)):
+                taken |= set(range(at, at - n))
+                kept[to] = min(kept.get(to, (at, name)), (at, name))
+        out |= {(i, to, name, at) for to, (at, name) in sorted(kept.items(), key=lambda x: x[1])[:shown]}
+    return out
+
+
+def test_mentions_against_brute_force(spark):
+    """Names of one to fourteen words that overlap, in other case, and many to one beginning."""
+    r = random.Random(5)
+    for vocabulary in (["North", "north", "WATER", "Water", "wheel", "Granary"], ["Ärger", "ÄRGER", "Straße", "granary", "Σίσυφος", "ΣΊΣΥΦΟΣ"]):
+        notes = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60)))) for k in range(40)]
+        long = notes[0][1].split() or ["x"]
+        names = sorted({(r.randint(0, 60), " ".join(r.choice(vocabulary) for _ in range(r.choice([1, 2, 2, 3, 4])))) for _ in range(60)} | {(99, " ".join((long * 14)[:14]))})
+        names = [x for x in names if " " in x[1] or len(x[1]) >= 5]
+        df = spark.createDataFrame(notes + [(100, None), (101, " ".join(["North", *(long * 14)[:14], "wheel"]))], "id long, text string")
+        got = expand.mentions(df, spark.createDataFrame(names, "to_id long, name string"), spark.createDataFrame([], "id long, to_id long"), 1.0)
+        want = told_slowly([x for x in [*notes, (101, " ".join(["North", *(long * 14)[:14], "wheel"]))]], names, 3)
+        assert {(x.id, x.to_id, x.name, x.at) for x in got.collect()} == want and len(want) > 40
+    none = spark.createDataFrame([], "to_id long, name string")
+    assert expand.mentions(df, none, spark.createDataFrame([], "id long, to_id long")).count() == 0
+
+
+def test_mentions_of_many_names_with_one_beginning(spark):
+    """20,000 names begin with a word that every text says 2,000 times: places by names would be 4 billion."""
+    notes = spark.range(100).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda k: F.concat(F.lit("the w"), (k * 100 + F.col("id")).cast("string"))), " ").alias("text"))
+    names = spark.range(20_000).select((F.col("id") + 1000).alias("to_id"), F.concat(F.lit("The W"), (F.col("id") * 11).cast("string")).alias("name"))
+    began = time.time()
+    got = expand.mentions(notes, names, spark.createDataFrame([], "id long, to_id long")).collect()
+    assert {x.id for x in got} == set(range(100)) and len(got) == 300
+    assert time.time() - began < 40
