@@ -1,9 +1,12 @@
 """The link graph: weights, pairs, strengths, neighbours and what search does with them."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..lineage import cut
+from .retrieval import TASK_ROWS, told
+
 # Weight of a link by its kind, and of frontmatter links by their key.
 KIND_WEIGHTS = {"sentence": 1.0, "embed": 0.8, "list_explained": 0.7, "heading": 0.5, "table": 0.5, "short": 0.4, "list_bare": 0.3, "trailer": 0.0}
 KEY_WEIGHTS = {"related": 0.3, "part-of": 0.3, "project": 0.2, "topics": 0.15, "*": 0.2}
@@ -21,11 +24,21 @@ def weighted(edges: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.when(F.col("kind") == "fm", by_key).otherwise(by_kind))
 
 
-def pairs(edges: DataFrame) -> DataFrame:
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Tasks that so many links are dealt to: what one of them holds doesn't grow with the links."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def _dealt(rows: DataFrame, parts: int | None, *by: str) -> DataFrame:
+    return rows.repartition(parts, *by) if parts else rows
+
+
+def pairs(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(a, b, base, kind, bodies, n) of weighted occurrences (a, b, pos, kind, weight): base is the largest weight,
-    kind that of the first with it, bodies those in running text. Unresolved ends and self-links go."""
+    kind that of the first with it, bodies those in running text. Unresolved ends and self-links go. Links of large tables
+    are dealt to `parts` tasks."""
     body = ~F.col("kind").isin("fm", "trailer")
-    return edges.where("b is not null and a <> b").groupBy("a", "b").agg(
+    return _dealt(edges.where("b is not null and a <> b"), parts, "a", "b").groupBy("a", "b").agg(
         F.max("weight").alias("base"), F.min_by("kind", F.struct(-F.col("weight"), F.col("pos"))).alias("kind"),
         F.count_if(body).alias("bodies"), F.count("*").alias("n"),
     )
@@ -42,15 +55,18 @@ def specificity(degree: Column) -> Column:
     return F.lit(1.584962500721156) / F.log2(2 + F.greatest(F.lit(1), F.coalesce(degree, F.lit(1))))
 
 
-def strengths(pairs: DataFrame) -> DataFrame:
+def strengths(pairs: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds out_strength (seen from a) and in_strength (seen from b): base, raised by repeats and by a link back,
-    lowered by the degree of the far end."""
-    deg = degrees(pairs)
-    back = pairs.where("bodies > 0").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("back"))
-    rows = pairs.join(back, ["a", "b"], "left")
-    rows = rows.join(deg.select(F.col("id").alias("b"), "in_degree"), "b", "left").join(deg.select(F.col("id").alias("a"), "out_degree"), "a", "left")
+    lowered by the degree of the far end. Both directions of a pair meet in one shuffle; degrees go to all tasks where
+    they are few. Pairs of large tables are dealt to `parts` tasks."""
+    deg = cut(degrees(pairs))
+    rows = _dealt(pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")), parts, "x", "y")
+    rows = rows.withColumn("told", F.sum((F.col("bodies") > 0).cast("int")).over(W.partitionBy("x", "y")))  # 2: both in running text
+    few = told(deg)
+    for end, name in (("b", "in_degree"), ("a", "out_degree")):
+        rows = (rows if few is not deg else _dealt(rows, parts, end)).join(few.select(F.col("id").alias(end), name), end, "left")
     repeats = F.when(F.col("bodies") > 0, 1 + 0.25 * (F.least(F.col("bodies"), F.lit(3)) - 1)).otherwise(1.0)
-    mutual = F.when(F.col("back") & (F.col("bodies") > 0) & (F.col("base") >= 0.3), 1.2).otherwise(1.0)
+    mutual = F.when((F.col("told") == 2) & (F.col("bodies") > 0) & (F.col("base") >= 0.3), 1.2).otherwise(1.0)
     own = F.col("base") * repeats * mutual
     return rows.select(
         *pairs.columns, (own * specificity(F.col("in_degree"))).alias("out_strength"), (0.8 * own * specificity(F.col("out_degree"))).alias("in_strength")
@@ -101,16 +117,20 @@ def fair_swap(head: DataFrame, picks: DataFrame, protected: DataFrame, top: int
     return rows.withColumn("good", good).where("good = 1").select("query_id", "out", "into")
 
 
-def glow(strong: DataFrame, start: DataFrame, decay: tuple[float, ...] = (0.95, 0.74, 0.79)) -> DataFrame:
-    """(id, hop, light): the strongest path from start (id) within as many hops as there are decays."""
+def glow(strong: DataFrame, start: DataFrame, decay: tuple[float, ...] = (0.95, 0.74, 0.79), parts: int | None = None) -> DataFrame:
+    """(id, hop, light): the strongest path from start (id) within as many hops as there are decays. A pair's bond is kept
+    once, whichever way it is gone; rings go to all tasks where they are few notes."""
     bond = 0.35 + 0.65 * F.least(F.lit(1.0), F.greatest("out_strength", "in_strength") / 0.6)
-    edges = strong.select(F.col("a").alias("x"), F.col("b").alias("y"), bond.alias("bond"))
-    edges = edges.union(edges.select("y", "x", "bond")).groupBy("x", "y").agg(F.max("bond").alias("bond"))
+    bonds = _dealt(strong.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), bond.alias("bond")), parts, "x", "y")
+    bonds = cut(bonds.groupBy("x", "y").agg(F.max("bond").alias("bond")))
+    edges = bonds.union(bonds.select("y", "x", "bond"))
     seen = start.select("id", F.lit(0).alias("hop"), F.lit(1.0).alias("light"))
     ring = seen
     for k, fade in enumerate(decay, 1):
-        ring = ring.join(edges, ring["id"] == edges["x"]).groupBy(F.col("y").alias("id")).agg(F.max(F.round(F.col("light") * F.col("bond") * fade, 9)).alias("light"))
-        ring = ring.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hop"), "light")
+        few = told(ring)
+        ring = (edges if few is not ring else _dealt(edges, parts, "x")).join(few.select(F.col("id").alias("x"), "light"), "x")
+        ring = ring.groupBy(F.col("y").alias("id")).agg(F.max(F.round(F.col("light") * F.col("bond") * fade, 9)).alias("light"))
+        ring = cut(ring.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hop"), "light"))
         seen = seen.union(ring)
     return seen
 

@@ -34,18 +34,26 @@ def edges(spark, d):
     fm = (F.col("l_returnflag") != "R") & ~table_row & (F.col("l_linenumber") % 2 == 0)
     return l.select(
         F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("n")).alias("b"),
-        F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")).alias("pos"),
+        F.struct("l_orderkey", "l_linenumber").alias("pos"),  # compared, never counted: no window over all links of a note
         F.when(F.col("l_returnflag") == "R", "sentence").when(table_row, "table").when(F.col("l_linenumber") % 2 == 0, "fm").otherwise("list_bare").alias("kind"),
         F.when(fm, F.when(F.col("l_linenumber") == 2, "related").otherwise("mentions")).alias("fm_key"),
     )
 
 
+def parts_of(spark, d):
+    return G.parts_of(spark, table(spark, d, "lineitem").count())
+
+
 def pairs_of(spark, d):
-    return G.pairs(G.weighted(edges(spark, d)))
+    return G.pairs(G.weighted(edges(spark, d)), parts_of(spark, d))
+
+
+def strong(spark, d):
+    return G.strengths(pairs_of(spark, d), parts_of(spark, d))
 
 
 def near(spark, d):
-    return G.neighbours(G.strengths(pairs_of(spark, d)))
+    return G.neighbours(strong(spark, d))
 
 
 @query(f"WITH {_EDGES} SELECT kind, fm_key, weight, count(*) AS n FROM w GROUP BY ALL")
@@ -70,7 +78,7 @@ def degrees(spark, d):
 
 @query(f"WITH {_STRONG} SELECT a, b, round(out_strength, 6) AS out_strength, round(in_strength, 6) AS in_strength FROM strong")
 def graph_strength(spark, d):
-    return G.strengths(pairs_of(spark, d)).select("a", "b", F.round("out_strength", 6).alias("out_strength"), F.round("in_strength", 6).alias("in_strength"))
+    return strong(spark, d).select("a", "b", F.round("out_strength", 6).alias("out_strength"), F.round("in_strength", 6).alias("in_strength"))
 
 
 @query(f"WITH {_NB} SELECT id, nb, round(strength, 6) AS strength, dir, rank FROM nb WHERE rank <= 5")
@@ -108,7 +116,7 @@ def graph_stats(spark, d):
 
 @query(f"WITH {_STRONG} SELECT least(a, b) AS x, greatest(a, b) AS y, round(max(greatest(out_strength, in_strength)), 3) AS strength FROM strong GROUP BY 1, 2")
 def graph_export_links(spark, d):
-    rows = G.strengths(pairs_of(spark, d))
+    rows = strong(spark, d)
     return rows.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.round(F.max(F.greatest("out_strength", "in_strength")), 3).alias("strength"))
 
 
@@ -119,7 +127,7 @@ r3 AS (SELECT y AS id, max(round(light * bond * 0.79, 9)) AS light FROM r2 JOIN
 SELECT 1 AS id, 0 AS hop, 1.0::DOUBLE AS light UNION ALL SELECT id, 1, round(light, 6) FROM r1 UNION ALL SELECT id, 2, round(light, 6) FROM r2 UNION ALL SELECT id, 3, round(light, 6) FROM r3""")
 def graph_glow(spark, d):
     start = spark.createDataFrame([(1,)], "id long")
-    return G.glow(G.strengths(pairs_of(spark, d)), start).select("id", "hop", F.round("light", 6).alias("light"))
+    return G.glow(strong(spark, d), start, parts=parts_of(spark, d)).select("id", "hop", F.round("light", 6).alias("light"))
 
 
 _SEEDS = "seeds AS (SELECT c_custkey % 20 AS query_id, c_custkey % n AS note, max(c_acctbal) AS score, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY max(c_acctbal) DESC, c_custkey % n) AS rank FROM customer, n GROUP BY 1, 2)"
