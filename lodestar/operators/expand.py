@@ -16,18 +16,20 @@ from ..functions.stems import stems
 from ..functions.text import TOKEN
 from ..lineage import cut
 from . import inside
-from .retrieval import small_batches
+from .retrieval import small_batches, told
 
 LONGEST_PREFIX = 24
 
 
 def stem_forms(vocabulary: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(forms, queries): words of the vocabulary (term) with the stem that queries (query_id, terms) ask for, and the
-    queries by stems. Pass both to retrieval.bm25()."""
+    queries by stems. Pass both to retrieval.bm25(). The vocabulary is gone through once, and only words with an asked stem
+    are kept."""
     asked = queries.select("query_id", F.explode("terms").alias("term"))
-    known = stems(vocabulary.select("term").union(asked.select("term")))
-    by_stem = asked.join(known, "term").groupBy("query_id").agg(F.collect_set("form").alias("terms"))
-    return known.join(by_stem.select(F.explode("terms").alias("form")).distinct(), "form", "left_semi").select("term", "form"), by_stem
+    own = cut(stems(asked))
+    by_stem = cut(asked.join(own, "term").groupBy("query_id").agg(F.collect_set("form").alias("terms")))
+    known = stems(vocabulary.select("term").union(own.select("term")))
+    return cut(known.join(told(own.select("form").distinct()), "form", "left_semi").select("term", "form")), by_stem
 
 
 def prefix_forms(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
@@ -308,9 +310,9 @@ def mentions(notes: DataFrame, names: DataFrame, linked: DataFrame, most_share:
     # only hashes that a name of some size needs
     body = notes.select("id", words.alias("w")).where(F.size("w") > 0).withColumn("most", F.lit(max(sizes, default=0)))
     low, plain = _hashes("w", "most")
-    told = body.select("id", "w", low, plain if 1 in sizes else F.lit(None).cast("array<bigint>").alias("plain")).mapInArrow(_said(bits, sizes), f"id {dict(notes.dtypes)['id']}, at int, size int, said string, sentence string")
-    told = told.select("id", "at", "size", key(F.split("said", " ")).alias("key"), "sentence")
-    found = told.join(own.select("to_id", "name", "size", key(F.col("n")).alias("key")), ["key", "size"]).where("id <> to_id").join(linked.select("id", "to_id"), ["id", "to_id"], "left_anti")
+    said = body.select("id", "w", low, plain if 1 in sizes else F.lit(None).cast("array<bigint>").alias("plain")).mapInArrow(_said(bits, sizes), f"id {dict(notes.dtypes)['id']}, at int, size int, said string, sentence string")
+    said = said.select("id", "at", "size", key(F.split("said", " ")).alias("key"), "sentence")
+    found = said.join(own.select("to_id", "name", "size", key(F.col("n")).alias("key")), ["key", "size"]).where("id <> to_id").join(linked.select("id", "to_id"), ["id", "to_id"], "left_anti")
     found = cut(found.select("id", "at", "size", "to_id", "name", "sentence"))
     single = found.where("size = 1").groupBy("name").agg(F.count_distinct("id").alias("df"))
     total = notes.agg(F.count("*").alias("total"))
