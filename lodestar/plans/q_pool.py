@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import first_tokens, tokens
 from ..lineage import cut
 from ..operators import graph as G
 from ..operators import pool as P
@@ -31,7 +31,7 @@ def vectors(spark, d):
 
 
 def titled(spark, d):
-    return words(spark, d).select("key", F.slice("text", 1, 3).alias("title"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), first_tokens(F.col("text"), 3).alias("title"))
 
 
 def ranked_pool(spark, d, k=8):
