@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stems import stems
 from ..functions.text import TOKEN
-from ..lineage import cut
+from ..lineage import cut, cut_as_dealt
 from . import inside
 from .retrieval import small_batches, told
 
@@ -312,12 +312,16 @@ def mentions(notes: DataFrame, names: DataFrame, linked: DataFrame, most_share:
     low, plain = _hashes("w", "most")
     said = body.select("id", "w", low, plain if 1 in sizes else F.lit(None).cast("array<bigint>").alias("plain")).mapInArrow(_said(bits, sizes), f"id {dict(notes.dtypes)['id']}, at int, size int, said string, sentence string")
     said = said.select("id", "at", "size", key(F.split("said", " ")).alias("key"), "sentence")
-    found = said.join(own.select("to_id", "name", "size", key(F.col("n")).alias("key")), ["key", "size"]).where("id <> to_id").join(linked.select("id", "to_id"), ["id", "to_id"], "left_anti")
-    found = cut(found.select("id", "at", "size", "to_id", "name", "sentence"))
+    found = said.join(own.select("to_id", "name", "size", key(F.col("n")).alias("key")), ["key", "size"]).where("id <> to_id")
+    # places are dealt by their text once, and stay there. Equality of to_id is written as two bounds, or Spark would deal by both
+    parts = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places, known = found.select("id", "at", "size", "to_id", "name", "sentence").repartition(parts, "id").alias("p"), linked.select("id", "to_id").repartition(parts, "id").alias("k")
+    same = (F.col("p.id") == F.col("k.id")) & (F.col("p.to_id") <= F.col("k.to_id")) & (F.col("p.to_id") >= F.col("k.to_id"))
+    found = cut_as_dealt(places.join(known.hint("merge"), same, "left_anti"))
     single = found.where("size = 1").groupBy("name").agg(F.count_distinct("id").alias("df"))
     total = notes.agg(F.count("*").alias("total"))
-    common = single.crossJoin(F.broadcast(total)).where(F.col("df") > most_share * F.col("total")).select("name")
-    found = found.join(common, "name", "left_anti").groupBy("id").agg(F.collect_list(F.struct("at", "size", "to_id", "name", "sentence")).alias("places"))
+    common = cut(single.crossJoin(F.broadcast(total)).where(F.col("df") > most_share * F.col("total")).select("name"))
+    found = found.join(told(common), "name", "left_anti").groupBy("id").agg(F.collect_list(F.struct("at", "size", "to_id", "name", "sentence")).alias("places"))
 
     @F.pandas_udf(f"array<struct<to_id:{dict(names.dtypes)['to_id']},name:string,at:int,sentence:string>>")
     def first(texts: pd.Series) -> pd.Series:
